@@ -72,3 +72,44 @@ def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else; null becomes the empty string."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.translate(F.coalesce(text, F.lit("")), upper, upper.lower())
+
+
+def lookup(big: DataFrame, small: DataFrame, key: str, how: str = "inner", salts: int = 16, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Join ``big`` with ``small``, which has one row for each ``key``.
+
+    ``small`` is broadcast if its row count is within ``limit``. Beyond it both
+    sides are shuffled by (key, salt): a key with a third of ``big``'s rows goes
+    to ``salts`` tasks, and ``small`` is sent that many times.
+    """
+    if within(small, limit):
+        return big.join(F.broadcast(small), key, how)
+    salted = big.withColumn("tw_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    each = small.withColumn("tw_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    return salted.join(each, [key, "tw_salt"], how).drop("tw_salt")
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, comp): the least node that each node of ``edges`` reaches.
+
+    Alternating large and small stars: every round points neighbours to the
+    least one in sight, so that even long chains end after a logarithmic number
+    of rounds. Each round is written to the shared folder, none is collected.
+    """
+    def state(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+    e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    e = materialise(e, "edges")
+    before, now = None, state(e)
+    while before != now and now[0]:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        large = lookup(both, least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.where(F.col("u") != F.col("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = lookup(large, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
+        e = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, now = now, state(e)
+    roots = e.select("v").distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(
+        roots.select(F.col("v").alias("node"), F.col("v").alias("comp")))

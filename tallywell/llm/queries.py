@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywell.llm import langid, packing, quantise, sitetree, urlfilter, warc
+from tallywell.llm import langid, packing, partenum, privacy, quantise, secretscan, sitetree, urlfilter, warc, winnowing
+from tallywell.llm.spans import spans_text
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +30,42 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnowing.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def _of_kind(kind: str):
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.scan(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[_of_kind(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"),
+    )
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = privacy.scan(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[_of_kind(k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
+        F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(_table(spark, sf_dir, "pages"), urlfilter.rules_table(spark))
 
@@ -57,6 +90,29 @@ select p.page_id, cast(p.n as bigint) as payload_bytes, p.d as payload_digest,
 from p left join f on p.d = f.d and p.n >= 100
 """
 
+SQL_DECONTAMINATION = """
+with d as (
+  select doc_id, row_number() over () as k, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents
+), b as (
+  select cast(item_id as varchar) as item_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark
+  where item_id is not null
+), bw as (
+  select distinct item_id, least(len(w), 13) as n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') as t
+  from (select item_id, w, unnest(range(1, len(w) - least(len(w), 13) + 2)) as i from b where len(w) > 0)
+), dw as (
+  select k, i, n, array_to_string(w[i:i + n - 1], ' ') as t
+  from (select k, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from bw) where len(w) >= n)
+), hits as (select dw.k, dw.i, dw.n, bw.item_id from dw join bw on dw.t = bw.t and dw.n = bw.n),
+places as (select k, count(distinct p) as n_hit from (select k, unnest(range(i, i + n)) as p from (select distinct k, i, n from hits)) group by k),
+items as (select k, count(distinct item_id) as n_items, string_agg(distinct item_id, ',' order by item_id) as ids from hits group by k)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(p.n_hit, 0) as bigint) as n_hit,
+  cast(coalesce(i.n_items, 0) as bigint) as n_items, sha256(coalesce(i.ids, '')) as items_sha256,
+  coalesce(p.n_hit, 0) > 0 and 20 * coalesce(p.n_hit, 0) >= len(d.w) as contaminated
+from d left join places p on d.k = p.k left join items i on d.k = i.k
+"""
+
 SQL_URLS = """
 with r(verdict, rhost, rpath) as (values
   ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'),
@@ -92,10 +148,14 @@ select query_id, cast(rank as integer) as rank, vec_id, score from (
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_warc": op2_warc,
+    "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_jaccard_join": op6_jaccard_join,
+    "op7_personal_data": op7_personal_data,
     "op8_url_filters": op8_url_filters,
     "op9_nearest": op9_nearest,
     "op10_main_text": op10_main_text,
 }
 #: op1, op4, op7, op9 and op10 are tested against brute force or on fixtures instead.
-ORACLES = {"op2_warc": SQL_WARC, "op8_url_filters": SQL_URLS}
+ORACLES = {"op2_warc": SQL_WARC, "op3_decontamination": SQL_DECONTAMINATION, "op8_url_filters": SQL_URLS}

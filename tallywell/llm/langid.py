@@ -30,6 +30,8 @@ GRAMS = 12_000
 RELATIVE = 0.2
 #: Slots of the filter (a power of two) and hashes of an n-gram.
 SLOTS, HASHES = 1 << 19, 2
+#: Bytes of text that are counted at a time.
+BLOCK = 1 << 20
 
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
@@ -47,7 +49,7 @@ _CLASS = _classes()
 
 
 def grams_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All n-grams of UTF-8 bytes and where they start.
+    """All n-grams of UTF-8 bytes and where their second bytes are.
 
     A run of other characters than letters counts as one boundary; n-grams
     span a boundary only at their first or last byte.
@@ -65,7 +67,7 @@ def grams_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         g = (g << np.uint32(8)) | c[i:i + n]
         if 0 < i < N - 1:
             inner &= c[i:i + n] != 0
-    return g[inner], at[:n][inner]
+    return g[inner], at[1:n + 1][inner]
 
 
 def slots_of(grams: np.ndarray) -> Iterator[np.ndarray]:
@@ -82,19 +84,18 @@ class Model:
     slots: np.ndarray
     false_positives: np.ndarray
 
-    def count(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For texts that end at ``ends``: n-grams, and n-grams in each language's filter."""
-        g, at = grams_of(data)
-        k = np.searchsorted(ends, at, side="right")
-        # an n-gram may run into the next text only through a boundary byte put between texts
-        masks = None
-        for s in slots_of(g):
-            masks = self.slots[s] if masks is None else masks & self.slots[s]
-        totals = np.bincount(k, minlength=len(ends))
-        hits = np.zeros((len(ends), len(self.langs)))
-        for b in range(len(self.langs)):
-            if masks is not None and len(masks):
-                hits[:, b] = np.bincount(k, weights=(masks >> np.uint64(b)) & np.uint64(1), minlength=len(ends))
+    def count(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """For each text: n-grams, and n-grams in each language's filter."""
+        totals, hits = np.zeros(len(texts)), np.zeros((len(texts), len(self.langs)))
+        for data, ends, rows in blocks_of(texts):
+            g, second = grams_of(data)
+            k = rows[np.searchsorted(ends, second, side="right")]
+            masks = None
+            for s in slots_of(g):
+                masks = self.slots[s] if masks is None else masks & self.slots[s]
+            totals += np.bincount(k, minlength=len(texts))
+            for b in range(len(self.langs)):
+                hits[:, b] += np.bincount(k, weights=(masks >> np.uint64(b)) & np.uint64(1), minlength=len(texts))
         return totals, hits
 
     def decide(self, totals: np.ndarray, hits: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -106,14 +107,32 @@ class Model:
         return [self.langs[b] for b in best], np.clip(score, 0, 1)
 
 
-def _batch_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' bytes with a boundary after each, and the positions after it."""
-    joined, ends, at = bytearray(), [], 0
-    for t in texts:
-        joined += t.as_py().encode()
-        joined += b" "
-        ends.append(len(joined))
-    return np.frombuffer(bytes(joined), np.uint8), np.array(ends, np.int64)
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """A text's bytes in pieces of at most BLOCK, cut after a byte that is no letter if one is near."""
+    while len(data) > BLOCK:
+        near = np.flatnonzero(_CLASS[np.frombuffer(data[BLOCK // 2:BLOCK], np.uint8)] == 0)
+        cut = BLOCK // 2 + int(near[-1]) + 1 if len(near) else BLOCK
+        yield data[:cut]
+        data = data[cut:]
+    yield data
+
+
+def blocks_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts' bytes in bounded blocks, with a boundary before and after each piece.
+
+    Also where each piece ends, and the number of its text.
+    """
+    joined, ends, rows = bytearray(b" "), [], []
+    for i, t in enumerate(texts):
+        for piece in _pieces(t.as_py().encode("utf-8", "surrogatepass")):
+            joined += piece + b" "
+            ends.append(len(joined))
+            rows.append(i)
+            if len(joined) >= BLOCK:
+                yield np.frombuffer(bytes(joined), np.uint8), np.array(ends), np.array(rows)
+                joined, ends, rows = bytearray(b" "), [], []
+    if rows:
+        yield np.frombuffer(bytes(joined), np.uint8), np.array(ends), np.array(rows)
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
@@ -143,8 +162,10 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
             parts = {}
             for lang in sorted(set(names)):
                 rows = pa.array([i for i, x in enumerate(names) if x == lang])
-                data, _ = _batch_bytes(batch.column(0).take(rows))
-                parts[lang] = np.unique(grams_of(data)[0], return_counts=True)
+                found = [np.unique(grams_of(data)[0], return_counts=True) for data, _, _ in blocks_of(batch.column(0).take(rows))]
+                g, n = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+                g, at = np.unique(g, return_inverse=True)
+                parts[lang] = g, np.bincount(at, weights=n, minlength=len(g))
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate([g for g, _ in parts.values()]).astype(np.int64)),
                 pa.array(np.concatenate([n for _, n in parts.values()]).astype(np.int64)),
@@ -202,8 +223,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
             letters = np.array(batch.column(len(keep) + 1).to_pylist(), bool)
             langs, score = [UNKNOWN] * n, np.zeros(n)
             if m.langs and n:
-                data, ends = _batch_bytes(batch.column(len(keep)))
-                langs, score = m.decide(*m.count(data, ends))
+                langs, score = m.decide(*m.count(batch.column(len(keep))))
             out = [x if ok else UNKNOWN for x, ok in zip(langs, letters, strict=True)]
             own = [batch.column(i).cast(t) for i, t in enumerate(arrow)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(out, pa.string()), pa.array(np.where(letters, score, 0.0))], names)

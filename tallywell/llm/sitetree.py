@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tallywell.llm.common import lower_ascii, maybe_broadcast
+from tallywell.llm.common import lookup, lower_ascii, materialise
 
 #: Weight of content against presentation in a node's importance.
 GAMMA = 0.9
@@ -223,12 +223,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     keep their rows; pages of any length are read whole; an empty table gives
     an empty result; other columns are ignored.
     """
-    noise = maybe_broadcast(noise_branches(style_nodes(pages, url_col, html_col)), 100_000)
+    noise = materialise(noise_branches(style_nodes(pages, url_col, html_col)), "noise")
     types = [to_arrow_type(pages.schema[c].dataType) for c in (id_col, url_col)]
     src = pages.select(
         F.col(id_col).alias("tw_id"), F.col(url_col).alias("tw_url"), F.coalesce(F.col(html_col), F.lit("")).alias("tw_html"),
         _host(F.col(url_col)).alias("host"),
-    ).join(noise, "host", "left").select("tw_id", "tw_url", "tw_html", "noise")
+    )
+    # broadcast if few hosts have noise, else one host's pages go to several tasks
+    src = lookup(src, noise, "host", "left", limit=100_000).select("tw_id", "tw_url", "tw_html", "noise")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,6 +1,313 @@
-"""Registered queries over the reference operators, with their SQL."""
+"""Registered queries over the reference operators, with the SQL that they must equal.
+
+Every query runs over whole tables. Floats are rounded to six places on both
+sides, as the order of addition differs.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallywell.functions.redaction import redact
+from tallywell.operators import claims, experiment, groups, quality
+from tallywell.operators.metrics import compile_metric, parse_contract
+from tallywell.plans import governance
+from tallywell.plans.semantic import Semantic
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _register(name: str, sql: str | None = None):
+    def add(query: Query) -> Query:
+        QUERIES[name] = query
+        if sql:
+            ORACLES[name] = sql
+        return query
+
+    return add
+
+
+def _contract(metric: str, kind: str, time_column: str = "o_orderdate", **more):
+    return parse_contract({"metric": metric, "type": kind, "grain": "day", "time_column": time_column} | more)
+
+
+def _metric(name: str, table: str, contract, sql: str, contracts=None) -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = compile_metric(_table(spark, sf_dir, table), contract, contracts)
+        return out.select("dt", *[F.round(c, 6).alias(c) for c in out.columns if c != "dt"])
+
+    _register(name, sql)(query)
+
+
+PAID = {"field": "o_orderstatus", "op": "=", "value": "F"}
+CONTRACTS = {c.metric: c for c in (
+    _contract("paid_orders", "count", order_key="o_orderkey", filters=[PAID]),
+    _contract("all_orders", "count", order_key="o_orderkey"),
+    _contract("paid_rate", "ratio", numerator={"metric": "paid_orders"}, denominator={"metric": "all_orders"}),
+)}
+
+_DAY = "strftime({c}, '%Y-%m-%d')"
+_RATE = """
+select coalesce(n.dt, d.dt) as dt, round(n.value / nullif(d.value, 0), 6) as value
+from (select strftime(o_orderdate, '%Y-%m-%d') as dt, count(distinct o_orderkey)::double as value from orders where o_orderstatus = 'F' group by 1) n
+full outer join (select strftime(o_orderdate, '%Y-%m-%d') as dt, count(distinct o_orderkey)::double as value from orders group by 1) d on n.dt = d.dt
+"""
+_metric("metric_ratio_nested", "orders", CONTRACTS["paid_rate"], _RATE, CONTRACTS)
+_metric("metric_count", "orders", _contract("n", "count"), "select strftime(o_orderdate, '%Y-%m-%d') as dt, count(*)::double as value from orders group by 1")
+_metric(
+    "metric_count_distinct", "lineitem",
+    _contract("returns", "count", "l_shipdate", order_key="l_orderkey", filters=[{"field": "l_returnflag", "op": "=", "value": "R"}]),
+    "select strftime(l_shipdate, '%Y-%m-%d') as dt, count(distinct l_orderkey)::double as value from lineitem where l_returnflag = 'R' group by 1")
+_metric("metric_sum", "orders", _contract("total", "sum", numerator={"metric": "o_totalprice"}),
+        "select strftime(o_orderdate, '%Y-%m-%d') as dt, round(sum(o_totalprice), 6) as value from orders group by 1")
+_metric("metric_avg", "orders", _contract("mean", "avg", numerator={"metric": "o_totalprice"}),
+        "select strftime(o_orderdate, '%Y-%m-%d') as dt, round(avg(o_totalprice), 6) as value from orders group by 1")
+_metric(
+    "metric_ratio_columns", "lineitem",
+    _contract("discount_rate", "ratio", "l_shipdate", numerator={"metric": "l_discount"}, denominator={"metric": "l_quantity"}),
+    "select strftime(l_shipdate, '%Y-%m-%d') as dt, round(case when sum(l_quantity) = 0 then null else sum(l_discount) / sum(l_quantity) end, 6) as value,"
+    " round(sum(l_discount), 6) as numerator, round(sum(l_quantity), 6) as denominator from lineitem group by 1")
+
+for _name, _rule, _where in (
+    ("eq", PAID, "o_orderstatus = 'F'"),
+    ("ne", {"field": "o_orderstatus", "op": "!=", "value": "F"}, "o_orderstatus <> 'F'"),
+    ("lt", {"field": "o_totalprice", "op": "<", "value": 50000.0}, "o_totalprice < 50000.0::double"),
+    ("le", {"field": "o_custkey", "op": "<=", "value": 100}, "o_custkey <= 100"),
+    ("gt", {"field": "o_custkey", "op": ">", "value": 100}, "o_custkey > 100"),
+    ("ge", {"field": "o_totalprice", "op": ">=", "value": 100000.0}, "o_totalprice >= 100000.0::double"),
+    ("in", {"field": "o_orderpriority", "op": "IN", "value": ["1-URGENT", "2-HIGH"]}, "o_orderpriority in ('1-URGENT', '2-HIGH')"),
+    ("not_in", {"field": "o_orderstatus", "op": "NOT IN", "value": ["F", "O"]}, "o_orderstatus not in ('F', 'O')"),
+    ("null", {"field": "o_orderstatus", "op": "IS NULL"}, "o_orderstatus is null"),
+    ("not_null", {"field": "o_orderstatus", "op": "IS NOT NULL"}, "o_orderstatus is not null"),
+    ("equals_null", {"field": "o_orderstatus", "op": "=", "value": None}, "o_orderstatus = null"),
+):
+    _metric(f"metric_filter_{_name}", "orders", _contract("kept", "count", filters=[_rule]),
+            f"select strftime(o_orderdate, '%Y-%m-%d') as dt, count(*)::double as value from orders where {_where} group by 1")
+
+
+@_register("metric_test_order_excluded", """
+select strftime(o_orderdate, '%Y-%m-%d') as dt, count(*)::double as value
+from (select *, case when o_orderstatus = 'P' then null else o_orderkey % 10 = 0 end as test_order from orders) where test_order = false group by 1""")
+def metric_test_order_excluded(spark, sf_dir):
+    flag = F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey") % 10 == 0)
+    return compile_metric(_table(spark, sf_dir, "orders").withColumn("test_order", flag), _contract("real", "count"))
+
+
+@_register("metric_by_dimension", """
+select strftime(o_orderdate, '%Y-%m-%d') as dt, o_orderstatus, count(*)::double as value from orders group by 1, 2""")
+def metric_by_dimension(spark, sf_dir):
+    return compile_metric(_table(spark, sf_dir, "orders"), _contract("n", "count", queryable_dimensions=["o_orderstatus"]), by=("o_orderstatus",))
+
+
+@_register("query_metric_limit", f"select * from ({_RATE}) order by dt limit 30")
+def query_metric_limit(spark, sf_dir):
+    semantic = Semantic()
+    semantic.compile("commerce", _table(spark, sf_dir, "orders"), CONTRACTS["paid_rate"], CONTRACTS)
+    return semantic.frame("commerce", "paid_rate", 30).select("dt", F.round("value", 6).alias("value"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = compile_metric(_table(spark, sf_dir, "orders"), CONTRACTS["paid_rate"], CONTRACTS)
+    return out.orderBy(F.asc_nulls_last("dt"))
+
+
+@_register("health_profile", """
+select count(*) as row_count, count(*) filter (o_orderdate::varchar like '%/%') as slash_o_orderdate,
+  count(*) filter (o_orderdate::varchar like '%-%') as dash_o_orderdate,
+  count(*) filter (o_totalprice is null or trim(o_totalprice::varchar) = '') as blank_o_totalprice from orders""")
+def health_profile(spark, sf_dir):
+    return quality.health_profile(_table(spark, sf_dir, "orders"))
+
+
+@_register("assert_not_null", "select count(*) filter (lang is null or trim(lang) = '') as blank_rows, count(*) filter (text is null or trim(text) = '') as blank_texts from documents")
+def assert_not_null(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").agg(
+        F.count_if(quality.is_blank(F.col("lang"))).alias("blank_rows"), F.count_if(quality.is_blank(F.col("text"))).alias("blank_texts"))
+
+
+@_register("assert_enum", "select count(*) filter (lower(event_type::varchar) not in ('click', 'view')) as affected_rows from events")
+def assert_enum(spark, sf_dir):
+    a = quality.enum_values("event_type", ["Click", "view"])
+    return _table(spark, sf_dir, "events").agg(a.aggregates["n"].alias("affected_rows"))
+
+
+@_register("assert_unique", """
+select count(*) as duplicate_keys, coalesce(sum(n), 0)::bigint as duplicate_rows from (select l_orderkey, count(*) as n from lineitem group by 1 having count(*) > 1)""")
+def assert_unique(spark, sf_dir):
+    return quality.duplicates(_table(spark, sf_dir, "lineitem"), "l_orderkey")
+
+
+@_register("assert_referential", """
+select l_orderkey, l_linenumber from lineitem l left join (select * from orders where o_orderstatus = 'F') o on l.l_orderkey = o.o_orderkey where o.o_orderkey is null""")
+def assert_referential(spark, sf_dir):
+    parents = _table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "F")
+    return quality.orphans(_table(spark, sf_dir, "lineitem"), "l_orderkey", parents, "o_orderkey").select("l_orderkey", "l_linenumber")
+
+
+@_register("assert_cross_source", """
+select o_orderkey as key, round(o_totalprice, 6) as source_value, round(total, 6) as target_value
+from orders join (select l_orderkey, sum(l_extendedprice) as total from lineitem group by 1) on o_orderkey = l_orderkey where abs(o_totalprice - total) > 0.01::double""")
+def assert_cross_source(spark, sf_dir):
+    lines = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_extendedprice").alias("total"))
+    out = quality.mismatches(_table(spark, sf_dir, "orders"), lines, "o_orderkey", "o_totalprice", "total", 0.01)
+    return out.select("key", F.round("source_value", 6).alias("source_value"), F.round("target_value", 6).alias("target_value"))
+
+
+_DAILY = "select strftime(o_orderdate, '%Y-%m-%d') as dt, count(*) as n from orders group by 1"
+
+
+def _daily(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("dt")).agg(F.count("*").alias("n"))
+
+
+@_register("row_count_band", f"""
+select dt, n, round(mean, 6) as mean, coalesce(n between mean * 0.6::double and mean * 1.4::double, true) as passed
+from (select *, avg(n) over (order by dt rows between 7 preceding and 1 preceding) as mean from ({_DAILY}))""")
+def row_count_band(spark, sf_dir):
+    return quality.row_count_bands(_daily(spark, sf_dir)).withColumn("mean", F.round("mean", 6))
+
+
+@_register("trend_series", f"""
+select dt, value, round((value - p) / nullif(abs(p), 0), 6) as change from (select dt, n::double as value, lag(n::double) over (order by dt) as p from ({_DAILY}))""")
+def trend_series(spark, sf_dir):
+    series = _daily(spark, sf_dir).select("dt", F.col("n").cast("double").alias("value"))
+    return quality.trend_series(series).withColumn("change", F.round("change", 6))
+
+
+@_register("k_anonymity_groups", "select c_nationkey, c_mktsegment, count(*) as n from customer group by 1, 2 having count(*) < 10")
+def k_anonymity_groups(spark, sf_dir):
+    return groups.k_anonymity_groups(_table(spark, sf_dir, "customer"), ["c_nationkey", "c_mktsegment"], 10)
+
+
+def _arms(spark, sf_dir) -> DataFrame:
+    """Customers by arm; converted means an order of status F."""
+    paid = _table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "F").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    c = _table(spark, sf_dir, "customer").join(paid.withColumn("converted", F.lit("yes")), "c_custkey", "left")
+    return c.withColumn("arm", experiment.assign(F.col("c_custkey"), "exp-1", {"a": 0.5, "b": 0.5}))
+
+
+_BUCKET = "(('0x' || substr(sha256('exp-1:' || c_custkey::varchar), 1, 16))::ubigint % 1000)::int"
+_ARMS = f"""(select c.*, case when {_BUCKET} < 500 then 'a' else 'b' end as arm, p.o_custkey is not null as converted
+from customer c left join (select distinct o_custkey from orders where o_orderstatus = 'F') p on c.c_custkey = p.o_custkey)"""
+
+
+@_register("ab_bucket_assign", f"select c_custkey, {_BUCKET} as bucket, case when {_BUCKET} < 300 then 'control' else 'treatment' end as arm from customer")
+def ab_bucket_assign(spark, sf_dir):
+    c = F.col("c_custkey")
+    return _table(spark, sf_dir, "customer").select(
+        c, experiment.unit_bucket(c, "exp-1").alias("bucket"), experiment.assign(c, "exp-1", {"treatment": 0.7, "control": 0.3}).alias("arm"))
+
+
+@_register("group_counts", f"""
+select count(*) filter (arm = 'a' and converted) as s_a, count(*) filter (arm = 'a') as n_a,
+  count(*) filter (arm = 'b' and converted) as s_b, count(*) filter (arm = 'b') as n_b from {_ARMS}""")
+def group_counts(spark, sf_dir):
+    return groups.group_counts(_arms(spark, sf_dir), "arm", "converted")
+
+
+@_register("z_statistic", f"""
+with c as (select count(*) filter (arm = 'a' and converted)::double as s_a, count(*) filter (arm = 'a')::double as n_a,
+  count(*) filter (arm = 'b' and converted)::double as s_b, count(*) filter (arm = 'b')::double as n_b from {_ARMS})
+select round(s_a / n_a - s_b / n_b, 6) as diff, round(coalesce((s_a / n_a - s_b / n_b) / nullif(sqrt((s_a + s_b) / (n_a + n_b) * (1 - (s_a + s_b) / (n_a + n_b)) * (1 / n_a + 1 / n_b)), 0), 0), 6) as z from c""")
+def z_statistic(spark, sf_dir):
+    c = groups.group_counts(_arms(spark, sf_dir), "arm", "converted")
+    diff, z = groups.two_proportion_terms(*[F.col(x).cast("double") for x in ("s_a", "n_a", "s_b", "n_b")])
+    return c.select(F.round(diff, 6).alias("diff"), F.round(z, 6).alias("z"))
+
+
+@_register("srm_chi2", f"""
+with c as (select arm, count(*) as observed from {_ARMS} group by 1), t as (select sum(observed)::double as total from c)
+select arm, observed, round(total * 0.5::double, 6) as expected, round((observed - total * 0.5::double) * (observed - total * 0.5::double) / (total * 0.5::double), 6) as term from c, t""")
+def srm_chi2(spark, sf_dir):
+    out = experiment.srm_terms(_arms(spark, sf_dir), "arm", {"a": 0.5, "b": 0.5})
+    return out.select("arm", "observed", F.round("expected", 6).alias("expected"), F.round("term", 6).alias("term"))
+
+
+@_register("welch_sufficient", f"""
+select arm as grp, count(c_acctbal) as n, round(avg(c_acctbal), 6) as mean, round(var_samp(c_acctbal), 4) as var, round(median(c_acctbal), 6) as median from {_ARMS} group by 1""")
+def welch_sufficient(spark, sf_dir):
+    m = groups.moments(_arms(spark, sf_dir), "arm", "c_acctbal")
+    return m.select("grp", "n", F.round("mean", 6).alias("mean"), F.round("var", 4).alias("var"), F.round("median", 6).alias("median"))
+
+
+@_register("mann_whitney_ranks", f"""
+with r as (select arm as grp, rank() over (order by c_acctbal) + (count(*) over (partition by c_acctbal) - 1) / 2.0::double as rank from {_ARMS})
+select grp, count(*)::bigint as n, round(sum(rank), 6) as rank_sum from r group by 1""")
+def mann_whitney_ranks(spark, sf_dir):
+    out = groups.rank_sums(_arms(spark, sf_dir), "arm", "c_acctbal")
+    return out.select("grp", F.col("n").cast("long").alias("n"), F.round(F.col("rank_sum").cast("double"), 6).alias("rank_sum"))
+
+
+@_register("redact_customer", """
+select c_custkey, left(c_name, 1) || repeat('*', greatest(length(c_name) - 1, 1)) as c_name, c_nationkey, c_acctbal,
+  'tok_' || substr(sha256('s1:' || c_mktsegment), 1, 12) as c_mktsegment from customer""")
+def redact_customer(spark, sf_dir):
+    df = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    policy = {"c_mktsegment": "restricted", "c_name": "confidential", "c_nationkey": "public"}
+    return redact(df, policy, salt="s1")
+
+
+@_register("claims_reconcile", """
+with r as (select strftime(o_orderdate, '%Y-%m-%d') as dt, count(*)::double as value from orders group by 1),
+c as (select dt as period, case when day(dt::date) = 13 then value + 1 else value end as value from r union all select 'never', 1.0::double)
+select c.period, c.value, r.value as replayed, case when r.value is null then 'missing' when abs(c.value - r.value) >= 1e-9::double then 'differs' end as reason,
+  case when r.value is not null and abs(c.value - r.value) < 1e-9::double then 'PASS' else 'FAIL' end as status from c left join r on c.period = r.dt""")
+def claims_reconcile(spark, sf_dir):
+    replay = compile_metric(_table(spark, sf_dir, "orders"), _contract("n", "count"))
+    told = replay.select(F.col("dt").alias("period"), F.when(F.dayofmonth(F.col("dt").cast("date")) == 13, F.col("value") + 1).otherwise(F.col("value")).alias("value"))
+    told = told.unionByName(spark.createDataFrame([("never", 1.0)], "period string, value double"))
+    return claims.reconcile_claims(told, replay).select("period", "value", "replayed", "reason", "status")
+
+
+@_register("narrative_numbers", """
+with t as (select doc_id, unnest(regexp_extract_all(text, '-?\\d{1,3}(?:,\\d{3})*(?:\\.\\d+)?%?')) as token from documents)
+select doc_id, token, round(case when token like '%\\%' escape '\\' then replace(replace(token, ',', ''), '%', '')::double / 100 else replace(token, ',', '')::double end, 9) as number
+from t where token like '%.%' or token like '%\\%%' escape '\\'""")
+def narrative_numbers(spark, sf_dir):
+    t = claims.number_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return t.select("doc_id", "token", F.round("number", 9).alias("number"))
+
+
+@_register("guardrails", """
+with v as (select event_type as name, avg(case when event_id % 2 = 0 then value end) as baseline, avg(case when event_id % 2 = 1 then value end) as variant from events group by 1),
+g(name, direction, threshold) as (values ('click', 'not_increase', 0.5::double), ('view', 'not_decrease', 0.1::double), ('nowhere', 'not_increase', 0.0::double))
+select g.name, direction, threshold, round(variant - baseline, 6) as delta, case when variant is null or baseline is null then 'NO_DATA'
+  when direction = 'not_increase' and variant - baseline > threshold then 'BROKEN' when direction = 'not_decrease' and variant - baseline < -threshold then 'BROKEN' else 'OK' end as status
+from g left join v on g.name = v.name""")
+def guardrails(spark, sf_dir):
+    even = F.col("event_id") % 2 == 0
+    values = _table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name")).agg(
+        F.avg(F.when(even, F.col("value"))).alias("baseline"), F.avg(F.when(~even, F.col("value"))).alias("variant"))
+    rails = spark.createDataFrame([("click", "not_increase", 0.5), ("view", "not_decrease", 0.1), ("nowhere", "not_increase", 0.0)], "name string, direction string, threshold double")
+    return experiment.guardrail_status(rails, values).withColumn("delta", F.round("delta", 6))
+
+
+@_register("contract_diff", """
+with o(name, type, nullable) as (values ('order_id', 'string', false), ('amount', 'number', true), ('status', 'string', true), ('note', 'string', true)),
+n(name, type, nullable) as (values ('order_id', 'integer', false), ('amount', 'number', false), ('status', 'string', true), ('channel', 'string', true))
+select coalesce(o.name, n.name) as name, case when n.name is null then 'removed' when o.name is null then 'added' when o.type <> n.type then 'type_changed' else 'nullability_tightened' end as kind
+from o full outer join n on o.name = n.name where o.name is null or n.name is null or o.type <> n.type or (o.nullable and not n.nullable)""")
+def contract_diff(spark, sf_dir):
+    def table(*rows):
+        return governance.contract_columns(spark, [{"name": a, "type": b, "nullable": c} for a, b, c in rows])
+
+    old = table(("order_id", "string", False), ("amount", "number", True), ("status", "string", True), ("note", "string", True))
+    new = table(("order_id", "integer", False), ("amount", "number", False), ("status", "string", True), ("channel", "string", True))
+    return governance.contract_changes(old, new)
+
+
+@_register("hodges_lehmann", f"""
+select round(median(a.v - b.v), 6) as shift from (select l_quantity as v from lineitem where l_linenumber = 7 and l_returnflag = 'A') a,
+(select l_quantity as v from lineitem where l_linenumber = 7 and l_returnflag = 'R') b""")
+def hodges_lehmann(spark, sf_dir):
+    d = _table(spark, sf_dir, "lineitem").where(F.col("l_linenumber") == 7)
+    return spark.createDataFrame([(round(groups.hodges_lehmann(d, "l_returnflag", "l_quantity", "A", "R"), 6),)], "shift double")

@@ -55,7 +55,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partenum.jaccard_components(_table(spark, sf_dir, "documents"))
+    return partenum.jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywell.llm.common import BROADCAST_ROWS, let, lower_ascii, maybe_broadcast
+from tallywell.llm.common import BROADCAST_ROWS, let, lookup, lower_ascii, materialise, maybe_broadcast
 
 #: Words of a window, and of a gram; a window holds WINDOW - GRAM + 1 grams.
 WINDOW, GRAM = 13, 5
@@ -54,7 +54,7 @@ def decontaminate(
     item_text_col: str = "text",
     fingerprint_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Per row of ``docs``: id, n_words, n_hit, item_ids and contaminated.
+    """Per row of ``docs``: id, text_hash, n_words, n_hit, item_ids and contaminated.
 
     A word is hit if it lies in an occurrence of a window of an item: 13
     consecutive words, or the whole item if it has fewer. ``item_ids`` are the
@@ -111,11 +111,11 @@ def decontaminate(
         hits = hits.unionByName(e.select(
             "tw_id", "tw_hash", n_words, "tw_at", windows_text(F.col("tw_words"), F.col("tw_at"), F.col("tw_len")).alias("tw_text")))
     hits = hits.join(known, "tw_text", "left").where(F.col("tw_items").isNotNull() | (F.col("tw_at") == 0))
-    real = F.col("tw_at") > 0
-    g = hits.groupBy("tw_id", "tw_hash", "tw_n").agg(
-        F.sum((~real).cast("long")).alias("tw_rows"),
-        F.sort_array(F.collect_set(F.when(real, F.struct("tw_at", "tw_span")))).alias("tw_hits"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.when(real, F.col("tw_items")))))).alias("item_ids"),
+    key = F.concat_ws(":", F.col("tw_hash").cast("string"), F.col("tw_id").cast("string"))
+    hits = materialise(hits.select(key.alias("tw_key"), "tw_id", "tw_hash", "tw_n", "tw_at", "tw_span", "tw_items"), "hits")
+    g = hits.where(F.col("tw_at") > 0).groupBy("tw_key").agg(
+        F.sort_array(F.collect_set(F.struct("tw_at", "tw_span"))).alias("tw_hits"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("tw_items")))).alias("item_ids"),
     )
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
 
@@ -124,9 +124,8 @@ def decontaminate(
         new = F.greatest(end, acc["end"])
         return F.struct(new.alias("end"), (acc["n"] + (new - F.greatest(x["tw_at"], acc["end"]))).cast("long").alias("n"))
 
-    n_hit = F.aggregate("tw_hits", start, extend)["n"]
-    g = g.select(
-        F.col("tw_id").alias(id_col), F.col("tw_n").cast("long").alias("n_words"), n_hit.alias("n_hit"), "item_ids",
-        F.explode(F.array_repeat(F.lit(0), F.col("tw_rows").cast("int"))).alias("tw_row"),
-    ).drop("tw_row")
-    return g.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words")))
+    g = g.select("tw_key", F.aggregate("tw_hits", start, extend)["n"].alias("n_hit"), "item_ids")
+    out = lookup(hits.where(F.col("tw_at") == 0), g, "tw_key", "left").select(
+        F.col("tw_id").alias(id_col), F.col("tw_hash").alias("text_hash"), F.col("tw_n").cast("long").alias("n_words"),
+        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words")))

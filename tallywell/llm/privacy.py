@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywell.llm.common import maybe_broadcast
-from tallywell.llm.spans import Kind, find_spans, mask, span_struct, spans_text
+from tallywell.llm.common import materialise, maybe_broadcast
+from tallywell.llm.spans import Kind, find_spans, mask, span_struct
 
 #: Code points before and after an entity in which terms are looked for.
 CONTEXT = 64
@@ -91,17 +91,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # copies of a text repeat its contexts; support counts different ones
     pairs = near.select("term", "entity", "context", "tw_row").distinct().groupBy("term", "entity", "context").agg(F.count("*").alias("rows"))
     pairs = pairs.groupBy("term", "entity").agg(F.count("*").alias("support"), F.sum("rows").alias("both")).where(F.col("support") >= SUPPORT)
+    # a term is in no fewer texts than have it near any entity: most words can't be
+    # certain enough by that alone, and need not be counted over the corpus
+    around_any = near.select("term", "tw_row").distinct().groupBy("term").agg(F.count("*").alias("near_rows"))
+    pairs = pairs.join(around_any, "term").where(F.col("both") >= CERTAINTY * F.col("near_rows")).drop("near_rows")
+    pairs = materialise(pairs, "terms")
     known = maybe_broadcast(pairs.select("term").distinct())
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), r"\P{L}+"))).alias("term"))
     seen = words.join(known, "term").groupBy("term").agg(F.count("*").alias("rows"))
     of_entity = near.select("entity", "tw_row").distinct().groupBy("entity").agg(F.count("*").alias("entity_rows"))
-    # the corpus size enters as a column: one row, whatever the input
-    size = docs.agg(F.count("*").alias("all_rows"))
-    told = pairs.join(seen, "term").join(of_entity, "entity").join(F.broadcast(size))
+    told = pairs.join(seen, "term").join(of_entity, "entity").withColumn("all_rows", F.lit(docs.count()))
     certainty = F.least(F.col("both") / F.col("rows"), F.lit(1.0))
     told = told.withColumn("certainty", certainty).where(
         (certainty >= CERTAINTY) & (F.log2(certainty * F.col("all_rows") / F.col("entity_rows")) >= BITS))
-    told = maybe_broadcast(told.select("term", "entity", "certainty"))
+    told = maybe_broadcast(materialise(told.select("term", "entity", "certainty"), "told"))
     terms = near.join(told, ["term", "entity"]).select(
         "tw_row", F.col("start").alias("tw_start"), F.col("end").alias("tw_end"), F.lit(BASE).alias("tw_order"),
         F.lit("term").alias("tw_kind"), (F.col("certainty") >= REMOVE).alias("gone"))

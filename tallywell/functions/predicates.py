@@ -28,47 +28,61 @@ def identifier(name: Any, what: str = "name") -> str:
     return name
 
 
-def literal(value: Any) -> Column:
-    """None, bool, finite number or string as a typed literal."""
-    if value is None or isinstance(value, (bool, str)):
-        return F.lit(value)
-    if isinstance(value, (int, float)):
-        if not math.isfinite(value):
-            raise ContractError("a filter's number must be finite")
-        return F.lit(value)
-    raise ContractError(f"a filter can't hold a {type(value).__name__}")
+def check_literal(value: Any) -> Any:
+    """None, bool, finite number or string."""
+    if value is not None and not isinstance(value, (bool, str, int, float)):
+        raise ContractError(f"a filter can't hold a {type(value).__name__}")
+    if isinstance(value, float) and not math.isfinite(value):
+        raise ContractError("a filter's number must be finite")
+    return value
 
 
-def predicate(rule: Any) -> Column:
-    """One {field, op, value}; nulls follow three-valued logic, so ``= null`` keeps nothing."""
+def check_filter(rule: Any) -> tuple[str, str, Any]:
+    """(field, operator, value) of one {field, op, value}, checked without Spark."""
     if not isinstance(rule, dict) or set(rule) - {"field", "op", "value"}:
         raise ContractError(f"a filter must be a mapping of field, op and value: {rule!r}")
-    field = F.col(identifier(rule.get("field"), "filter field"))
+    field = identifier(rule.get("field"), "filter field")
     op = rule["op"].upper() if isinstance(rule.get("op"), str) else rule.get("op")
     if op in ("IS NULL", "IS NOT NULL"):
         if "value" in rule:
             raise ContractError(f"{op} takes no value")
-        return field.isNull() if op == "IS NULL" else field.isNotNull()
+        return field, op, None
     if op in ("IN", "NOT IN"):
         values = rule.get("value")
         if not isinstance(values, (list, tuple)) or not values:
             raise ContractError(f"{op} takes a list that isn't empty")
-        inside = field.isin(*[literal(v) for v in values])
-        return inside if op == "IN" else ~inside
+        return field, op, [check_literal(v) for v in values]
     if op not in COMPARISONS:
         raise ContractError(f"unknown operator: {op!r}")
     if "value" not in rule:
         raise ContractError(f"{op} needs a value")
-    return COMPARISONS[op](field, literal(rule["value"]))
+    return field, op, check_literal(rule["value"])
 
 
-def where_all(filters: Any) -> Column:
-    """All filters at once; none at all keeps every row."""
+def check_filters(filters: Any) -> list[tuple[str, str, Any]]:
     if filters is None:
-        return F.lit(True)
+        return []
     if not isinstance(filters, list):
         raise ContractError("filters must be a list")
-    return reduce(operator.and_, [predicate(f) for f in filters], F.lit(True))
+    return [check_filter(f) for f in filters]
+
+
+def predicate(rule: Any) -> Column:
+    """One filter; nulls follow three-valued logic, so ``= null`` keeps nothing."""
+    name, op, value = check_filter(rule)
+    field = F.col(name)
+    if op in ("IS NULL", "IS NOT NULL"):
+        return field.isNull() if op == "IS NULL" else field.isNotNull()
+    if op in ("IN", "NOT IN"):
+        inside = field.isin(*[F.lit(v) for v in value])
+        return inside if op == "IN" else ~inside
+    return COMPARISONS[op](field, F.lit(value))
+
+
+def where_all(filters: Any) -> Column:
+    """All filters at once; none at all keeps every row."""
+    check_filters(filters)
+    return reduce(operator.and_, [predicate(f) for f in filters or []], F.lit(True))
 
 
 def fields_of(filters: list[dict] | None) -> set[str]:

@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywell.functions.predicates import ContractError, fields_of, identifier, where_all
+from tallywell.functions.predicates import ContractError, check_filters, fields_of, identifier, where_all
 
 TYPES = ("ratio", "sum", "count", "avg")
 FIELDS = frozenset({
@@ -71,7 +71,7 @@ def parse_contract(raw: Mapping[str, Any]) -> Contract:
     version = raw.get("version", 1)
     if not isinstance(version, int) or isinstance(version, bool):
         raise ContractError("version must be an integer")
-    where_all(raw.get("filters"))
+    check_filters(raw.get("filters"))
     fresh = raw.get("freshness_contract") or {}
     return Contract(
         metric=identifier(raw["metric"], "metric"), type=kind, grain=raw["grain"],

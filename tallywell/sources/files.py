@@ -31,7 +31,9 @@ class SourceError(ValueError):
 
 
 def store(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if re.match(r"^[a-z0-9]+:", uri) else f"file://{uri}")
+    if re.match(r"^[a-z0-9]+:", uri):
+        return fs.FileSystem.from_uri(uri)
+    return fs.LocalFileSystem(), uri
 
 
 def read_bytes(uri: str) -> bytes:
@@ -56,8 +58,10 @@ def exists(uri: str) -> bool:
 
 
 def list_files(uri: str) -> list[tuple[str, int]]:
-    """(path below ``uri``, size) of all files, sorted."""
+    """(path below ``uri``, size) of all files, sorted; a file itself holds none."""
     s, path = store(uri)
+    if s.get_file_info(path).is_file:
+        return []
     found = s.get_file_info(fs.FileSelector(path, recursive=True, allow_not_found=True))
     return sorted((f.path[len(path.rstrip("/")) + 1:], f.size) for f in found if f.is_file)
 

@@ -29,8 +29,9 @@ from tallywell.llm.common import components, lookup, materialise
 NUM, DEN = 85, 100
 #: Words of a shingle, partitions of a group, and how much a band's sizes grow.
 WORDS, PARTS, GROWTH = 4, 2, 1.6
-#: Members of a bucket that are compared at a time, and their sets' bytes.
-BLOCK, BLOCK_BYTES = 512, 8 << 20
+#: A bucket's members are compared in blocks of about this many. A block with
+#: more than DENSE likely pairs a member compares its sets in place.
+BLOCK, DENSE = 256, 1
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -147,14 +148,58 @@ def _set(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint64)
 
 
-def compare_bucket(classes: list[int], comps: list[int], sets: list[np.ndarray], sides: list[int], num: int = NUM, den: int = DEN) -> list[tuple[int, int]]:
+def parity_bits(found: np.ndarray) -> np.ndarray:
+    """One bit for each of about 2n slices of the domain: whether it holds an odd number of features.
+
+    Two sets' bits differ in at most as many places as the sets differ in
+    features, so too many differing bits rule a pair out.
+    """
+    size = max(64, 1 << (2 * len(found) - 1).bit_length())
+    at = (_mix(found ^ _MIX[3]) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=size) & 1).astype(np.uint8))
+
+
+def fold(bits: np.ndarray, size: int) -> np.ndarray:
+    while len(bits) > size:
+        bits = bits[:len(bits) // 2] ^ bits[len(bits) // 2:]
+    return bits
+
+
+def maybe_similar(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int, num: int = NUM, den: int = DEN) -> bool:
+    """False only for pairs that are surely not similar enough."""
+    if den * min(n_a, n_b) < num * max(n_a, n_b):
+        return False
+    size = min(len(a), len(b))
+    apart = int(np.bitwise_count(fold(a, size) ^ fold(b, size)).sum())
+    return apart * (den + num) <= (den - num) * (n_a + n_b)
+
+
+def near_pairs(comps: list[int], sizes: list[int], bits: list[np.ndarray], sides: list[int], num: int = NUM, den: int = DEN) -> list[tuple[int, int, int]]:
+    """(bits apart, i, j) of a bucket's pairs that may be similar and whose components differ.
+
+    With two sides, only pairs across them count: other tasks have the rest.
+    """
+    least = min(map(len, bits))
+    words = np.stack([fold(b, least) for b in bits]).view(np.uint64)
+    n, side, comp = np.array(sizes), np.array(sides), np.array(comps)
+    out: list[tuple[int, int, int]] = []
+    for i in range(len(n) - 1):
+        j = np.arange(i + 1, len(n))
+        j = j[(comp[j] != comp[i]) & (den * np.minimum(n[j], n[i]) >= num * np.maximum(n[j], n[i]))]
+        if side.any():
+            j = j[side[j] != side[i]]
+        if len(j):
+            apart = np.bitwise_count(words[j] ^ words[i]).sum(axis=1, dtype=np.int64)
+            keep = apart * (den + num) <= (den - num) * (n[j] + n[i])
+            out += [(int(d), i, int(x)) for d, x in zip(apart[keep], j[keep], strict=True)]
+    return out
+
+
+def compare_bucket(classes: list[int], comps: list[int], sets: list[np.ndarray], sides: list[int]) -> list[tuple[int, int]]:
     """Links that join the components of a bucket's members.
 
-    Pairs of one component are already joined. How far the counts of features
-    in 64 slices of the domain lie apart bounds two sets' difference from
-    below, which spares most others the comparison. The closest pairs are
-    compared first, as what they join spares the rest. With two sides, only
-    pairs across them are compared: other tasks have the rest.
+    Pairs of one component are already joined. The closest pairs are compared
+    first, as what they join spares the rest.
     """
     parent = {c: c for c in comps}
 
@@ -164,30 +209,17 @@ def compare_bucket(classes: list[int], comps: list[int], sets: list[np.ndarray],
             x = parent[x]
         return x
 
-    sizes = np.array([len(s) for s in sets])
-    slices = np.stack([np.bincount((s >> np.uint64(50)) % np.uint64(64), minlength=64) for s in sets]).astype(np.int32)
-    side, comp = np.array(sides), np.array(comps)
-    near: list[tuple[int, int, int]] = []
-    for i in range(len(sets) - 1):
-        j = np.arange(i + 1, len(sets))
-        j = j[(comp[j] != comp[i]) & (den * np.minimum(sizes[j], sizes[i]) >= num * np.maximum(sizes[j], sizes[i]))]
-        if side.any():
-            j = j[side[j] != side[i]]
-        if len(j):
-            apart = np.abs(slices[j] - slices[i]).sum(axis=1)
-            keep = apart * (den + num) <= (den - num) * (sizes[j] + sizes[i])
-            near += [(int(d), i, int(x)) for d, x in zip(apart[keep], j[keep], strict=True)]
     links = []
-    for _, i, j in sorted(near):
+    for _, i, j in sorted(near_pairs(comps, [len(s) for s in sets], [parity_bits(s) for s in sets], sides)):
         a, b = root(comps[i]), root(comps[j])
-        if a != b and similar(sets[i], sets[j], num, den):
+        if a != b and similar(sets[i], sets[j]):
             parent[max(a, b)] = min(a, b)
             links.append((classes[i], classes[j]))
     return links
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: id, n_shingles and component_id.
+    """Per row of ``docs``: id, text_hash, n_shingles and component_id.
 
     Rows link when their sets of 4-word shingles have a Jaccard similarity of
     0.85 or more; component_id is the least id that a row reaches, itself
@@ -203,29 +235,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for whole in batches:
             for low in range(0, whole.num_rows, 1000):
                 b = whole.slice(low, 1000)
-                n, cls, sigs = [], [], []
+                n, cls, sigs, bits = [], [], [], []
                 for text in b.column(1):
                     s = shingles(text.as_py())
                     n.append(len(s))
                     cls.append(class_of(s) if len(s) else None)
                     sigs.append(signatures(s).view(np.int64))
+                    bits.append(parity_bits(s).tobytes() if len(sigs[-1]) else None)
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
                 flat = pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays([
                     b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(cls, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets), flat),
-                ], ["tw_id", "tw_hash", "n", "cls", "sigs"])
+                    pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(bits, pa.binary()),
+                ], ["tw_id", "tw_hash", "n", "cls", "sigs", "bits"])
 
-    t = materialise(src.mapInArrow(sign, "tw_id long, tw_hash long, n long, cls long, sigs array<long>"), "signed")
-    emitted = t.select(F.explode("sigs").alias("sig"), "cls", "n")
+    t = materialise(src.mapInArrow(sign, "tw_id long, tw_hash long, n long, cls long, sigs array<long>, bits binary"), "signed")
+    emitted = t.select(F.explode("sigs").alias("sig"), "cls")
 
     # buckets of two classes or more; a signature of a third of all rows is reduced before it meets
     buckets = emitted.groupBy("sig").agg(F.min("cls").alias("pivot"), F.max("cls").alias("other"))
     buckets = materialise(buckets.where(F.col("pivot") != F.col("other")).select("sig", "pivot"), "buckets")
-    members = materialise(lookup(emitted, buckets, "sig").distinct(), "members").where(F.col("cls") != F.col("pivot"))
+    # left to Spark to broadcast or sort; both sides are shuffled for this join alone, so it may split a hot signature
+    members = materialise(emitted.join(buckets, "sig").distinct(), "members").where(F.col("cls") != F.col("pivot"))
     wanted = members.select("cls").union(members.select("pivot")).distinct()
-    reps = lookup(t.select("cls", "tw_id", "tw_hash"), wanted, "cls").groupBy("cls").agg(F.min(F.struct("tw_id", "tw_hash")).alias("r"))
-    reps = reps.select("cls", F.col("r.tw_id").alias("rep_id"), F.col("r.tw_hash").alias("tw_hash"))
+    bits = lookup(t.select("cls", "n", "bits"), wanted, "cls").dropDuplicates(["cls"])
+    bits = materialise(bits.select("cls", F.col("n").alias("size"), "bits"), "bits")
 
     def resign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -234,28 +268,42 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([
                     b.column(0), pa.array([shingles(x.as_py()).tobytes() for x in b.column(1)], pa.binary())], ["cls", "features"])
 
-    texts = lookup(src, reps.dropDuplicates(["tw_hash"]), "tw_hash").where(F.col("tw_id").eqNullSafe(F.col("rep_id")))
-    sets = texts.select("cls", "tw_text").mapInArrow(resign, "cls long, features binary")
-    sets = materialise(sets.dropDuplicates(["cls"]), "sets")
+    def sets_of(classes: DataFrame) -> DataFrame:
+        """cls, features: the sets themselves, made again from one text of each class."""
+        reps = lookup(t.select("cls", "tw_id", "tw_hash"), classes.distinct(), "cls")
+        reps = reps.groupBy("cls").agg(F.min(F.struct("tw_id", "tw_hash")).alias("r"))
+        reps = reps.select("cls", F.col("r.tw_id").alias("rep_id"), F.col("r.tw_hash").alias("tw_hash"))
+        texts = lookup(src, reps.dropDuplicates(["tw_hash"]), "tw_hash").where(F.col("tw_id").eqNullSafe(F.col("rep_id")))
+        found = texts.select("cls", "tw_text").mapInArrow(resign, "cls long, features binary")
+        return materialise(found.dropDuplicates(["cls"]), "sets")
 
-    # first every member against its bucket's pivot: that joins what large groups have in common
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = [similar(_set(x.as_py()), _set(y.as_py())) for x, y in zip(b.column(2), b.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    def both(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+        for key in ("a", "b"):
+            pairs = pairs.join(table.select(F.col("cls").alias(key), *[F.col(c).alias(f"{c}_{key}") for c in columns]), key)
+        return pairs.select("a", "b", *[f"{c}_{key}" for c in columns for key in ("a", "b")])
+
+    def where_pairs(test):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ok = [test(*row) for row in zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+        return run
+
+    # first every member against its bucket's pivot: that joins what large groups have in common
     pairs = members.select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
-    pairs = pairs.join(sets.select(F.col("cls").alias("a"), F.col("features").alias("x")), "a")
-    pairs = pairs.join(sets.select(F.col("cls").alias("b"), F.col("features").alias("y")), "b")
-    links = materialise(pairs.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links")
+    may = where_pairs(lambda n_a, n_b, x, y: maybe_similar(np.frombuffer(x, np.uint8), n_a, np.frombuffer(y, np.uint8), n_b))
+    pairs = materialise(both(pairs, bits, "size", "bits").mapInArrow(may, "a long, b long"), "pairs")
+    sets = sets_of(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")))
+    are = where_pairs(lambda x, y: similar(_set(x), _set(y)))
+    links = materialise(both(pairs, sets, "features").mapInArrow(are, "a long, b long"), "links")
 
     # then the other members of a bucket, if they are not all of one component
     comps = components(links).withColumnRenamed("node", "cls")
-    left = materialise(lookup(members, comps, "cls", "left").select("sig", "cls", "n", F.coalesce("comp", "cls").alias("comp")), "left")
+    left = materialise(lookup(members, comps, "cls", "left").select("sig", "cls", F.coalesce("comp", "cls").alias("comp")), "left")
     mixed = left.groupBy("sig").agg(
-        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), F.sum("n").alias("features"))
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("features") * 8 / BLOCK_BYTES)).cast("int")
-    mixed = mixed.where(F.col("low") != F.col("high")).select("sig", blocks.alias("blocks"))
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
+    mixed = mixed.where(F.col("low") != F.col("high")).select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     open_ = lookup(left, mixed, "sig").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     open_ = open_.select("sig", "cls", "comp", "own", other.alias("other"))
@@ -264,13 +312,35 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"),
     )
 
+    def in_order(rows: pa.Table) -> pa.Table:
+        return rows.sort_by([("cls", "ascending"), ("side", "ascending")])
+
+    def narrow(key: tuple, rows: pa.Table) -> pa.Table:
+        """Pairs that may be similar; where they are many for the members, the members instead."""
+        rows = in_order(rows)
+        found = near_pairs(
+            rows["comp"].to_pylist(), rows["size"].to_pylist(), [np.frombuffer(x.as_py(), np.uint8) for x in rows["bits"]], rows["side"].to_pylist())
+        own = rows.select(["task", "cls", "comp", "side"])
+        if len(found) > DENSE * len(rows):
+            out = own.take(pa.array(sorted({x for _, i, j in found for x in (i, j)}), pa.int64()))
+            return out.append_column("other", pa.nulls(len(out), pa.int64()))
+        out = own.take(pa.array([i for _, i, _ in found], pa.int64()))
+        return out.append_column("other", rows["cls"].take(pa.array([j for _, _, j in found], pa.int64())))
+
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("cls", "ascending"), ("side", "ascending")])
+        rows = in_order(rows)
         found = compare_bucket(
             rows["cls"].to_pylist(), rows["comp"].to_pylist(), [_set(x.as_py()) for x in rows["features"]], rows["side"].to_pylist())
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    more = open_.join(sets, "cls").groupBy("task").applyInArrow(compare, "a long, b long")
+    near = open_.join(bits, "cls").groupBy("task").applyInArrow(narrow, "task long, cls long, comp long, side int, other long")
+    near = materialise(near, "near")
+    # the same pair comes from many signatures: it is compared once
+    pairs = near.where(F.col("other").isNotNull()).select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
+    dense = near.where(F.col("other").isNull()).drop("other")
+    sets = sets_of(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(dense.select("cls")))
+    more = both(pairs, sets, "features").mapInArrow(are, "a long, b long").union(
+        dense.join(sets, "cls").groupBy("task").applyInArrow(compare, "a long, b long"))
     more = materialise(more.distinct(), "links")
     comps = components(links.unionByName(more)).withColumnRenamed("node", "cls")
 
@@ -280,5 +350,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tops = joined.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("least").alias("top"))
     labels = lookup(joined.where((F.col("rows") > 1) | F.col("comp").isNotNull()), tops, "comp", "left")
     labels = materialise(labels.select("cls", F.coalesce("top", "least").alias("component_id")), "labels")
-    out = lookup(t.select("tw_id", "n", "cls"), labels, "cls", "left")
-    return out.select(F.col("tw_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "tw_id").alias("component_id"))
+    out = lookup(t.select("tw_id", "tw_hash", "n", "cls"), labels, "cls", "left")
+    return out.select(F.col("tw_id").alias(id_col), F.col("tw_hash").alias("text_hash"), F.col("n").alias("n_shingles"),
+                      F.coalesce("component_id", "tw_id").alias("component_id"))

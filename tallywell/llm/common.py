@@ -71,7 +71,9 @@ def let(value: Column, body) -> Column:
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else; null becomes the empty string."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.translate(F.coalesce(text, F.lit("")), upper, upper.lower())
+    text = F.coalesce(text, F.lit(""))
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
 def lookup(big: DataFrame, small: DataFrame, key: str, how: str = "inner", salts: int = 16, limit: int = BROADCAST_ROWS) -> DataFrame:

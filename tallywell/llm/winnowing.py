@@ -92,9 +92,12 @@ def decontaminate(
         all_prints = fingerprints(F.col("tw_words"))
         if part == 0:
             all_prints = F.concat(F.array(F.lit(None).cast("long")), all_prints)
-        e = d.select("tw_id", "tw_hash", "tw_words", F.posexplode(all_prints).alias("tw_at", "tw_print"))
+        # a column of its own first, so that the rows it explodes into pass through generated code; outer, as
+        # for the inner form Spark would compute the array once more, to drop empty ones beforehand
+        e = d.withColumn("tw_prints", all_prints)
+        e = e.select("tw_id", "tw_hash", "tw_words", F.posexplode_outer("tw_prints").alias("tw_at", "tw_print"))
         if part:
-            e = e.withColumn("tw_at", F.col("tw_at") + 1)
+            e = e.where(F.col("tw_at").isNotNull()).withColumn("tw_at", F.col("tw_at") + 1)
         e = e.join(mine, "tw_print", "left").where(F.col("tw_known") | (F.col("tw_at") == 0))
         hit = F.when(F.col("tw_at") > 0, windows_text(F.col("tw_words"), F.col("tw_at"), F.lit(WINDOW)))
         return e.select("tw_id", "tw_hash", n_words, "tw_at", hit.alias("tw_text"))

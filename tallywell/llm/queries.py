@@ -132,17 +132,58 @@ with r(verdict, rhost, rpath) as (values
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from m where n = 1
 """
 
-SQL_NEAREST = """
-with v as (
-  select vec_id, list_transform(embedding, x -> cast(x as double)) as e from embeddings
-  where vec_id is not null and embedding is not null and len(embedding) > 0
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SQL_JACCARD = f"""
+with recursive d as (
+  select doc_id, row_number() over () as k,
+    regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') as w from documents
 ), s as (
-  select q.vec_id as query_id, c.vec_id, list_cosine_similarity(q.e, c.e) as score
-  from v q, v c where q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
+  select distinct k, array_to_string(w[i:i + 3], ' ') as shingle
+  from (select k, w, unnest(range(1, greatest(len(w) - 2, least(len(w), 1) + 1))) as i from d)
+), n as (select k, count(*) as n from s group by k),
+pairs as (select a.k as a, b.k as b, count(*) as common from s a join s b on a.shingle = b.shingle and a.k <> b.k group by 1, 2),
+links as (select a, b from pairs join n x on a = x.k join n y on b = y.k where 100 * common >= 85 * (x.n + y.n - common)),
+reach(k, r) as (select k, k from d union select reach.k, links.b from reach join links on reach.r = links.a)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.least as component_id
+from d left join n on d.k = n.k join (select reach.k, min(e.doc_id) as least from reach join d e on reach.r = e.k group by 1) c on d.k = c.k
+"""
+
+# Every candidate of a kind with its place: a text split by a pattern and the pattern's matches alternate.
+_PLACES = """
+select k, {order} as o, '{kind}' as kind, m, stop - length(m) as start, stop from (
+  select k, ms[i] as m, sum(length(gs[i]) + length(ms[i])) over (partition by k order by i) as stop
+  from (select k, ms, gs, unnest(range(1, len(ms) + 1)) as i from (
+    select k, regexp_extract_all(t, '{pattern}') as ms, string_split_regex(t, '{pattern}') as gs from d)))
+where {holds}
+"""
+_ASSIGN_SQL = """((?i:password|passwd|secret|token|api_?key))["\'\']?\\x20*[:=]\\x20*["\'\']?([A-Za-z0-9+/_.=-]+)"""
+_SECRETS_SQL = " union all ".join(_PLACES.format(order=o, kind=k, pattern=p, holds=h) for o, (k, p, h) in enumerate((
+    ("assign", _ASSIGN_SQL, f"length(regexp_extract(m, '{_ASSIGN_SQL}', 2)) >= 12"),
+    ("access", "AKIA[A-Z0-9]+", "length(m) >= 18"),
+    ("hex", "[0-9a-f]{16,}", "true"),
+    ("generic", "[A-Za-z0-9+_=-]{24,}", "regexp_matches(m, '[A-Z]') and regexp_matches(m, '[a-z]')"
+     " and regexp_matches(m, '[0-9].*[0-9].*[0-9]') and len(list_distinct(string_split(m, ''))) >= 12"),
+)))
+_PLACEHOLDER_SQL = secretscan.PLACEHOLDER.replace("'", "''")
+SQL_SECRETS = f"""
+with d as (select doc_id, row_number() over () as k, coalesce(text, '') as t, coalesce(source, '') as owner from documents),
+c as ({_SECRETS_SQL}),
+f as (select m, count(distinct owner) as owners from c join d on c.k = d.k group by 1),
+base as (select * from c where o < 3),
+added as (
+  select c.* from c join f on c.m = f.m where c.o = 3 and f.owners <= {secretscan.LIVE_OWNERS} and f.owners < {secretscan.EXAMPLE_OWNERS}
+    and not regexp_matches(c.m, '{_PLACEHOLDER_SQL}')
+    and not exists (select 1 from base b where b.k = c.k and c.start < b.stop and b.start < c.stop)
+), b as (
+  select k, count(*) filter (o = 0) as n_assign, count(*) filter (o = 1) as n_access, count(*) filter (o = 2) as n_hex,
+    string_agg(kind || ':' || start::bigint || ':' || stop::bigint, ',' order by start, o) as spans from base group by 1
+), a as (
+  select k, string_agg(kind || ':' || start::bigint || ':' || stop::bigint, ',' order by start, o) as spans
+  from (select * from base union all select * from added) group by 1
 )
-select query_id, cast(rank as integer) as rank, vec_id, score from (
-  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5
+select d.doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex,
+  sha256(coalesce(b.spans, '')) as base_sha256, coalesce(a.spans, '') as spans
+from d left join b on d.k = b.k left join a on d.k = a.k
 """
 
 QUERIES = {
@@ -158,4 +199,10 @@ QUERIES = {
     "op10_main_text": op10_main_text,
 }
 #: op1, op4, op7, op9 and op10 are tested against brute force or on fixtures instead.
-ORACLES = {"op2_warc": SQL_WARC, "op3_decontamination": SQL_DECONTAMINATION, "op8_url_filters": SQL_URLS}
+ORACLES = {
+    "op2_warc": SQL_WARC,
+    "op3_decontamination": SQL_DECONTAMINATION,
+    "op5_secret_scan": SQL_SECRETS,
+    "op6_jaccard_join": SQL_JACCARD,
+    "op8_url_filters": SQL_URLS,
+}

@@ -28,6 +28,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows and bytes of an Arrow batch, in place of Spark's defaults, which are
+#: meant for short rows: a task holds several copies of a batch, some off the heap.
+ARROW_BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m"),
+}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts small, unless the session says otherwise."""
+    for key, (default, own) in ARROW_BATCH.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, own)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
     app = spark.sparkContext.applicationId

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tallywell.llm.common import bound_batches
+
 UNKNOWN = "und"
 #: Bytes of an n-gram. Texts are UTF-8, so a letter beyond ASCII has two or more.
 N = 4
@@ -144,6 +146,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     Null texts, ids or labels are left out. At most 63 languages, the most
     frequent ones, get a filter; with none, every text is ``und``.
     """
+    bound_batches(docs.sparkSession)
     d = docs.select(
         F.col(id_col).cast("string").alias("tw_id"), F.col(text_col).alias("tw_text"),
         F.col(lang_col).cast("string").alias("tw_lang"),
@@ -208,10 +211,12 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     types = [docs.schema[c].dataType for c in keep]
     schema = ", ".join([*(f"`{c}` {t.simpleString()}" for c, t in zip(keep, types, strict=True)), "lang_pred string", "score double"])
     arrow = [to_arrow_type(t) for t in types]
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS * 8 bytes, whatever the input
+    sends = keep if text_col in keep else [*keep, text_col]
+    text_at = sends.index(text_col)
     src = docs.select(
-        *[F.col(c).alias(f"tw_{i}") for i, c in enumerate(keep)],
-        F.coalesce(F.col(text_col), F.lit("")).alias("tw_text"),
+        *[F.col(c).alias(f"tw_{i}") for i, c in enumerate(sends)],
         F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("tw_letters"),
     )
     names = [*keep, "lang_pred", "score"]
@@ -220,10 +225,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
         m = sent.value
         for batch in batches:
             n = batch.num_rows
-            letters = np.array(batch.column(len(keep) + 1).to_pylist(), bool)
+            letters = np.array(batch.column(len(sends)).to_pylist(), bool)
             langs, score = [UNKNOWN] * n, np.zeros(n)
             if m.langs and n:
-                langs, score = m.decide(*m.count(batch.column(len(keep))))
+                langs, score = m.decide(*m.count(batch.column(text_at).fill_null("")))
             out = [x if ok else UNKNOWN for x, ok in zip(langs, letters, strict=True)]
             own = [batch.column(i).cast(t) for i, t in enumerate(arrow)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(out, pa.string()), pa.array(np.where(letters, score, 0.0))], names)

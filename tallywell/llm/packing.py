@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tallywell.llm.common import materialise
+from tallywell.llm.common import bound_batches, materialise
 
 #: Partitions (or groups of them) whose leftovers are merged at a time, and
 #: levels of merging: enough for FAN_IN ** LEVELS partitions.
@@ -169,6 +169,7 @@ def pack_documents(
     depends on how the input is split; the pieces always tile every document
     and every sequence.
     """
+    bound_batches(docs.sparkSession)
     id_type = to_arrow_type(docs.schema[id_col].dataType)
     schema = f"tw_doc {docs.schema[id_col].dataType.simpleString()}, {PIECES}"
     src = docs.select(

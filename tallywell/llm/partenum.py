@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywell.llm.common import components, lookup, materialise
+from tallywell.llm.common import bound_batches, components, lookup, materialise
 
 #: Similarity: NUM / DEN.
 NUM, DEN = 85, 100
@@ -229,6 +229,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ids keep their rows; other columns are ignored; an empty table gives an
     empty result. Sets are held as 64-bit hashes of shingles.
     """
+    bound_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("tw_id"), F.col(text_col).alias("tw_text"), F.xxhash64(text_col).alias("tw_hash"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tallywell.llm.common import lookup, lower_ascii, materialise
+from tallywell.llm.common import bound_batches, lookup, lower_ascii, materialise
 
 #: Weight of content against presentation in a node's importance.
 GAMMA = 0.9
@@ -115,7 +115,7 @@ def blocks_of(page: str) -> Iterator[tuple[str, str, bool, bool]]:
             at = page.find(">", end.end()) + 1 if end else n
             at = at or n
             continue
-        if tag in SPACE:
+        if tag in SPACE and text:  # what separates nothing is left out
             text.append(" ")
         node = None if closing else _opened(stack[-1], tag, attributes)
         # text belongs to one block, and never to a dropped and a kept element at once
@@ -162,6 +162,7 @@ def _host(url):
 
 def style_nodes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """host, path, pages, importance: the merged style tree of each host."""
+    bound_batches(pages.sparkSession)
     src = pages.select(_host(F.col(url_col)).alias("tw_host"), F.coalesce(F.col(html_col), F.lit("")).alias("tw_html"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,14 +12,13 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywell.llm.common import fresh_path, lower_ascii, materialise, maybe_broadcast
+from tallywell.llm.common import bound_batches, fresh_path, lower_ascii, materialise, maybe_broadcast
 
 #: Payloads of fewer bytes are always stored.
 MIN_REVISIT = 100
@@ -128,6 +127,7 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     A file's name depends on its task's partition alone and its bytes on its
     rows, so a task that runs again replaces a file by the same bytes.
     """
+    bound_batches(pages.sparkSession)
     again = maybe_broadcast(revisits(pages, id_col, payload_col))
     date = F.lit(None) if date_col is None else F.date_format(F.col(date_col), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     src = pages.select(

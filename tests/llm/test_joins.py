@@ -153,3 +153,17 @@ def test_contamination_equals_brute_force(spark, rows):
     assert sorted(got, key=repr) == brute_contamination(docs, items)
     assert winnowing.decontaminate(d.limit(0), b).count() == 0
     assert winnowing.decontaminate(d, b.limit(0)).where("n_hit > 0 or contaminated").count() == 0
+
+
+def test_batches_are_bounded_unless_set(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        common.bound_batches(spark)
+        assert spark.conf.get(key) == common.ARROW_BATCH[key][1]
+        spark.conf.set(key, "77")
+        common.bound_batches(spark)
+        assert spark.conf.get(key) == "77"
+    finally:
+        spark.conf.set(key, before)

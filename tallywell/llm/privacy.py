@@ -97,7 +97,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     pairs = pairs.join(around_any, "term").where(F.col("both") >= CERTAINTY * F.col("near_rows")).drop("near_rows")
     pairs = materialise(pairs, "terms")
     known = maybe_broadcast(pairs.select("term").distinct())
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), r"\P{L}+"))).alias("term"))
+    # outer: for the inner form Spark would split every text once more, to drop empty ones beforehand
+    words = docs.select(F.explode_outer(F.array_distinct(F.split(F.lower(F.col(text_col)), r"\P{L}+"))).alias("term"))
     seen = words.join(known, "term").groupBy("term").agg(F.count("*").alias("rows"))
     of_entity = near.select("entity", "tw_row").distinct().groupBy("entity").agg(F.count("*").alias("entity_rows"))
     told = pairs.join(seen, "term").join(of_entity, "entity").withColumn("all_rows", F.lit(docs.count()))

@@ -311,3 +311,14 @@ select round(median(a.v - b.v), 6) as shift from (select l_quantity as v from li
 def hodges_lehmann(spark, sf_dir):
     d = _table(spark, sf_dir, "lineitem").where(F.col("l_linenumber") == 7)
     return spark.createDataFrame([(round(groups.hodges_lehmann(d, "l_returnflag", "l_quantity", "A", "R"), 6),)], "shift double")
+
+
+@_register("hodges_lehmann_whole", """
+with g as (select l_returnflag as f, l_quantity as v, count(*) as w from lineitem where l_returnflag in ('A', 'R') and l_quantity is not null group by 1, 2),
+d as (select a.v - b.v as x, sum(a.w * b.w) as w from g a, g b where a.f = 'A' and b.f = 'R' group by 1),
+c as (select x, sum(w) over (order by x) as upto, sum(w) over () as n from d)
+select round((min(x) filter (upto >= (n + 1) // 2) + min(x) filter (upto >= n // 2 + 1)) / 2.0::double, 6) as shift from c""")
+def hodges_lehmann_whole(spark, sf_dir):
+    shift = groups.hodges_lehmann(_table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity", "A", "R")
+    return spark.createDataFrame([(None if shift is None else round(shift, 6),)], "shift double")
+

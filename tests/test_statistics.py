@@ -1,8 +1,10 @@
 import math
 
+import numpy as np
 import pytest
 
 from tallywell.functions import kernels as K
+from tallywell.operators import groups
 from tallywell.operators.groups import group_counts, hodges_lehmann, k_anonymity, rank_sums, require_k_anonymity
 from tallywell.plans import experiments as E
 from tallywell.plans import statistics as S
@@ -88,6 +90,21 @@ def test_ranks_and_shift(spark):
     assert hodges_lehmann(df, "g", "x", "a", "b") == pytest.approx(-1.0)
 
 
+def test_shift_is_exact_beyond_the_pairs_that_are_formed(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+
+    def check(a, b):
+        df = spark.createDataFrame([("a", float(x)) for x in a] + [("b", float(x)) for x in b] + [("a", None)], "g string, x double").repartition(3)
+        got, want = hodges_lehmann(df, "g", "x", "a", "b"), float(np.median(np.subtract.outer(a, b)))
+        assert got == want or np.isnan(got) and np.isnan(want), (got, want)
+
+    check(rng.normal(size=2100), rng.exponential(size=2101))
+    monkeypatch.setattr(groups, "EXACT_PAIRS", 0)
+    monkeypatch.setattr(groups, "CHUNK", 7)
+    check(np.array([-1e308, 1e308, 5e-324, 0.0, *range(8)]), np.array([1e308, -1e308, 0.1, 3.0, 3.0, np.inf]))
+    assert hodges_lehmann(spark.createDataFrame([("a", 1.0)], "g string, x double"), "g", "x", "a", "b") is None
+
+
 def test_colours():
     g = S.analyze("binary", "rct", "research", counts=(460, 1000, 500, 1000))
     y = S.analyze("binary", "two_group", "research", counts=(460, 1000, 500, 1000))

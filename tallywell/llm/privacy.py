@@ -1,29 +1,28 @@
 """Personal data: patterns, and information-theoretic sanitisation of terms.
 
 Emails, IP addresses, payment cards and phone numbers are found by pattern:
-the protected entities. Terms next to them are weighed by how much they
-reveal: over the whole corpus, how often a text that has the term has it next
-to that entity, and how many bits that adds to the entity's own frequency.
+the protected entities. Terms of texts that hold them are weighed by how much
+they reveal: over the whole corpus, how often a text that has the term holds
+that entity, and how many bits that adds to the entity's own frequency.
 Terms beyond both thresholds are spans too. DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywell.llm.common import materialise, maybe_broadcast
+from tallywell.llm.common import lookup, materialise, maybe_broadcast
 from tallywell.llm.spans import Kind, find_spans, mask, span_struct
 
-#: Code points before and after an entity in which terms are looked for.
-CONTEXT = 64
-#: Different contexts in which a term must stand next to an entity.
+#: Different texts in which a term must stand together with an entity.
 SUPPORT = 3
 #: A term is disclosing if P(entity | term) is so high and so many bits are gained.
 CERTAINTY, BITS = 0.5, 6.0
 #: From this certainty a term is removed; below it is generalised.
 REMOVE = 0.9
-TERM = r"\p{L}{4,}"
+#: Letters of a term at least: short names are terms too.
+LETTERS = 2
 
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
@@ -55,21 +54,8 @@ KINDS = [
 BASE = len(KINDS)
 
 
-def _terms(side: Column, at: Column, cut_first: bool) -> Column:
-    """(term, start, end) of whole words of ``side``, which begins at ``at``."""
-    words, gaps = F.regexp_extract_all(side, F.lit(TERM), F.lit(0)), F.split(side, TERM)
-    start = F.struct(at.alias("at"), F.array().cast("array<struct<term:string,start:bigint,end:bigint>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        low = acc["at"] + F.length(x["gap"])
-        high = low + F.length(x["word"])
-        return F.struct(high.alias("at"), F.concat(acc["out"], F.array(F.struct(
-            F.lower(x["word"]).alias("term"), low.alias("start"), high.alias("end")))).alias("out"))
-
-    found = F.aggregate(F.zip_with(words, F.slice(gaps, F.lit(1), F.size(words)), lambda w, g: F.struct(w.alias("word"), g.alias("gap"))), start, step)["out"]
-    # a word at the cut may be the rest of a longer one
-    edge = (lambda t: t["start"] > at) if cut_first else (lambda t: t["end"] < at + F.length(side))
-    return F.filter(found, lambda t: edge(t) | (F.length(side) < CONTEXT))
+def _words(text: Column) -> Column:
+    return F.filter(F.array_distinct(F.split(F.lower(text), r"\P{L}+")), lambda w: F.length(w) >= LETTERS)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,46 +63,59 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     Spans are (start, order, end, kind), counted in code points, sorted by
     start and then by kind; ``removed`` holds the starts of terms to remove
-    rather than generalise. Base spans are always reported. A ``term`` span
-    stands next to an entity that the term reveals, and overlaps no base span.
+    rather than generalise. Base spans are always reported. Every occurrence of
+    a term in a text that holds an entity it reveals is a ``term`` span, however
+    far away, unless it overlaps a base span.
     Null and empty texts have none; repeated rows keep their rows; other
     columns are ignored; an empty table gives an empty result.
     """
-    rows, hits = find_spans(docs, id_col, text_col, KINDS, context=CONTEXT, name="private")
+    rows, hits = find_spans(docs, id_col, text_col, KINDS, extra={"tw_hash": F.xxhash64(text_col)}, name="private")
+    texts = docs.select(F.xxhash64(text_col).alias("tw_hash"), F.col(text_col).alias("tw_text"))
     entity = F.concat_ws(":", "tw_kind", F.lower(F.regexp_replace("tw_match", r"[\x20()-]", "")))
-    around = F.concat(
-        _terms(F.col("tw_before"), F.col("tw_start") - F.length("tw_before"), True), _terms(F.col("tw_after"), F.col("tw_end"), False))
-    near = hits.select("tw_row", entity.alias("entity"), F.xxhash64("tw_before", "tw_after").alias("context"), F.explode(around).alias("t"))
-    near = near.select("tw_row", "entity", "context", "t.*")
-    # copies of a text repeat its contexts; support counts different ones
-    pairs = near.select("term", "entity", "context", "tw_row").distinct().groupBy("term", "entity", "context").agg(F.count("*").alias("rows"))
-    pairs = pairs.groupBy("term", "entity").agg(F.count("*").alias("support"), F.sum("rows").alias("both")).where(F.col("support") >= SUPPORT)
-    # a term is in no fewer texts than have it near any entity: most words can't be
+    # all is counted by different texts, which know their numbers of rows
+    held = hits.select(entity.alias("entity"), "tw_hash", "tw_row").distinct().groupBy("entity", "tw_hash").agg(F.count("*").alias("copies"))
+    held = materialise(held, "held")
+    every = docs.count()
+    # of an entity in fewer texts, or in so many rows that no term adds enough bits, no term can be told
+    of_entity = held.groupBy("entity").agg(F.count("*").alias("texts"), F.sum("copies").alias("entity_rows"))
+    of_entity = of_entity.where((F.col("texts") >= SUPPORT) & (F.col("entity_rows") * 2.0**BITS <= every)).drop("texts")
+    of_entity = maybe_broadcast(materialise(of_entity, "entities"))
+    held = materialise(held.join(of_entity.select("entity"), "entity"), "open")
+    holding = materialise(held.groupBy("tw_hash").agg(F.first("copies").alias("copies")), "holding")
+    words = texts.join(maybe_broadcast(holding.select("tw_hash")), "tw_hash").select("tw_hash", F.explode(_words(F.col("tw_text"))).alias("term"))
+    words = materialise(words.distinct(), "words")
+    pairs = words.join(held, "tw_hash").groupBy("term", "entity").agg(F.count("*").alias("support"), F.sum("copies").alias("both"))
+    # a term is in no fewer rows than hold any such entity: most words can't be
     # certain enough by that alone, and need not be counted over the corpus
-    around_any = near.select("term", "tw_row").distinct().groupBy("term").agg(F.count("*").alias("near_rows"))
-    pairs = pairs.join(around_any, "term").where(F.col("both") >= CERTAINTY * F.col("near_rows")).drop("near_rows")
+    around_any = words.join(holding, "tw_hash").groupBy("term").agg(F.sum("copies").alias("near_rows"))
+    pairs = pairs.where(F.col("support") >= SUPPORT).join(around_any, "term").where(F.col("both") >= CERTAINTY * F.col("near_rows")).drop("near_rows")
     pairs = materialise(pairs, "terms")
     known = maybe_broadcast(pairs.select("term").distinct())
     # outer: for the inner form Spark would split every text once more, to drop empty ones beforehand
-    words = docs.select(F.explode_outer(F.array_distinct(F.split(F.lower(F.col(text_col)), r"\P{L}+"))).alias("term"))
-    seen = words.join(known, "term").groupBy("term").agg(F.count("*").alias("rows"))
-    of_entity = near.select("entity", "tw_row").distinct().groupBy("entity").agg(F.count("*").alias("entity_rows"))
-    told = pairs.join(seen, "term").join(of_entity, "entity").withColumn("all_rows", F.lit(docs.count()))
+    anywhere = texts.select(F.explode_outer(F.array_distinct(F.split(F.lower("tw_text"), r"\P{L}+"))).alias("term"))
+    seen = anywhere.join(known, "term").groupBy("term").agg(F.count("*").alias("rows"))
+    told = pairs.join(seen, "term").join(of_entity, "entity")
     certainty = F.least(F.col("both") / F.col("rows"), F.lit(1.0))
     told = told.withColumn("certainty", certainty).where(
-        (certainty >= CERTAINTY) & (F.log2(certainty * F.col("all_rows") / F.col("entity_rows")) >= BITS))
+        (certainty >= CERTAINTY) & (F.log2(certainty * every / F.col("entity_rows")) >= BITS))
     told = maybe_broadcast(materialise(told.select("term", "entity", "certainty"), "told"))
-    terms = near.join(told, ["term", "entity"]).select(
-        "tw_row", F.col("start").alias("tw_start"), F.col("end").alias("tw_end"), F.lit(BASE).alias("tw_order"),
-        F.lit("term").alias("tw_kind"), (F.col("certainty") >= REMOVE).alias("gone"))
-    spans = hits.select("tw_row", "tw_start", "tw_end", "tw_order", "tw_kind", F.lit(False).alias("gone")).unionByName(terms)
-    of_row = spans.groupBy("tw_row").agg(
-        F.collect_list(F.when(F.col("tw_order") < BASE, span_struct())).alias("base"),
-        F.collect_set(F.when(F.col("tw_order") == BASE, span_struct())).alias("added"),
-        F.collect_set(F.when(F.col("gone"), F.col("tw_start"))).alias("removed"),
-    )
+    here = held.join(told, "entity").join(words, ["tw_hash", "term"]).groupBy("tw_hash", "term").agg((F.max("certainty") >= REMOVE).alias("gone"))
+    here = materialise(here, "here")
+    # a text is split once, whatever its copies; its words' places are running sums
+    once = texts.join(maybe_broadcast(here.select("tw_hash").distinct()), "tw_hash").groupBy("tw_hash").agg(F.first("tw_text").alias("tw_text"))
+    found, gaps = F.regexp_extract_all("tw_text", F.lit(r"\p{L}+"), F.lit(0)), F.split("tw_text", r"\p{L}+")
+    each = once.select("tw_hash", F.posexplode(F.zip_with(
+        found, F.slice(gaps, F.lit(1), F.size(found)), lambda w, g: F.struct(w.alias("word"), (F.length(g)).alias("gap")))).alias("at", "w"))
+    before = Window.partitionBy("tw_hash").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.select("tw_hash", F.lower("w.word").alias("term"), F.length("w.word").alias("n"), F.sum(F.col("w.gap") + F.length("w.word")).over(before).alias("tw_end"))
+    placed = each.join(here, ["tw_hash", "term"]).select(
+        "tw_hash", (F.col("tw_end") - F.col("n")).alias("tw_start"), "tw_end", F.lit(BASE).alias("tw_order"), F.lit("term").alias("tw_kind"), "gone")
+    of_text = materialise(placed.groupBy("tw_hash").agg(
+        F.collect_list(span_struct()).alias("added"), F.collect_list(F.when(F.col("gone"), F.col("tw_start"))).alias("removed")), "added")
+    of_row = hits.groupBy("tw_row").agg(F.collect_list(span_struct()).alias("base"))
     empty = F.array().cast("array<struct<start:bigint,order:int,end:bigint,kind:string>>")
-    out = rows.select("tw_row", F.col("tw_id").alias(id_col)).join(of_row, "tw_row", "left")
+    out = rows.select("tw_row", "tw_hash", F.col("tw_id").alias(id_col)).join(of_row, "tw_row", "left")
+    out = lookup(out, of_text, "tw_hash", "left")
     out = out.withColumns({
         "base": F.coalesce("base", empty), "added": F.coalesce("added", empty),
         "removed": F.coalesce("removed", F.array().cast("array<bigint>"))})

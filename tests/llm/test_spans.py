@@ -93,3 +93,15 @@ def test_disclosing_terms(spark):
         assert terms == (["Quillfeather"] * (i < 4) + ["wrote"] * (i < 4)), (i, terms)
     clean = {r["doc_id"]: r["text"] for r in privacy.sanitise(df).collect()}
     assert "Quillfeather" not in clean[0] and "[EMAIL]" in clean[0] and clean[100] == dict(rows)[100]
+
+
+def test_terms_far_from_their_entity(spark):
+    rng = random.Random(2)
+    filler = lambda n=40: " ".join(rng.choice(["alpha", "bravo", "charlie", "delta", "echo"]) for _ in range(n))
+    rows = [(i, f"Quill Xu {filler()} a.b@mail.example {filler()} Xu") for i in range(4)]
+    rows += [(10 + i, f"{filler()}\n-- \nZoe wrote c.d@mail.example and her signature block never changes at all, at all") for i in range(4)]
+    rows += [(100 + i, f"{filler()} and her signature block never changes at all") for i in range(600)]
+    out = {r["doc_id"]: r for r in privacy.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        terms = [text[s["start"]:s["end"]] for s in out[i]["spans"] if s["kind"] == "term"]
+        assert terms == (["Quill", "Xu", "Xu"] if i < 4 else ["Zoe", "wrote"] if i < 14 else []), (i, terms)

@@ -10,6 +10,7 @@ globally ordered capture histories. Reading follows that index.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -44,21 +45,27 @@ def url_key(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.regexp_replace(rest, r"^[^/?#]*", ""))
 
 
+def _digest(payload: Column) -> Column:
+    return F.unhex(F.sha2(payload, 256))
+
+
 def revisits(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """tw_id, tw_refers: each page whose payload a page of smaller id has.
+    """tw_id, tw_digest, tw_refers: each (id, payload) whose payload a page of smaller id has.
 
-    Only ids and digests are shuffled. A payload's copies, which may be a third
-    of all rows, are reduced per salt before they meet, and meet again per salt.
+    Only ids and digests are shuffled; they are written once. A payload's copies,
+    which may be a third of all rows, are reduced per salt before they meet, and
+    meet again per salt.
     """
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    d = pages.select(F.col(id_col).cast("long").alias("tw_id"), F.octet_length(payload).alias("n"), F.unhex(F.sha2(payload, 256)).alias("digest"))
+    d = pages.select(F.col(id_col).cast("long").alias("tw_id"), F.octet_length(payload).alias("n"), _digest(payload).alias("tw_digest"))
     d = d.where((F.col("n") >= min_bytes) & F.col("tw_id").isNotNull()).drop("n")
-    d = d.withColumn("salt", F.pmod(F.xxhash64("tw_id"), F.lit(SALTS)))
-    least = d.groupBy("digest", "salt").agg(F.min("tw_id").alias("least"), F.max("tw_id").alias("most"))
-    least = least.groupBy("digest").agg(F.min("least").alias("tw_refers"), F.max("most").alias("most"))
+    d = materialise(d.withColumn("salt", F.pmod(F.xxhash64("tw_id"), F.lit(SALTS))), "digests")
+    least = d.groupBy("tw_digest", "salt").agg(F.min("tw_id").alias("least"), F.max("tw_id").alias("most"))
+    least = least.groupBy("tw_digest").agg(F.min("least").alias("tw_refers"), F.max("most").alias("most"))
     least = least.where(F.col("most") > F.col("tw_refers")).drop("most")
     least = least.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
-    return d.join(least, ["digest", "salt"]).where(F.col("tw_id") > F.col("tw_refers")).select("tw_id", "tw_refers").distinct()
+    found = d.join(least, ["tw_digest", "salt"]).where(F.col("tw_id") > F.col("tw_refers"))
+    return materialise(found.select("tw_id", "tw_digest", "tw_refers").distinct(), "revisits")
 
 
 def _record(page_id, url: str, date: str, payload: bytes, refers) -> bytes:
@@ -115,6 +122,7 @@ def _store(uri: str):
 
     if uri.startswith("file:"):
         uri = "/" + uri.removeprefix("file:").lstrip("/")
+    uri = re.sub(r"^s3[an]:", "s3:", uri)  # pyarrow knows this store by one name
     return (fs.LocalFileSystem(), uri) if uri.startswith("/") else fs.FileSystem.from_uri(uri)
 
 
@@ -134,7 +142,9 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
         F.col(id_col).cast("long").alias("tw_id"), F.col(url_col).cast("string").alias("tw_url"),
         F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("tw_payload"),
         F.coalesce(date, F.lit(DATE)).alias("tw_date"), url_key(F.col(url_col)).alias("tw_key"),
-    ).join(again, "tw_id", "left")
+    )
+    # by id and payload: other payloads under the same id are records of their own
+    src = src.withColumn("tw_digest", _digest(F.col("tw_payload"))).join(again, ["tw_id", "tw_digest"], "left")
     src = src.select("tw_id", "tw_url", "tw_payload", "tw_date", "tw_key", "tw_refers")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +289,8 @@ def round_trip(pages: DataFrame, folder: str | None = None, **columns) -> DataFr
 
     One row per row of ``pages``. A null payload is empty; a null URL stays
     null; repeated rows of one id are records of their own, of which none
-    revisits another (a revisit refers to a smaller id). An empty table writes
+    revisits another (a revisit refers to a smaller id); rows of one id with
+    other payloads are judged each by its own payload. An empty table writes
     no file and gives no rows; other columns are ignored.
     """
     spark = pages.sparkSession

@@ -11,7 +11,8 @@ from tallywell.llm import sitetree, urlfilter, warc
 def test_round_trip(spark, tmp_path):
     same = "<p>" + "x" * 200
     rows = [(5, "http://b.example/1", same), (3, "http://a.example/2?q\r\nX: 1", same), (9, None, same), (1, "u", "short"), (2, "u", "short"), (7, "u", None), (8, "u", ""),
-            (None, "u", same), (4, "u", "é\r\n\r\nWARC/1.1\r\n" * 30), (4, "u", "é\r\n\r\nWARC/1.1\r\n" * 30), (6, "u", "y" * 300_000)]
+            (None, "u", same), (4, "u", "é\r\n\r\nWARC/1.1\r\n" * 30), (4, "u", "é\r\n\r\nWARC/1.1\r\n" * 30), (6, "u", "y" * 300_000),
+            (9, "u", "z" * 240), (5, "u", "w" * 150), (11, "u", "w" * 150), (9, "u", None)]  # other payloads under a known id
     df = spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, size int").repartition(3)
     out = warc.round_trip(df, str(tmp_path)).collect()
     want = []

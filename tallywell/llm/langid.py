@@ -1,9 +1,10 @@
 """Language ID by language-bitmask n-gram filters.
 
-A table of slots holds one bit per language: a bit-sliced set of Bloom
-filters. The slots of an n-gram, combined by AND, name every language whose
-filter contains it. Per-language popcounts over all n-grams of a text, freed
-of the expected false positives, decide. Texts are read whole; n-grams are
+A table of slots holds one bit per language, in as many 64-bit words as the
+languages take: a bit-sliced set of Bloom filters. The slots of an n-gram,
+combined by AND, name every language whose filter contains it. Per-language
+popcounts over all n-grams of a text, freed of the expected false positives,
+decide. Texts are read whole; n-grams are
 computed with numpy over the bytes of an Arrow batch.
 """
 
@@ -14,11 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tallywell.llm.common import bound_batches
+from tallywell.llm.common import bound_batches, lookup, materialise
 
 UNKNOWN = "und"
 #: Bytes of an n-gram. Texts are UTF-8, so a letter beyond ASCII has two or more.
@@ -32,6 +33,8 @@ GRAMS = 12_000
 RELATIVE = 0.2
 #: Slots of the filter (a power of two) and hashes of an n-gram.
 SLOTS, HASHES = 1 << 19, 2
+#: Languages whose bits one word of a slot holds.
+WORD = 64
 #: Bytes of text that are counted at a time.
 BLOCK = 1 << 20
 
@@ -80,7 +83,7 @@ def slots_of(grams: np.ndarray) -> Iterator[np.ndarray]:
 
 @dataclass
 class Model:
-    """Language names by bit, the slots' masks, and each filter's false-positive rate."""
+    """Language names by bit, the slots' masks (words x slots), and each filter's false-positive rate."""
 
     langs: list[str]
     slots: np.ndarray
@@ -92,12 +95,14 @@ class Model:
         for data, ends, rows in blocks_of(texts):
             g, second = grams_of(data)
             k = rows[np.searchsorted(ends, second, side="right")]
-            masks = None
-            for s in slots_of(g):
-                masks = self.slots[s] if masks is None else masks & self.slots[s]
             totals += np.bincount(k, minlength=len(texts))
-            for b in range(len(self.langs)):
-                hits[:, b] += np.bincount(k, weights=(masks >> np.uint64(b)) & np.uint64(1), minlength=len(texts))
+            at = list(slots_of(g))
+            for first, word in zip(range(0, len(self.langs), WORD), self.slots, strict=True):
+                masks = word[at[0]]
+                for s in at[1:]:
+                    masks &= word[s]
+                for b in range(first, min(first + WORD, len(self.langs))):
+                    hits[:, b] += np.bincount(k, weights=(masks >> np.uint64(b - first)) & np.uint64(1), minlength=len(texts))
         return totals, hits
 
     def decide(self, totals: np.ndarray, hits: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -143,21 +148,18 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 
     The sample is every document whose hashed id falls below a share that is
     set from the language's count, so its size doesn't grow with the table.
-    Null texts, ids or labels are left out. At most 63 languages, the most
-    frequent ones, get a filter; with none, every text is ``und``.
+    Null texts, ids or labels are left out. Every language of the sample gets a
+    filter; with none, every text is ``und``. Texts are read once, whatever the
+    number of languages; the driver gets a language's name and bits alone.
     """
     bound_batches(docs.sparkSession)
     d = docs.select(
         F.col(id_col).cast("string").alias("tw_id"), F.col(text_col).alias("tw_text"),
         F.col(lang_col).cast("string").alias("tw_lang"),
-    ).where(F.col("tw_text").isNotNull() & F.col("tw_lang").isNotNull() & F.col("tw_id").isNotNull())
-    counts = {r[0]: r[1] for r in d.groupBy("tw_lang").count().orderBy(F.desc("count"), "tw_lang").limit(63).collect()}
-    langs = sorted(counts)
-    if not langs:
-        return Model([], np.zeros(SLOTS, np.uint64), np.zeros(0))
-    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, train_docs / counts[k])))])
+    ).where(F.col("tw_lang").isNotNull() & F.col("tw_id").isNotNull())
+    counts = materialise(d.groupBy("tw_lang").agg(F.count("*").alias("tw_docs")), "langs")
     place = F.pmod(F.xxhash64("tw_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = d.where(F.col("tw_lang").isin(langs)).where(place < share[F.col("tw_lang")])
+    sample = lookup(d.where(F.col("tw_text").isNotNull()), counts, "tw_lang").where(place * F.col("tw_docs") < train_docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,41 +177,47 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
                 pa.array([k for k, (g, _) in parts.items() for _ in range(len(g))]),
             ], ["gram", "n", "lang"])
 
-    found = (
-        sample.select("tw_text", "tw_lang").mapInArrow(count, "gram long, n long, lang string")
-        .groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    )
-    per_gram = found.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n"))
-    totals = {r[0]: r[1] for r in found.groupBy("lang").agg(F.sum("n")).collect()}
-    kept = {}
-    for lang in langs:
-        if lang not in totals:
-            continue
-        rates = [F.coalesce(F.col("n")[k], F.lit(0)) / F.lit(float(totals[k])) for k in langs if k in totals]
-        own = F.coalesce(F.col("n")[lang], F.lit(0)) / F.lit(float(totals[lang]))
-        most = F.greatest(*rates) if len(rates) > 1 else rates[0]
-        top = per_gram.where((own > 0) & (own >= RELATIVE * most)).select("gram", own.alias("rate"))
-        kept[lang] = [r[0] for r in top.orderBy(F.desc("rate"), "gram").limit(grams).collect()]
-    langs = [k for k in langs if kept.get(k)]
-    slots = np.zeros(SLOTS, np.uint64)
-    for b, lang in enumerate(langs):
-        for s in slots_of(np.array(kept[lang], np.uint32)):
-            np.bitwise_or.at(slots, s, np.uint64(1 << b))
-    fill = np.array([((slots >> np.uint64(b)) & np.uint64(1)).mean() for b in range(len(langs))])
+    found = sample.select("tw_text", "tw_lang").mapInArrow(count, "gram long, n long, lang string")
+    found = materialise(found.groupBy("gram", "lang").agg(F.sum("n").alias("n")), "grams")
+    totals = found.groupBy("lang").agg(F.sum("n").alias("total"))
+    rated = lookup(found, materialise(totals, "totals"), "lang").select("gram", "lang", (F.col("n") / F.col("total")).alias("rate"))
+    # a gram's rows are its languages, a language's those of its bounded sample
+    most = F.max("rate").over(Window.partitionBy("gram"))
+    rated = rated.withColumn("most", most).where(F.col("rate") >= RELATIVE * F.col("most"))
+    order = Window.partitionBy("lang").orderBy(F.desc("rate"), "gram")
+    kept = rated.withColumn("place", F.row_number().over(order)).where(F.col("place") <= grams)
+    kept = materialise(kept.select("lang", "gram"), "kept")
+    langs = sorted(r[0] for r in kept.select("lang").distinct().collect())
+    bit = {k: i for i, k in enumerate(langs)}
+
+    def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.array([bit[k] for k in batch.column(0).to_pylist()], np.int64)
+            mask = (np.uint64(1) << (bits % WORD).astype(np.uint64)).view(np.int64)
+            for s in slots_of(batch.column(1).to_numpy().astype(np.uint32)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bits // WORD), pa.array(s.astype(np.int64)), pa.array(mask)], ["word", "slot", "mask"])
+
+    # at most SLOTS rows a word come to the driver
+    words = kept.mapInArrow(masks, "word long, slot long, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+    slots = np.zeros((-(-len(langs) // WORD), SLOTS), np.uint64)
+    slots[words["word"].to_numpy(), words["slot"].to_numpy()] = words["mask"].to_numpy().view(np.uint64)
+    fill = np.array([((slots[b // WORD] >> np.uint64(b % WORD)) & np.uint64(1)).mean() for b in range(len(langs))])
     return Model(langs, slots, fill**HASHES)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with lang_pred and score (0 to 1) added.
+def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None,
+            names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with a language and a score (0 to 1), called ``names``, added.
 
     A null text and one without any letter get ``und`` and 0, as does every
     text when the model knows no language; a text with letters but too short
     for n-grams gets the model's first language and 0. Repeated rows and null
     ids keep their rows. Prediction sees the text alone.
     """
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")] if keep is None else keep
+    keep = [c for c in docs.columns if c not in names] if keep is None else keep
     types = [docs.schema[c].dataType for c in keep]
-    schema = ", ".join([*(f"`{c}` {t.simpleString()}" for c, t in zip(keep, types, strict=True)), "lang_pred string", "score double"])
+    schema = ", ".join([*(f"`{c}` {t.simpleString()}" for c, t in zip(keep, types, strict=True)), f"`{names[0]}` string", f"`{names[1]}` double"])
     arrow = [to_arrow_type(t) for t in types]
     bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS * 8 bytes, whatever the input
@@ -219,7 +227,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
         *[F.col(c).alias(f"tw_{i}") for i, c in enumerate(sends)],
         F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("tw_letters"),
     )
-    names = [*keep, "lang_pred", "score"]
+    columns = [*keep, *names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -231,7 +239,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
                 langs, score = m.decide(*m.count(batch.column(text_at).fill_null("")))
             out = [x if ok else UNKNOWN for x, ok in zip(langs, letters, strict=True)]
             own = [batch.column(i).cast(t) for i, t in enumerate(arrow)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(out, pa.string()), pa.array(np.where(letters, score, 0.0))], names)
+            yield pa.RecordBatch.from_arrays([*own, pa.array(out, pa.string()), pa.array(np.where(letters, score, 0.0))], columns)
 
     return src.mapInArrow(run, schema)
 

@@ -1,6 +1,8 @@
 """Language ID by held-out accuracy, nearest neighbours by recall."""
 
+import collections
 import random
+import string
 import zlib
 
 import numpy as np
@@ -27,15 +29,89 @@ def test_edges(spark, small):
     assert {r["lang_pred"] for r in langid.identify(df.selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()} == {"und"}
 
 
+def grams_in(text):
+    """The byte 4-grams of a text: a run of other characters than letters is one boundary, and stands at a gram's end only."""
+    c = bytearray(b"\0")
+    for x in text.encode() + b" ":
+        x = ord(chr(x).lower()) if chr(x) in string.ascii_letters else x if x >= 128 else 0
+        if x or c[-1]:
+            c.append(x)
+    return [bytes(c[i:i + 4]) for i in range(len(c) - 3) if 0 not in c[i + 1:i + 3]]
+
+
+def sets_model(rows):
+    """Per language the grams that its filter should hold: no hashes, no bits."""
+    counts = {}
+    for lang, text in rows:
+        counts.setdefault(lang, collections.Counter()).update(grams_in(text))
+    rates = {k: {g: n / c.total() for g, n in c.items()} for k, c in counts.items() if c}
+    most = collections.defaultdict(float)
+    for r in rates.values():
+        for g, x in r.items():
+            most[g] = max(most[g], x)
+    return {k: set(sorted((g for g in r if r[g] >= langid.RELATIVE * most[g]), key=lambda g: (-r[g], g))[:langid.GRAMS]) for k, r in rates.items()}
+
+
+def test_filters_equal_sets(spark, small):
+    """Bloom filters lose no gram of brute-force sets, and decide as those do."""
+    docs = [r for r in spark.read.parquet(f"{small}/documents.parquet").collect() if r["text"] is not None]
+    rows = [(r["lang"], r["text"]) for r in docs if r["lang"] and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1]
+    sets = sets_model(rows)
+    df = spark.read.parquet(f"{small}/documents.parquet")
+    model = langid.train(df.where(~langid.held_out("doc_id")))
+    assert model.langs == sorted(sets)
+    for b, lang in enumerate(model.langs):
+        g = np.array([int.from_bytes(x) for x in sets[lang]], np.uint32)
+        assert all(((model.slots[0][s] >> np.uint64(b)) & np.uint64(1)).all() for s in langid.slots_of(g))
+    pred = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df).collect()}
+    same = close = 0
+    for r in docs:
+        found = grams_in(r["text"])
+        hits = sorted(((sum(g in s for g in found), k) for k, s in sets.items()), reverse=True)
+        if found and hits[0][0] > hits[1][0] + 0.02 * len(found):
+            same, close = same + (pred[r["doc_id"]] == hits[0][1]), close + 1
+    assert close > 100 and same == close
+
+
+def test_any_number_of_languages(spark):
+    """65 languages give 65 filters over two words; all are found again."""
+    rng = random.Random(7)
+    own = {f"l{i:02d}": ["".join(rng.choice(string.ascii_lowercase) for _ in range(6)) for _ in range(12)] for i in range(65)}
+    rows = [(n * 100 + i, " ".join(rng.choice(words) for _ in range(30)), lang) for n, (lang, words) in enumerate(own.items()) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert model.langs == sorted(own) and model.slots.shape == (2, langid.SLOTS)
+    out = langid.predict(df, model, names=("tw_lang", "tw_score")).collect()
+    assert all(r["tw_lang"] == r["lang"] for r in out)
+
+
+def test_texts_are_read_once_in_training(spark, tmp_path):
+    """The number of passes over texts doesn't depend on the number of languages."""
+    reads = []
+    for n in (2, 12):
+        rows = [(i, f"word{i % n} other{i % n} third{i % n}" * 3, f"l{i % n}") for i in range(120)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        seen = spark.sparkContext.accumulator(0)
+
+        def note(x, seen=seen):
+            seen.add(1)
+            return x
+
+        counted = df.rdd.map(lambda r, note=note: (r[0], note(r[1]), r[2])).toDF("doc_id long, text string, lang string")
+        langid.train(counted)
+        reads.append(seen.value / len(rows))
+    assert reads[0] == reads[1] <= 2
+
+
 def test_batches_don_t_matter():
     import pyarrow as pa
 
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["the", "und", "que", "été", "1"]) for _ in range(rng.randrange(50))) for _ in range(40)]
     grams = np.unique(np.concatenate([langid.grams_of(d)[0] for d, _, _ in langid.blocks_of(pa.array(texts[:20]))]))
-    slots = np.zeros(langid.SLOTS, np.uint64)
+    slots = np.zeros((1, langid.SLOTS), np.uint64)
     for s in langid.slots_of(grams):
-        slots[s] = 1
+        slots[0, s] = 1
     m = langid.Model(["x"], slots, np.array([0.01]))
     whole = m.count(pa.array(texts))
     each = [m.count(pa.array([t])) for t in texts]

@@ -15,16 +15,23 @@ from pyspark.sql import functions as F
 #: Rows that a broadcast side may have at most; beyond it operators shuffle.
 BROADCAST_ROWS = 1_000_000
 
-#: Used only where the session names no shared folder (tests, notebooks).
+#: Used only where the session names no shared folder and runs on one machine (tests, notebooks).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/tallywell"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which all executors share."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in spark.checkpoint.dir, which all executors share.
+
+    Without one, a session whose tasks all run in the driver's own process
+    (master ``local``) gets a folder there; on a cluster that is an error, as
+    no machine's own folder can be read by the others.
+    """
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = LOCAL_CHECKPOINTS
-        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
@@ -43,10 +50,28 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, own)
 
 
+def _path(spark: SparkSession, uri: str):
+    """A Hadoop path and its file system, whichever store the URI names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tallywell-{spark.sparkContext.applicationId}"
+
+
+_KNOWN: set[str] = set()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    app = spark.sparkContext.applicationId
-    return f"{shared_dir(spark)}/tallywell-{app}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses; it goes when the application ends."""
+    folder = _own_folder(spark)
+    if folder not in _KNOWN:
+        path, store = _path(spark, folder)
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        _KNOWN.add(folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -60,12 +85,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clean_up(spark: SparkSession) -> None:
-    """Delete every working table of this application."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(
-        f"{shared_dir(spark)}/tallywell-{spark.sparkContext.applicationId}"
-    )
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def clean_up(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+    """Delete this application's working tables, but for the paths in ``keep``.
+
+    For callers that have written or collected a query's result: until then the
+    result still reads some of them. What is left goes when the application ends.
+    """
+    folder, store = _path(spark, _own_folder(spark))
+    kept = {k.rstrip("/").rpartition("/")[2] for k in keep}
+    if store.exists(folder):
+        for found in store.listStatus(folder):
+            if found.getPath().getName() not in kept:
+                store.delete(found.getPath(), True)
 
 
 def within(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:

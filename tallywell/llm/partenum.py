@@ -219,11 +219,12 @@ def compare_bucket(classes: list[int], comps: list[int], sets: list[np.ndarray],
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: id, text_hash, n_shingles and component_id.
+    """Per row of ``docs``: id, text_hash, n_shingles, component_id and component.
 
     Rows link when their sets of 4-word shingles have a Jaccard similarity of
     0.85 or more; component_id is the least id that a row reaches, itself
-    included. Equal sets are one class and compared once. A null text or one
+    included; component is its own key, which tells components apart that share
+    that id (null for empty sets). Equal sets are one class and compared once. A null text or one
     without words has an empty set and links with nothing. Rows of null id take
     part and get the least id of their component, or null. Repeated rows and
     ids keep their rows; other columns are ignored; an empty table gives an
@@ -350,7 +351,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     joined = least.join(comps, "cls", "left")
     tops = joined.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("least").alias("top"))
     labels = lookup(joined.where((F.col("rows") > 1) | F.col("comp").isNotNull()), tops, "comp", "left")
-    labels = materialise(labels.select("cls", F.coalesce("top", "least").alias("component_id")), "labels")
+    labels = materialise(labels.select("cls", F.coalesce("top", "least").alias("component_id"), F.coalesce("comp", "cls").alias("component")), "labels")
     out = lookup(t.select("tw_id", "tw_hash", "n", "cls"), labels, "cls", "left")
     return out.select(F.col("tw_id").alias(id_col), F.col("tw_hash").alias("text_hash"), F.col("n").alias("n_shingles"),
-                      F.coalesce("component_id", "tw_id").alias("component_id"))
+                      F.coalesce("component_id", "tw_id").alias("component_id"), F.coalesce("component", "cls").alias("component"))

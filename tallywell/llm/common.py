@@ -85,18 +85,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def working_tables(spark: SparkSession) -> tuple[str, ...]:
+    """Names of this application's working tables."""
+    folder, store = _path(spark, _own_folder(spark))
+    return tuple(x.getPath().getName() for x in store.listStatus(folder)) if store.exists(folder) else ()
+
+
 def clean_up(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
-    """Delete this application's working tables, but for the paths in ``keep``.
+    """Delete this application's working tables, but for the names or paths in ``keep``.
 
     For callers that have written or collected a query's result: until then the
     result still reads some of them. What is left goes when the application ends.
     """
-    folder, store = _path(spark, _own_folder(spark))
     kept = {k.rstrip("/").rpartition("/")[2] for k in keep}
-    if store.exists(folder):
-        for found in store.listStatus(folder):
-            if found.getPath().getName() not in kept:
-                store.delete(found.getPath(), True)
+    for name in working_tables(spark):
+        if name not in kept:
+            path, store = _path(spark, f"{_own_folder(spark)}/{name}")
+            store.delete(path, True)
 
 
 def within(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:

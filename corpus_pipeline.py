@@ -8,11 +8,11 @@ others.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywell.llm import langid, packing, partenum, secretscan, winnowing
-from tallywell.llm.common import fresh_path, maybe_broadcast
+from tallywell.llm.common import clean_up, fresh_path, lookup, materialise, maybe_broadcast, working_tables
 
 #: A text counts as none of the known languages below this share of n-grams.
 LEAST_SCORE = 0.2
@@ -24,35 +24,45 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     The others get the predicted language where they have none.
     """
     model = langid.train(docs.where(~langid.held_out("doc_id")))
-    judged = langid.predict(docs, model, keep=docs.columns)
-    kept = judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    judged = langid.predict(docs, model, keep=docs.columns, names=("tw_predicted", "tw_share"))
+    kept = judged.where((F.col("tw_predicted") != langid.UNKNOWN) & (F.col("tw_share") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", "tw_predicted")).select(*docs.columns)
+
+
+def _same() -> Column:
+    """A document's row and a key of (tw_id, tw_hash) are of one id and text."""
+    return F.col("doc_id").eqNullSafe(F.col("tw_id")) & (F.xxhash64("text") == F.col("tw_hash"))
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose (doc_id, text) isn't among ``gone`` (doc_id, text_hash)."""
-    gone = maybe_broadcast(gone.select(F.col("doc_id").alias("tw_id"), F.col("text_hash").alias("tw_hash")).distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("tw_id")) & (F.xxhash64("text") == F.col("tw_hash"))
-    return docs.join(gone, same, "left_anti")
+    gone = gone.select(F.col("doc_id").alias("tw_id"), F.col("text_hash").alias("tw_hash")).distinct()
+    return docs.join(maybe_broadcast(materialise(gone, "gone")), _same(), "left_anti")
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Jaccard join: of each group of near-duplicates the row with the least id stays.
+    """Jaccard join: of each group of near-duplicates one row stays.
 
-    Rows of null id go if their group has another; a group of null ids alone
-    stays. Where that least id itself is repeated, one of its rows stays.
+    It is the row of the least id, null ids last, and of those the one with the
+    least hash of its text; of rows that are equal in both any one. Groups are
+    told apart by their own keys, so that documents which merely share an id
+    stay. Texts without words are in no group and all stay.
     """
-    groups = partenum.jaccard_components(docs)
-    groups = groups.where(F.col("component_id").isNotNull())
-    kept = _without(docs, groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
-    firsts = groups.where(F.col("doc_id") == F.col("component_id"))
-    again = firsts.groupBy(F.col("doc_id").alias("tw_id")).agg(F.count("*").alias("n"), F.min("text_hash").alias("tw_hash"))
-    again = again.where(F.col("n") > 1).select("tw_id", "tw_hash")
+    groups = partenum.jaccard_components(docs).where(F.col("component").isNotNull())
+    groups = materialise(groups.select("doc_id", "text_hash", "component"), "groups")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    least = groups.groupBy("component").agg(F.min(rank).alias("tw_least"), F.count("*").alias("tw_rows"))
+    least = materialise(least.where(F.col("tw_rows") > 1).select("component", "tw_least.doc_id", "tw_least.text_hash").toDF("component", "tw_id", "tw_hash"), "least")
+    first = F.col("doc_id").eqNullSafe(F.col("tw_id")) & (F.col("text_hash") == F.col("tw_hash"))
+    several = materialise(lookup(groups, least, "component"), "several")
+    kept = _without(docs, several.where(~first))
+    again = several.where(first).groupBy("tw_id", "tw_hash").agg(F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
+    again = materialise(again, "again")
     if again.isEmpty():
         return kept
-    marked = kept.join(maybe_broadcast(again), F.col("doc_id") == F.col("tw_id"), "left")
-    single = marked.where(F.col("tw_id").isNull())
-    chosen = marked.where(F.xxhash64("text") == F.col("tw_hash")).dropDuplicates(["doc_id"])
+    marked = kept.join(maybe_broadcast(again), _same(), "left")
+    single = marked.where(F.col("tw_hash").isNull())
+    chosen = marked.where(F.col("tw_hash").isNotNull()).dropDuplicates(["tw_id", "tw_hash"])
     return single.unionByName(chosen).select(*docs.columns)
 
 
@@ -87,9 +97,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    others = working_tables(spark)  # of results that a caller may not have read yet
     for name, stage in STAGES:
         path = fresh_path(spark, f"stage-{name}")
         out = stage(spark, docs, sf_dir)
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        clean_up(spark, keep=(*others, path))  # the stage's own working tables and its input
     return docs

@@ -7,6 +7,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallywell.llm import sitetree, urlfilter, warc
 
@@ -66,10 +67,29 @@ def test_url_filters(spark):
     got = urlfilter.judge_urls(df, rules).collect()
     want = [(None if i == 3 else i // 2, *brute_url(u)) for i, u in enumerate(URLS)]
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    shuffled = urlfilter.judge_urls(df, rules, broadcast_rows=0).collect()
+    assert sorted(map(tuple, shuffled), key=repr) == sorted(want, key=repr)
     assert urlfilter.judge_urls(df.limit(0), rules).count() == 0
     assert urlfilter.judge_urls(df, rules.limit(0)).where("verdict != 'allow' or rule is not null").count() == 0
 
 
+def test_one_url_on_most_rows(spark):
+    """With nothing broadcast, the pages of one URL go to many tasks."""
+    rows = [(i, "http://a.example.com/en/1" if i % 4 else f"http://b{i}.example.net/x") for i in range(8000)]
+    own = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "64", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        df = spark.createDataFrame(rows, "page_id long, url string").repartition(4)
+        out = urlfilter.judge_urls(df, urlfilter.rules_table(spark), broadcast_rows=0)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == len(rows) and len(sizes) > 30 and max(sizes) <= len(rows) / 4
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body>
 <nav><ul><li><a href=x>Menu</a></ul></nav><div class="cookie-notice">We use cookies</div><!-- <p>hidden</p> -->
 <article><h1>Head &amp; line</h1><p><b>Bold text.<br><p>Sec&#233;nd  para&nbsp;graph &lt;tag&gt; a < b<ul><li>one<li>two</ul>

@@ -2,8 +2,10 @@
 
 Every window of 13 words has a fingerprint: the least hash of the 5-word
 grams in it. Two texts that share 13 words in a row share the fingerprint of
-that window, whatever surrounds it. Documents' fingerprints meet those of the
-benchmark; a hit is confirmed and extended to its whole 13 words by the text.
+that window, whatever surrounds it. Windows in a row mostly have the same one,
+which is kept once with the run of windows it stands for. Documents' runs meet
+the fingerprints of the benchmark; a hit is extended to its run's windows, which
+are confirmed by their whole 13 words.
 """
 
 from __future__ import annotations
@@ -41,6 +43,20 @@ def fingerprints(words: Column) -> Column:
     return let(grams, lambda g: let(hashes(g), minima))
 
 
+_RUN = "array<struct<print:bigint,at:int,upto:int>>"
+
+
+def runs(words: Column) -> Column:
+    """The thinned fingerprints: each with the first and last window, from 1, of the run that shares it."""
+
+    def thin(m: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: (i == 0) | (F.get(m, i) != F.get(m, i - 1)))
+        return let(starts, lambda s: F.transform(s, lambda i, j: F.struct(
+            F.get(m, i).alias("print"), (i + 1).alias("at"), F.coalesce(F.get(s, j + 1), F.size(m)).alias("upto"))))
+
+    return let(fingerprints(words), lambda m: F.when(F.size(m) > 0, thin(m)).otherwise(F.array().cast(_RUN)))
+
+
 def windows_text(words: Column, start: Column, length: Column) -> Column:
     return F.array_join(F.slice(words, start, length), " ")
 
@@ -53,6 +69,7 @@ def decontaminate(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     fingerprint_rows: int = BROADCAST_ROWS,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Per row of ``docs``: id, text_hash, n_words, n_hit, item_ids and contaminated.
 
@@ -67,59 +84,66 @@ def decontaminate(
     Winnowing covers windows of 13 words. Shorter items are found by their
     first word instead, in one more pass, if there are any. Fingerprints are
     broadcast in parts of at most ``fingerprint_rows``; each part is one pass.
+    Only hits are shuffled, with a window's number in place of its items.
     """
     b = items.select(F.col(item_id_col).cast("string").alias("tw_item"), words_of(F.col(item_text_col)).alias("tw_words"))
     b = b.where(F.col("tw_item").isNotNull() & (F.size("tw_words") > 0))
-    span = F.least(F.size("tw_words"), F.lit(WINDOW))
-    b = b.withColumn("tw_span", span).withColumn("tw_at", F.explode(F.sequence(F.lit(1), F.size("tw_words") - F.col("tw_span") + 1)))
-    known = b.groupBy(windows_text(F.col("tw_words"), F.col("tw_at"), F.col("tw_span")).alias("tw_text"), F.col("tw_span")).agg(
-        F.collect_set("tw_item").alias("tw_items"))
-    known = maybe_broadcast(known)
-    long_items = items.select(words_of(F.col(item_text_col)).alias("tw_words")).where(F.size("tw_words") >= WINDOW)
-    prints = long_items.select(F.explode(fingerprints(F.col("tw_words"))).alias("tw_print")).distinct()
+    b = b.withColumn("tw_span", F.least(F.size("tw_words"), F.lit(WINDOW)))
+    each = b.select("tw_item", "tw_words", "tw_span", F.explode(F.sequence(F.lit(1), F.size("tw_words") - F.col("tw_span") + 1)).alias("tw_at"))
+    each = each.select("tw_item", "tw_span", windows_text(F.col("tw_words"), F.col("tw_at"), F.col("tw_span")).alias("tw_text")).distinct()
+    each = materialise(each, "windows")
+    known = materialise(each.select("tw_text", "tw_span").distinct().withColumn("tw_window", F.monotonically_increasing_id()), "known")
+    owners = materialise(lookup(each, known.drop("tw_span"), "tw_text", limit=broadcast_rows).select("tw_window", "tw_item"), "owners")
+    long_items = b.where(F.col("tw_span") == WINDOW)
+    prints = materialise(long_items.select(F.explode(runs(F.col("tw_words"))["print"]).alias("tw_print")).distinct(), "prints")
     parts = max(1, -(-prints.count() // fingerprint_rows))
-    short = sorted(r[0] for r in b.where(F.col("tw_span") < WINDOW).select("tw_span").distinct().collect())
+    short = not each.where(F.col("tw_span") < WINDOW).isEmpty()
 
     text = F.col(text_col)
     d = docs.select(
         F.col(id_col).alias("tw_id"), F.xxhash64(text).alias("tw_hash"), words_of(text).alias("tw_words"))
     n_words = F.size("tw_words").alias("tw_n")
 
-    # each row of documents gives one row with place 0, which stays, and one for each window
+    # each row of documents gives one row with place 0, which stays, and one for each run
     def found(part: int) -> DataFrame:
         mine = prints.where(F.pmod(F.col("tw_print"), F.lit(parts)) == part) if parts > 1 else prints
         mine = F.broadcast(mine.withColumn("tw_known", F.lit(True)))
-        all_prints = fingerprints(F.col("tw_words"))
+        all_runs = runs(F.col("tw_words"))
         if part == 0:
-            all_prints = F.concat(F.array(F.lit(None).cast("long")), all_prints)
+            row = F.struct(F.lit(None).cast("long").alias("print"), F.lit(0).alias("at"), F.lit(0).alias("upto"))
+            all_runs = F.concat(F.array(row), all_runs)
         # a column of its own first, so that the rows it explodes into pass through generated code; outer, as
         # for the inner form Spark would compute the array once more, to drop empty ones beforehand
-        e = d.withColumn("tw_prints", all_prints)
-        e = e.select("tw_id", "tw_hash", "tw_words", F.posexplode_outer("tw_prints").alias("tw_at", "tw_print"))
-        if part:
-            e = e.where(F.col("tw_at").isNotNull()).withColumn("tw_at", F.col("tw_at") + 1)
+        e = d.withColumn("tw_runs", all_runs)
+        e = e.select("tw_id", "tw_hash", "tw_words", F.explode_outer("tw_runs").alias("tw_run"))
+        e = e.select("tw_id", "tw_hash", "tw_words", F.col("tw_run.print").alias("tw_print"), F.col("tw_run.at").alias("tw_at"), F.col("tw_run.upto").alias("tw_upto"))
         e = e.join(mine, "tw_print", "left").where(F.col("tw_known") | (F.col("tw_at") == 0))
-        hit = F.when(F.col("tw_at") > 0, windows_text(F.col("tw_words"), F.col("tw_at"), F.lit(WINDOW)))
-        return e.select("tw_id", "tw_hash", n_words, "tw_at", hit.alias("tw_text"))
+        covered = F.when(F.col("tw_at") > 0, windows_text(F.col("tw_words"), F.col("tw_at"), F.col("tw_upto") - F.col("tw_at") + WINDOW))
+        return e.select("tw_id", "tw_hash", n_words, "tw_at", "tw_upto", F.lit(WINDOW).alias("tw_span"), covered.alias("tw_covered"))
 
-    hits = found(0)
+    seen = found(0)
     for part in range(1, parts):
-        hits = hits.unionByName(found(part))
+        seen = seen.unionByName(found(part))
     if short:
         first = b.where(F.col("tw_span") < WINDOW).select(F.col("tw_words")[0].alias("tw_first"), F.col("tw_span").alias("tw_len"))
-        first = maybe_broadcast(first.groupBy("tw_first").agg(F.collect_set("tw_len").alias("tw_lens")))
+        first = maybe_broadcast(materialise(first.groupBy("tw_first").agg(F.collect_set("tw_len").alias("tw_lens")), "first"))
         e = d.select("tw_id", "tw_hash", "tw_words", F.posexplode("tw_words").alias("tw_at", "tw_first")).join(first, "tw_first")
-        e = e.select("tw_id", "tw_hash", "tw_words", (F.col("tw_at") + 1).alias("tw_at"), F.explode("tw_lens").alias("tw_len"))
-        e = e.where(F.col("tw_at") + F.col("tw_len") - 1 <= F.size("tw_words"))
-        hits = hits.unionByName(e.select(
-            "tw_id", "tw_hash", n_words, "tw_at", windows_text(F.col("tw_words"), F.col("tw_at"), F.col("tw_len")).alias("tw_text")))
-    hits = hits.join(known, "tw_text", "left").where(F.col("tw_items").isNotNull() | (F.col("tw_at") == 0))
+        e = e.select("tw_id", "tw_hash", "tw_words", (F.col("tw_at") + 1).alias("tw_at"), F.explode("tw_lens").alias("tw_span"))
+        e = e.where(F.col("tw_at") + F.col("tw_span") - 1 <= F.size("tw_words"))
+        seen = seen.unionByName(e.select(
+            "tw_id", "tw_hash", n_words, "tw_at", F.col("tw_at").alias("tw_upto"), "tw_span",
+            windows_text(F.col("tw_words"), F.col("tw_at"), F.col("tw_span")).alias("tw_covered")))
     key = F.concat_ws(":", F.col("tw_hash").cast("string"), F.col("tw_id").cast("string"))
-    hits = materialise(hits.select(key.alias("tw_key"), "tw_id", "tw_hash", "tw_n", "tw_at", "tw_span", "tw_items"), "hits")
-    g = hits.where(F.col("tw_at") > 0).groupBy("tw_key").agg(
-        F.sort_array(F.collect_set(F.struct("tw_at", "tw_span"))).alias("tw_hits"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("tw_items")))).alias("item_ids"),
-    )
+    seen = materialise(seen.withColumn("tw_key", key), "seen")
+
+    # a run's windows by their words; only those that are an item's stay
+    covered = F.split("tw_covered", " ")
+    window = F.transform(F.sequence("tw_at", "tw_upto"), lambda p: F.struct(
+        p.alias("tw_at"), windows_text(covered, p - F.col("tw_at") + 1, F.col("tw_span")).alias("tw_text")))
+    hits = seen.where(F.col("tw_at") > 0).select("tw_key", F.explode(window).alias("w")).select("tw_key", "w.tw_at", "w.tw_text").distinct()
+    hits = lookup(hits, known, "tw_text", limit=broadcast_rows)
+    of_doc = hits.groupBy("tw_key").agg(
+        F.sort_array(F.collect_set(F.struct("tw_at", "tw_span"))).alias("tw_hits"), F.sort_array(F.collect_set("tw_window")).alias("tw_windows"))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
 
     def extend(acc: Column, x: Column) -> Column:
@@ -127,8 +151,15 @@ def decontaminate(
         new = F.greatest(end, acc["end"])
         return F.struct(new.alias("end"), (acc["n"] + (new - F.greatest(x["tw_at"], acc["end"]))).cast("long").alias("n"))
 
-    g = g.select("tw_key", F.aggregate("tw_hits", start, extend)["n"].alias("n_hit"), "item_ids")
-    out = lookup(hits.where(F.col("tw_at") == 0), g, "tw_key", "left").select(
+    of_doc = of_doc.select(
+        "tw_key", F.aggregate("tw_hits", start, extend)["n"].alias("n_hit"), "tw_windows", F.md5(F.array_join("tw_windows", ",")).alias("tw_set"))
+    of_doc = materialise(of_doc, "hits")
+    # documents that hold the same windows hold the same items, which are gathered once for all of them
+    sets = of_doc.groupBy("tw_set").agg(F.first("tw_windows").alias("tw_windows")).select("tw_set", F.explode("tw_windows").alias("tw_window"))
+    sets = sets.join(owners, "tw_window").groupBy("tw_set").agg(F.sort_array(F.collect_set("tw_item")).alias("item_ids"))
+    of_doc = lookup(of_doc.select("tw_key", "n_hit", "tw_set"), materialise(sets, "items"), "tw_set", limit=broadcast_rows).drop("tw_set")
+    rows = seen.where(F.col("tw_at") == 0).select("tw_key", "tw_id", "tw_hash", "tw_n")
+    out = lookup(rows, materialise(of_doc, "of_doc"), "tw_key", "left", limit=broadcast_rows).select(
         F.col("tw_id").alias(id_col), F.col("tw_hash").alias("text_hash"), F.col("tw_n").cast("long").alias("n_words"),
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words")))

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallywell.llm import common, partenum, winnowing
 
@@ -108,6 +109,17 @@ def test_lookup_either_way(spark, limit):
     assert common.lookup(big, small, "k", "left", limit=limit).count() == 4
 
 
+def test_fingerprints_are_thinned(spark):
+    """Each run's windows share its fingerprint, runs tile all windows, and are few."""
+    rng = random.Random(9)
+    texts = ["", "a b c", "a " * 13, "a " * 40, text_of(rng, 13), text_of(rng, 400)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(winnowing.words_of(F.col("t")).alias("w"))
+    for r in df.select(winnowing.fingerprints(F.col("w")).alias("m"), winnowing.runs(F.col("w")).alias("r"), F.size("w").alias("n")).collect():
+        assert [p for x in r["r"] for p in [x["print"]] * (x["upto"] - x["at"] + 1)] == r["m"] and len(r["m"]) == max(r["n"] - 12, 0)
+        assert [i for x in r["r"] for i in range(x["at"], x["upto"] + 1)] == list(range(1, len(r["m"]) + 1))
+    assert len(r["r"]) < len(r["m"]) / 3
+
+
 def words(text):
     lower = (text or "").translate({c: c + 32 for c in range(65, 91)})
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
@@ -151,6 +163,10 @@ def test_contamination_equals_brute_force(spark, rows):
     got = winnowing.decontaminate(d, b, fingerprint_rows=rows).collect()
     got = [(r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"], r["contaminated"]) for r in got]
     assert sorted(got, key=repr) == brute_contamination(docs, items)
+    if rows == 7:
+        got = winnowing.decontaminate(d, b, broadcast_rows=0).collect()
+        got = [(r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"], r["contaminated"]) for r in got]
+        assert sorted(got, key=repr) == brute_contamination(docs, items)
     assert winnowing.decontaminate(d.limit(0), b).count() == 0
     assert winnowing.decontaminate(d, b.limit(0)).where("n_hit > 0 or contaminated").count() == 0
 

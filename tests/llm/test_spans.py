@@ -55,6 +55,8 @@ def test_base_spans_equal_brute_force(spark, scan, kinds):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, spans string, base string")
     got = scan(df).select("doc_id", spans_text(F.col("base"))).collect()
     assert sorted(map(tuple, got), key=repr) == sorted([(r[0], brute(kinds, r[1])) for r in rows], key=repr)
+    shuffled = scan(df, broadcast_rows=0).select("doc_id", spans_text(F.col("base"))).collect()
+    assert sorted(map(tuple, shuffled), key=repr) == sorted(map(tuple, got), key=repr)
     assert scan(df.limit(0)).count() == 0
 
 
@@ -74,6 +76,25 @@ def test_ownership_separates_examples_from_live(spark):
     assert (out[100]["live"], out[100]["examples"]) == (2, 0) and [s["kind"] for s in out[100]["spans"]] == ["access", "generic"]
 
 
+def test_copying_flips_ownership(spark):
+    """One owner's string looks live in any number of repositories; a third owner's copy makes it an example."""
+    key = "Zx9Qw7Rt5Yp3Lk1Mn8Bv6Cd4"
+    own = [(i, f"cfg {key}", f"o{i % 2}") for i in range(12)]
+    few = [(i, f"cfg {key}", f"o{i}") for i in range(3)]
+
+    def classes(rows, **more):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        return {(r["live"], r["examples"], len(r["spans"])) for r in secretscan.scan(df, **more).collect()}
+
+    assert classes(own) == {(1, 0, 1)}
+    assert classes([*own, (99, f"copy {key}", "o9")]) == {(0, 0, 0)}
+    assert classes(few) == {(0, 0, 0)}  # neither: a generic string isn't reported
+    aws = [(i, "AKIA" + "QWERTYUIOPASDF34", o) for i, _, o in own]
+    assert classes(aws, broadcast_rows=0) == {(1, 0, 1)}
+    assert classes([*aws, (99, aws[0][1], "o9")]) == {(0, 1, 1)}
+    assert classes([(i, aws[0][1], o) for i, _, o in few]) == {(0, 0, 1)}
+
+
 def test_redaction(spark):
     rows = [(1, "😀 password=abcdefghijkl0 token: 0123456789abcdef0123 end", "s", 1), (2, "clean", None, 2), (None, None, "s", 3), (1, "other text", "s", 4)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, tw_row int")
@@ -88,6 +109,9 @@ def test_disclosing_terms(spark):
     rows += [(100 + i, f"{filler()} nobody {filler()}") for i in range(400)] + [(900 + i, f"{filler()} x{i}@mail.example") for i in range(6)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = {r["doc_id"]: r for r in privacy.scan(df).collect()}
+    again = {r["doc_id"]: r for r in privacy.scan(df, broadcast_rows=0).collect()}
+    assert {k: r["spans"] for k, r in out.items()} == {k: r["spans"] for k, r in again.items()}
+    assert out[0]["weighed"] > 5 and out[100]["weighed"] == 0 and len(out[0]["removed"]) == 2
     for i, text in rows:
         terms = [text[s["start"]:s["end"]] for s in out[i]["spans"] if s["kind"] == "term"]
         assert terms == (["Quillfeather"] * (i < 4) + ["wrote"] * (i < 4)), (i, terms)

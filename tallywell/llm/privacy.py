@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywell.llm.common import lookup, materialise, maybe_broadcast
+from tallywell.llm.common import BROADCAST_ROWS, lookup, materialise, maybe_broadcast, within
 from tallywell.llm.spans import Kind, find_spans, mask, span_struct
 
 #: Different texts in which a term must stand together with an entity.
@@ -58,12 +58,13 @@ def _words(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), r"\P{L}+")), lambda w: F.length(w) >= LETTERS)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: tw_row, id, base and all spans as arrays.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Per row of ``docs``: tw_row, id, base and all spans as arrays, and how many terms were weighed.
 
     Spans are (start, order, end, kind), counted in code points, sorted by
     start and then by kind; ``removed`` holds the starts of terms to remove
-    rather than generalise. Base spans are always reported. Every occurrence of
+    rather than generalise; ``weighed`` counts the text's different words that
+    were weighed against its entities. Base spans are always reported. Every occurrence of
     a term in a text that holds an entity it reveals is a ``term`` span, however
     far away, unless it overlaps a base span.
     Null and empty texts have none; repeated rows keep their rows; other
@@ -90,10 +91,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     around_any = words.join(holding, "tw_hash").groupBy("term").agg(F.sum("copies").alias("near_rows"))
     pairs = pairs.where(F.col("support") >= SUPPORT).join(around_any, "term").where(F.col("both") >= CERTAINTY * F.col("near_rows")).drop("near_rows")
     pairs = materialise(pairs, "terms")
-    known = maybe_broadcast(pairs.select("term").distinct())
+    known = materialise(pairs.select("term").distinct(), "known")
     # outer: for the inner form Spark would split every text once more, to drop empty ones beforehand
     anywhere = texts.select(F.explode_outer(F.array_distinct(F.split(F.lower("tw_text"), r"\P{L}+"))).alias("term"))
-    seen = anywhere.join(known, "term").groupBy("term").agg(F.count("*").alias("rows"))
+    few = within(known, broadcast_rows)  # else words are counted before they meet the terms, a row each
+    seen = (anywhere.join(F.broadcast(known), "term") if few else anywhere).groupBy("term").agg(F.count("*").alias("rows"))
     told = pairs.join(seen, "term").join(of_entity, "entity")
     certainty = F.least(F.col("both") / F.col("rows"), F.lit(1.0))
     told = told.withColumn("certainty", certainty).where(
@@ -110,17 +112,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     each = each.select("tw_hash", F.lower("w.word").alias("term"), F.length("w.word").alias("n"), F.sum(F.col("w.gap") + F.length("w.word")).over(before).alias("tw_end"))
     placed = each.join(here, ["tw_hash", "term"]).select(
         "tw_hash", (F.col("tw_end") - F.col("n")).alias("tw_start"), "tw_end", F.lit(BASE).alias("tw_order"), F.lit("term").alias("tw_kind"), "gone")
-    of_text = materialise(placed.groupBy("tw_hash").agg(
-        F.collect_list(span_struct()).alias("added"), F.collect_list(F.when(F.col("gone"), F.col("tw_start"))).alias("removed")), "added")
+    of_text = placed.groupBy("tw_hash").agg(
+        F.collect_list(span_struct()).alias("added"), F.collect_list(F.when(F.col("gone"), F.col("tw_start"))).alias("removed"))
     of_row = hits.groupBy("tw_row").agg(F.collect_list(span_struct()).alias("base"))
     empty = F.array().cast("array<struct<start:bigint,order:int,end:bigint,kind:string>>")
     out = rows.select("tw_row", "tw_hash", F.col("tw_id").alias(id_col)).join(of_row, "tw_row", "left")
-    out = lookup(out, of_text, "tw_hash", "left")
+    of_text = materialise(words.groupBy("tw_hash").agg(F.count("*").alias("weighed")).join(of_text, "tw_hash", "left"), "of_text")
+    out = lookup(out, of_text, "tw_hash", "left", limit=broadcast_rows)
     out = out.withColumns({
         "base": F.coalesce("base", empty), "added": F.coalesce("added", empty),
-        "removed": F.coalesce("removed", F.array().cast("array<bigint>"))})
+        "removed": F.coalesce("removed", F.array().cast("array<bigint>")), "weighed": F.coalesce("weighed", F.lit(0).cast("long"))})
     apart = F.filter("added", lambda a: ~F.exists("base", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])))
-    return out.select("tw_row", id_col, "base", F.sort_array(F.concat("base", apart)).alias("spans"), "removed")
+    return out.select("tw_row", id_col, "base", F.sort_array(F.concat("base", apart)).alias("spans"),
+                      F.array_intersect("removed", F.transform(apart, lambda a: a["start"])).alias("removed"), "weighed")
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -51,6 +51,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *[_of_kind(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
         F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"),
+        "live", "examples",
     )
 
 
@@ -63,6 +64,7 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *[_of_kind(k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
         F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"),
+        "weighed", (F.size("spans") - F.size("base")).cast("long").alias("n_term"), F.size("removed").cast("long").alias("n_removed"),
     )
 
 
@@ -166,23 +168,29 @@ _SECRETS_SQL = " union all ".join(_PLACES.format(order=o, kind=k, pattern=p, hol
 )))
 _PLACEHOLDER_SQL = secretscan.PLACEHOLDER.replace("'", "''")
 SQL_SECRETS = f"""
-with d as (select doc_id, row_number() over () as k, coalesce(text, '') as t, coalesce(source, '') as owner from documents),
-c as ({_SECRETS_SQL}),
-f as (select m, count(distinct owner) as owners from c join d on c.k = d.k group by 1),
+with d as (select doc_id, row_number() over () as k, coalesce(text, '') as t, coalesce(source, '') as owner, coalesce(cast(doc_id as varchar), '') as repo from documents),
+c0 as ({_SECRETS_SQL}),
+f as (select m, count(distinct owner) as owners, count(distinct repo) as repos from c0 join d on c0.k = d.k group by 1),
+c as (
+  select c0.*, case when f.owners >= {secretscan.EXAMPLE_OWNERS} or (f.owners > {secretscan.LIVE_OWNERS} and f.repos >= {secretscan.EXAMPLE_REPOS})
+    or regexp_matches(c0.m, '{_PLACEHOLDER_SQL}') then 'example' when f.owners <= {secretscan.LIVE_OWNERS} then 'live' else '' end as class
+  from c0 join f on c0.m = f.m
+),
 base as (select * from c where o < 3),
 added as (
-  select c.* from c join f on c.m = f.m where c.o = 3 and f.owners <= {secretscan.LIVE_OWNERS} and f.owners < {secretscan.EXAMPLE_OWNERS}
-    and not regexp_matches(c.m, '{_PLACEHOLDER_SQL}')
+  select c.* from c where c.o = 3 and c.class = 'live'
     and not exists (select 1 from base b where b.k = c.k and c.start < b.stop and b.start < c.stop)
 ), b as (
   select k, count(*) filter (o = 0) as n_assign, count(*) filter (o = 1) as n_access, count(*) filter (o = 2) as n_hex,
     string_agg(kind || ':' || start::bigint || ':' || stop::bigint, ',' order by start, o) as spans from base group by 1
 ), a as (
-  select k, string_agg(kind || ':' || start::bigint || ':' || stop::bigint, ',' order by start, o) as spans
+  select k, string_agg(kind || ':' || start::bigint || ':' || stop::bigint, ',' order by start, o) as spans,
+    count(*) filter (class = 'live') as live, count(*) filter (class = 'example') as examples
   from (select * from base union all select * from added) group by 1
 )
 select d.doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex,
-  sha256(coalesce(b.spans, '')) as base_sha256, coalesce(a.spans, '') as spans
+  sha256(coalesce(b.spans, '')) as base_sha256, coalesce(a.spans, '') as spans,
+  coalesce(a.live, 0)::bigint as live, coalesce(a.examples, 0)::bigint as examples
 from d left join b on d.k = b.k left join a on d.k = a.k
 """
 

@@ -2,9 +2,11 @@
 
 A vector is coded as a sum of one entry from each of several codebooks, all
 of full dimension, trained on residuals and searched with a beam. The index
-keeps the codes and the norm of the decoded vector. A query scores codes by
-its table of inner products with all entries; the best are reranked by exact
-cosine in double precision.
+keeps the codes and the norm of the decoded vector, dealt by the first two
+codes into cells. A query scores the codes of its nearest cells by its table of
+inner products with all entries; the best are reranked by exact cosine in
+double precision. Queries and codes meet in shuffles alone: none of either
+passes through the driver.
 """
 
 from __future__ import annotations
@@ -17,13 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywell.llm.common import materialise
+from tallywell.llm.common import lookup, materialise
 
 #: Codebooks and their entries, vectors that a vector's code search keeps at a
 #: time, and vectors of the training sample.
 BOOKS, ENTRIES, BEAM, SAMPLE = 24, 256, 4, 12_000
-#: Candidates reranked for each query, and queries scored at a time.
-RERANK, QUERY_BLOCK = 128, 4096
+#: Different vectors that are reranked for each query.
+RERANK = 32
+#: Cells that a query looks into at least, and vectors that they must hold together.
+PROBES, CANDIDATES = 32, 8192
+#: Codes of a shard (neighbouring cells, or a part of a large one), about, and
+#: queries that one task scores against a shard.
+SHARD_ROWS, SHARD_QUERIES = 1 << 18, 1 << 16
 
 
 @dataclass
@@ -89,15 +96,41 @@ def _top(scores: np.ndarray, ids: np.ndarray, keep: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:keep]
 
 
+def deal(sizes: list[int], rows: int = SHARD_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """The first shard and the number of shards of each cell: small neighbours share one, a large cell has several."""
+    first, many, shard, held = [], [], 0, 0
+    for n in sizes:
+        parts = -(-n // rows)
+        if held and (parts > 1 or held + n > rows):
+            shard, held = shard + 1, 0
+        first.append(shard)
+        many.append(parts)
+        shard, held = (shard + parts, 0) if parts > 1 else (shard, held + n)
+    return np.array(first, np.int64), np.array(many, np.int64)
+
+
+def nearest_cells(scores: np.ndarray, sizes: np.ndarray, probes: int, candidates: int) -> np.ndarray:
+    """Places of the best cells: at least ``probes``, and as many as hold ``candidates`` rows together."""
+    most = min(len(scores), max(probes, 1024))
+    best = np.argpartition(-scores, most - 1)[:most]
+    best = best[np.argsort(-scores[best], kind="stable")]
+    held = np.cumsum(sizes[best])
+    if held[-1] < candidates and most < len(scores):
+        best = np.argsort(-scores, kind="stable")
+        held = np.cumsum(sizes[best])
+    return best[:max(probes, int(np.searchsorted(held, candidates)) + 1)]
+
+
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """tw_id, tw_vec (doubles) of rows whose vector can be compared.
+    """tw_id, tw_vec (doubles), tw_a and tw_b (128 bits of it) of rows whose vector can be compared.
 
     Left out: null ids, null or empty vectors, vectors with a null or
     non-finite component, and zero vectors.
     """
     v = df.select(F.col(id_col).cast("long").alias("tw_id"), F.col(vec_col).cast("array<double>").alias("tw_vec"))
     sound = F.forall("tw_vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return v.where(F.col("tw_id").isNotNull() & (F.size("tw_vec") > 0) & sound & F.exists("tw_vec", lambda x: x != 0))
+    v = v.where(F.col("tw_id").isNotNull() & (F.size("tw_vec") > 0) & sound & F.exists("tw_vec", lambda x: x != 0))
+    return v.withColumns({"tw_a": F.xxhash64("tw_vec"), "tw_b": F.xxhash64(F.lit(1), "tw_vec")})
 
 
 def search(
@@ -108,27 +141,48 @@ def search(
     vec_col: str = "embedding",
     rerank: int = RERANK,
     sample: int = SAMPLE,
+    probes: int = PROBES,
+    candidates: int = CANDIDATES,
+    own: bool = True,
 ) -> DataFrame:
-    """The ``k`` rows of ``vectors`` nearest to each query by cosine.
+    """The ``k`` rows of ``vectors`` nearest to each row of ``queries`` by cosine.
 
     Returns query_id, rank (from 1), vec_id, score: nearest first, ties to the
-    smaller id; a query's own id is no candidate. Rows that can't be compared
-    (see valid_vectors) take no part, nor do those of another length than the
-    most frequent one. A row repeated whole counts once; of queries that share
-    an id the greatest vector is used. With fewer than ``k`` candidates all are
-    returned; an empty table gives none. Codebooks are fitted to at most
-    ``sample`` vectors, those with the smallest hashed ids; every row is indexed.
-    Queries are scored in blocks of bounded size against all codes.
+    smaller id. With ``own``, queries are rows of ``vectors`` and every row but
+    the query's own is a candidate: repeated rows, and other rows of its id,
+    too; without, every row is. Each row of ``queries`` is a query, repeated
+    ones also. Rows that can't be compared (see valid_vectors) take no part;
+    vectors are compared with those of their own length, by a search for each
+    length. With fewer than ``k`` candidates all are returned; an empty table
+    gives none; other columns are ignored.
+
+    Equal vectors are indexed and searched once. Codebooks are fitted to at most
+    ``sample`` of them, those with the smallest hashes; every one is indexed.
     """
-    spark = vectors.sparkSession
-    out_schema = "query_id long, rank int, vec_id long, score double"
-    all_rows = valid_vectors(vectors, id_col, vec_col)
-    lengths = all_rows.groupBy(F.size("tw_vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    if not lengths:
-        return spark.createDataFrame([], out_schema)
-    dim = lengths[0][0]
-    all_rows = all_rows.where(F.size("tw_vec") == dim)
-    drawn = all_rows.orderBy(F.xxhash64("tw_id"), "tw_id").limit(sample).select("tw_vec").toArrow()
+    rows, asked = valid_vectors(vectors, id_col, vec_col), valid_vectors(queries, id_col, vec_col)
+    lengths = sorted(r[0] for r in rows.select(F.size("tw_vec")).distinct().collect())
+    found = [
+        _search(rows.where(F.size("tw_vec") == n), asked.where(F.size("tw_vec") == n), n, k, rerank, sample, probes, candidates, own) for n in lengths
+    ]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _search(rows: DataFrame, asked: DataFrame, dim: int, k: int, rerank: int, sample: int, probes: int, candidates: int, own: bool) -> DataFrame:
+    spark = rows.sparkSession
+    # a vector's k + 1 least ids are all that can be returned of it; each task keeps no more of a copied one
+    order = Window.partitionBy("tw_a", "tw_b").orderBy("tw_id")
+    few = rows.withColumn("tw_n", F.row_number().over(order)).where(F.col("tw_n") <= k + 1)
+    each = few.groupBy("tw_a", "tw_b").agg(F.first("tw_vec").alias("tw_vec"), F.sort_array(F.collect_list("tw_id")).alias("tw_ids"))
+    each = materialise(each.withColumn("tw_v", F.monotonically_increasing_id()), "vectors")
+    wanted = asked.groupBy("tw_a", "tw_b").agg(F.first("tw_vec").alias("tw_vec"))
+    wanted = materialise(wanted.withColumn("tw_q", F.monotonically_increasing_id()), "queries")
+
+    drawn = each.orderBy("tw_a", "tw_b").limit(sample).select("tw_vec").toArrow()
     books = fit(_units(_matrix(drawn.column(0).combine_chunks(), dim)))
     sent = spark.sparkContext.broadcast(books)
 
@@ -137,82 +191,142 @@ def search(
             for at in range(0, batch.num_rows, 2048):
                 b = batch.slice(at, 2048)
                 codes, norms = sent.value.encode(_units(_matrix(b.column(1), dim)).astype(np.float32))
+                cell = codes[:, 0].astype(np.int64) * ENTRIES + codes[:, 1]
+                yield pa.RecordBatch.from_arrays([
+                    b.column(0), pa.array(cell), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float32)),
+                ], ["tw_v", "cell", "codes", "norm"])
+
+    index = materialise(each.select("tw_v", "tw_vec").mapInArrow(encode, "tw_v long, cell long, codes binary, norm float"), "codes")
+    # at most ENTRIES squared cells
+    sizes = sorted((r["cell"], r["n"]) for r in index.groupBy("cell").agg(F.count("*").alias("n")).collect())
+    cell_ids, counts = np.array([c for c, _ in sizes]), np.array([n for _, n in sizes])
+    first, many = deal([n for _, n in sizes])
+    at = spark.createDataFrame(list(zip(cell_ids.tolist(), first.tolist(), many.tolist(), strict=True)), "cell long, first long, many long")
+    index = index.join(F.broadcast(at), "cell").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("tw_v"), F.col("many")))
+    map_of_cells = spark.sparkContext.broadcast((cell_ids, counts, first, many))
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries = sent.value.entries
+        cells, held, start, parts = map_of_cells.value
+        one, two = cells // ENTRIES, cells % ENTRIES
+        half = ((entries[0][one] + entries[1][two]) ** 2).sum(1) / 2
+        for batch in batches:
+            for low in range(0, batch.num_rows, 64):
+                b = batch.slice(low, 64)
+                q = _units(_matrix(b.column(1), dim)).astype(np.float32)
+                scores = (q @ entries[0].T)[:, one] + (q @ entries[1].T)[:, two] - half
+                out: list[tuple] = []
+                for number, unit, own_scores in zip(b.column(0).to_pylist(), q, scores, strict=True):
+                    best = nearest_cells(own_scores, held, probes, candidates)
+                    best = best[np.argsort(start[best], kind="stable")]
+                    single = best[parts[best] == 1]
+                    cuts = np.flatnonzero(np.diff(start[single])) + 1
+                    groups = [(int(start[g[0]]), g) for g in np.split(single, cuts) if len(g)]
+                    groups += [(int(start[c]) + i, np.array([c])) for c in best[parts[best] > 1] for i in range(parts[c])]
+                    out += [(shard, number, unit.tobytes(), cells[g].astype(np.int32).tobytes()) for shard, g in groups]
                 yield pa.RecordBatch.from_arrays([
-                    b.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float32)),
-                ], ["tw_id", "codes", "norm"])
-
-    index = materialise(all_rows.mapInArrow(encode, "tw_id long, codes binary, norm float"), "codes")
-    asked = valid_vectors(queries, id_col, vec_col).where(F.size("tw_vec") == dim)
-    asked = asked.groupBy("tw_id").agg(F.max("tw_vec").alias("tw_vec"))
-    asked = materialise(asked, "queries")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    by_id = F.pmod(F.xxhash64("tw_id"), F.lit(blocks))
-
-    def block_of(number: int) -> DataFrame:
-        rows = asked.where(by_id == number).orderBy("tw_id").toArrow()
-        ids = np.array(rows.column(0).to_pylist(), np.int64)
-        exact = _matrix(rows.column(1).combine_chunks(), dim) if len(ids) else np.zeros((0, dim))
-        block = spark.sparkContext.broadcast((ids, exact))
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q_ids, q = block.value
-            if not len(q_ids):
-                return
-            tables = np.einsum("qd,med->mqe", _units(q).astype(np.float32), sent.value.entries, optimize=True)
-            best = [(np.zeros(0, np.float32), np.zeros(0, np.int64))] * len(q_ids)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 8192):
-                    b = batch.slice(at, 8192)
-                    got = b.column(0).to_numpy()
-                    codes = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(got), -1)
-                    norms = np.maximum(b.column(2).to_numpy(), 1e-12)
-                    for low in range(0, len(q_ids), 256):
-                        part = slice(low, low + 256)
-                        s = tables[0][part][:, codes[:, 0]]
-                        for m in range(1, codes.shape[1]):
-                            s = s + tables[m][part][:, codes[:, m]]
-                        s = s / norms
-                        s[q_ids[part][:, None] == got[None]] = -np.inf
-                        for i, row in enumerate(s, low):
-                            old, old_ids = best[i]
-                            if len(old) == rerank:
-                                new = np.flatnonzero(row >= old[-1])
-                                if not len(new):
-                                    continue
-                                row, found = row[new], got[new]
-                            else:
-                                found = got
-                            both, both_ids = np.concatenate([old, row]), np.concatenate([old_ids, found])
-                            at_top = _top(both, both_ids, rerank)
-                            best[i] = both[at_top], both_ids[at_top]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.repeat(q_ids, [len(s) for s, _ in best])),
-                pa.array(np.concatenate([i for _, i in best])), pa.array(np.concatenate([s for s, _ in best])),
-            ], ["query_id", "tw_id", "near"])
-
-        def exact_score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q_ids, q = block.value
-            for batch in batches:
-                x = _matrix(batch.column(2), dim)
-                y = q[np.searchsorted(q_ids, batch.column(0).to_numpy())]
-                # scaled by powers of two, so that squares neither overflow nor vanish and nothing is rounded
-                x, y = (v / np.exp2(np.frexp(np.abs(v).max(axis=1, keepdims=True))[1]) for v in (x, y))
-                s = np.einsum("nd,nd->n", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], ["query_id", "vec_id", "score"])
-
-        near = index.mapInArrow(score, "query_id long, tw_id long, near float").where(F.col("near") > float("-inf"))
-        order = Window.partitionBy("query_id").orderBy(F.desc("near"), "tw_id")
-        near = near.repartition("query_id").dropDuplicates(["query_id", "tw_id"])
-        near = near.withColumn("tw_n", F.row_number().over(order)).where(F.col("tw_n") <= rerank)
-        # at most QUERY_BLOCK * rerank rows of two longs, whatever the input: that is what is broadcast
-        near = F.broadcast(near.select("query_id", "tw_id"))
-        pairs = all_rows.join(near, "tw_id").select("query_id", "tw_id", "tw_vec")
-        return pairs.mapInArrow(exact_score, "query_id long, vec_id long, score double")
-
-    scored = block_of(0)
-    for number in range(1, blocks):
-        scored = scored.unionByName(block_of(number))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    scored = scored.repartition("query_id").dropDuplicates(["query_id", "vec_id", "score"])
-    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+                    pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))
+                ], ["shard", "tw_q", "unit", "cells"])
+
+    routes = wanted.select("tw_q", "tw_vec").mapInArrow(probe, "shard long, tw_q long, unit binary, cells binary")
+    routes = materialise(routes, "routes")
+    # a shard that very many queries look into is scored by several tasks, each with its own part of them
+    busy = routes.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_QUERIES).cast("int").alias("parts")).where(F.col("parts") > 1)
+    busy = materialise(busy, "busy")
+    stored = lookup(index, busy, "shard", "left").select(
+        "shard", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.lit(0).alias("kind"),
+        F.col("tw_v").alias("number"), F.col("codes").alias("body"), F.lit(None).cast("binary").alias("cells"), "cell", "norm")
+    looking = lookup(routes, busy, "shard", "left").select(
+        "shard", F.coalesce(F.pmod(F.xxhash64("tw_q"), F.col("parts")), F.lit(0)).cast("int").alias("part"), F.lit(1).alias("kind"),
+        F.col("tw_q").alias("number"), F.col("unit").alias("body"), "cells", F.lit(None).cast("long").alias("cell"), F.lit(None).cast("float").alias("norm"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A shard's codes come first and are held; then its queries pass by."""
+        entries = sent.value.entries
+        shelf = _Shelf()
+        for batch in batches:
+            marks = np.stack([batch.column(i).to_numpy() for i in range(3)])
+            edges = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for low, high in zip(edges, edges[1:], strict=False):
+                if low == high:
+                    continue
+                shelf.turn_to(tuple(marks[:2, low]))
+                b = batch.slice(low, high - low)
+                if marks[2, low] == 0:
+                    shelf.add(b)
+                    continue
+                for at in range(0, b.num_rows, 256):
+                    part = b.slice(at, 256)
+                    units = np.stack([np.frombuffer(x.as_py(), np.float32) for x in part.column(4)])
+                    tables = np.einsum("qd,med->qme", units, entries, optimize=True).reshape(len(units), -1)
+                    hits = [shelf.best(t, np.frombuffer(c.as_py(), np.int32), rerank) for t, c in zip(tables, part.column(5), strict=True)]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.repeat(part.column(3).to_numpy(), [len(v) for v, _ in hits])),
+                        pa.array(np.concatenate([v for v, _ in hits])), pa.array(np.concatenate([s for _, s in hits])),
+                    ], ["tw_q", "tw_v", "near"])
+
+    both = stored.unionByName(looking).repartition("shard", "part").sortWithinPartitions("shard", "part", "kind")
+    near = both.select("shard", "part", "kind", "number", "body", "cells", "cell", "norm").mapInArrow(score, "tw_q long, tw_v long, near float")
+    closest = Window.partitionBy("tw_q").orderBy(F.desc("near"), "tw_v")
+    near = near.withColumn("tw_n", F.row_number().over(closest)).where(F.col("tw_n") <= rerank).select("tw_q", "tw_v")
+    near = materialise(near, "near")
+    for used in (sent, map_of_cells):  # what was made of them is written
+        used.destroy()
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (_matrix(batch.column(i), dim) for i in (3, 4))
+            # scaled by powers of two, so that squares neither overflow nor vanish and nothing is rounded
+            x, y = (v / np.exp2(np.frexp(np.abs(v).max(axis=1, keepdims=True))[1]) for v in (x, y))
+            s = np.einsum("nd,nd->n", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(s)], ["tw_q", "tw_ids", "same", "score"])
+
+    pairs = near.join(each, "tw_v").join(wanted.select("tw_q", F.col("tw_vec").alias("tw_asked"), F.col("tw_a").alias("qa"), F.col("tw_b").alias("qb")), "tw_q")
+    pairs = pairs.select("tw_q", "tw_ids", ((F.col("tw_a") == F.col("qa")) & (F.col("tw_b") == F.col("qb"))).alias("same"), "tw_vec", "tw_asked")
+    scored = pairs.mapInArrow(exact, "tw_q long, tw_ids array<long>, same boolean, score double")
+    ranks = Window.partitionBy("tw_q").orderBy(F.desc("score"), "vec_id")
+    top = scored.select("tw_q", "same", "score", F.explode("tw_ids").alias("vec_id")).withColumn("n", F.row_number().over(ranks)).where(F.col("n") <= k + 1)
+    top = top.groupBy("tw_q").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score", "same"))).alias("top"))
+    keys = materialise(wanted.select("tw_q", "tw_a", "tw_b").join(top, "tw_q"), "top")
+    # every row that asked gets its vector's list, without one row of its own id and vector; a vector's rows may be many
+    out = asked.select("tw_id", F.struct("tw_a", "tw_b").alias("tw_key"))
+    out = lookup(out, keys.select(F.struct("tw_a", "tw_b").alias("tw_key"), "top"), "tw_key")
+    if own:
+        mine = F.array_min(F.transform(F.filter("top", lambda t: t["same"] & (t["vec_id"] == F.col("tw_id"))), lambda t: t["n"]))
+        out = out.withColumn("top", F.filter("top", lambda t: mine.isNull() | (t["n"] != mine)))
+    out = out.select("tw_id", F.posexplode(F.slice("top", 1, k)).alias("place", "t"))
+    return out.select(F.col("tw_id").alias("query_id"), (F.col("place") + 1).alias("rank"), "t.vec_id", "t.score")
+
+
+class _Shelf:
+    """The codes of one shard, sorted by cell."""
+
+    def __init__(self):
+        self.mark, self.parts, self.ready = None, [], False
+
+    def turn_to(self, mark: tuple) -> None:
+        if mark != self.mark:
+            self.mark, self.parts, self.ready = mark, [], False
+
+    def add(self, b: pa.RecordBatch) -> None:
+        codes = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+        self.parts.append((b.column(6).to_numpy(), b.column(3).to_numpy(), codes, b.column(7).to_numpy()))
+        self.ready = False
+
+    def best(self, table: np.ndarray, cells: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and scores of the ``keep`` best codes in ``cells``."""
+        if not self.ready and self.parts:
+            cell, numbers, codes, norms = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            order = np.lexsort((numbers, cell))
+            self.cell, self.numbers, self.norms = cell[order], numbers[order], np.maximum(norms[order], 1e-12)
+            self.codes = codes[order]
+            self.steps = np.arange(codes.shape[1]) * ENTRIES
+            self.parts, self.ready = [(self.cell, self.numbers, self.codes, self.norms)], True
+        if not self.ready:
+            return np.zeros(0, np.int64), np.zeros(0, np.float32)
+        low, high = np.searchsorted(self.cell, cells, "left"), np.searchsorted(self.cell, cells, "right")
+        at = np.concatenate([np.arange(a, b) for a, b in zip(low, high, strict=True)])
+        scores = np.concatenate([
+            table[self.codes[at[i:i + 16384]] + self.steps].sum(axis=1) for i in range(0, max(len(at), 1), 16384)]) / self.norms[at]
+        top = _top(scores, self.numbers[at], keep)
+        return self.numbers[at][top], scores[top].astype(np.float32)

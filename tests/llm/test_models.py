@@ -143,13 +143,56 @@ def test_vectors_that_cannot_be_compared(spark):
     rows = [(i, v, 1) for i, v in enumerate(vecs)] + [(None, [1.0, 0.0], 1), (1, [1.0, 0.0], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
     got = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in quantise.search(df, df.where("vec_id in (0, 3, 12)"), k=4).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1, 1.0), (0, 2, 10, 1.0), (0, 3, 13, 1.0), (0, 4, 12, round(0.5**0.5, 9)),
-                   (12, 1, 0, round(0.5**0.5, 9)), (12, 2, 1, round(0.5**0.5, 9)), (12, 3, 2, round(0.5**0.5, 9)), (12, 4, 10, round(0.5**0.5, 9))]
+    assert got == [(0, 1, 1, 1.0), (0, 2, 1, 1.0), (0, 3, 10, 1.0), (0, 4, 13, 1.0),
+                   (12, 1, 0, round(0.5**0.5, 9)), (12, 2, 1, round(0.5**0.5, 9)), (12, 3, 1, round(0.5**0.5, 9)), (12, 4, 2, round(0.5**0.5, 9))]
     few = df.where("vec_id in (0, 2)")
     assert quantise.search(few, few).count() == 2
     assert quantise.search(df.limit(0), df).count() == 0 and quantise.search(df, df.limit(0)).count() == 0
 
 
+def brute_rows(rows, k):
+    """Every row but the query's own is a candidate, whatever its id; lengths are kept apart."""
+    out = []
+    for a, (q, x) in enumerate(rows):
+        if q % 50 == 0:
+            x = np.array(x)
+            s = sorted((-round(float(x @ y / (np.linalg.norm(x) * np.linalg.norm(y))), 9), i) for b, (i, y) in enumerate(rows) if b != a and len(y) == len(x) for y in [np.array(y)])
+            out += [(q, r, i, -c) for r, (c, i) in enumerate(s[:k], 1)]
+    return sorted(out)
+
+
+def test_every_row_is_a_candidate(spark):
+    """Copies, repeated ids with other vectors, repeated rows and two lengths, against brute force."""
+    rng = random.Random(3)
+    spot = lambda n: [rng.gauss(0, 1) for _ in range(n)]
+    hot, cold = spot(6), spot(3)
+    rows = [(i, spot(6)) for i in range(1, 160)] + [(1000 + i, hot) for i in range(300)] + [(3000 + i, cold) for i in range(4)] + [(50, hot), (50, hot), (50, spot(6)), (5000, spot(3)), (7, hot)]
+    rows += [(5100, [2 * v for v in hot])] * 40
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = quantise.search(df, df.where("vec_id % 50 = 0"), k=5, probes=4, candidates=60).collect()
+    want = brute_rows(rows, 5)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got)
+    counts = lambda xs: collections.Counter((q, r) for q, r, *_ in xs)
+    assert counts(got) == counts(want)
+    both = sum((collections.Counter((g[0], g[2]) for g in got) & collections.Counter((w[0], w[2]) for w in want)).values())
+    assert both / len(want) >= 0.9
+    hot_rows = [x for x in want if x[0] >= 1000 and x[0] < 1300]
+    assert [g for g in got if 1000 <= g[0] < 1300] == hot_rows  # 300 copies: the five least ids but one's own
+
+
+def test_small_shards_change_nothing(spark, small, monkeypatch):
+    df = spark.read.parquet(f"{small}/embeddings.parquet")
+    one = sorted(map(tuple, quantise.search(df, df.where("vec_id % 50 = 0")).collect()))
+    monkeypatch.setattr(quantise, "SHARD_QUERIES", 2)
+    monkeypatch.setattr(quantise.deal, "__defaults__", (40,))
+    assert sorted(map(tuple, quantise.search(df, df.where("vec_id % 50 = 0")).collect())) == one
+
+
+def test_deal():
+    first, many = quantise.deal([3, 4, 30, 1, 9, 2], rows=10)
+    assert first.tolist() == [0, 0, 1, 4, 4, 5] and many.tolist() == [1, 1, 3, 1, 1, 1]
+
+
 def test_beam_search_is_no_worse_than_greedy():
     x = np.random.default_rng(0).normal(size=(300, 16)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1)[:, None]

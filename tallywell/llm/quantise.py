@@ -25,9 +25,10 @@ from tallywell.llm.common import lookup, materialise
 #: time, and vectors of the training sample.
 BOOKS, ENTRIES, BEAM, SAMPLE = 24, 256, 4, 12_000
 #: Different vectors that are reranked for each query.
-RERANK = 32
-#: Cells that a query looks into at least, and vectors that they must hold together.
-PROBES, CANDIDATES = 32, 8192
+RERANK = 64
+#: Cells that a query looks into at least; those of n different vectors must hold
+#: REACH * sqrt(n) together, so that the work for n / 50 queries grows as n ** 1.5.
+PROBES, REACH = 32, 145
 #: Codes of a shard (neighbouring cells, or a part of a large one), about, and
 #: queries that one task scores against a shard.
 SHARD_ROWS, SHARD_QUERIES = 1 << 18, 1 << 16
@@ -142,7 +143,7 @@ def search(
     rerank: int = RERANK,
     sample: int = SAMPLE,
     probes: int = PROBES,
-    candidates: int = CANDIDATES,
+    reach: float = REACH,
     own: bool = True,
 ) -> DataFrame:
     """The ``k`` rows of ``vectors`` nearest to each row of ``queries`` by cosine.
@@ -162,7 +163,7 @@ def search(
     rows, asked = valid_vectors(vectors, id_col, vec_col), valid_vectors(queries, id_col, vec_col)
     lengths = sorted(r[0] for r in rows.select(F.size("tw_vec")).distinct().collect())
     found = [
-        _search(rows.where(F.size("tw_vec") == n), asked.where(F.size("tw_vec") == n), n, k, rerank, sample, probes, candidates, own) for n in lengths
+        _search(rows.where(F.size("tw_vec") == n), asked.where(F.size("tw_vec") == n), n, k, rerank, sample, probes, reach, own) for n in lengths
     ]
     if not found:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -172,7 +173,7 @@ def search(
     return out
 
 
-def _search(rows: DataFrame, asked: DataFrame, dim: int, k: int, rerank: int, sample: int, probes: int, candidates: int, own: bool) -> DataFrame:
+def _search(rows: DataFrame, asked: DataFrame, dim: int, k: int, rerank: int, sample: int, probes: int, reach: float, own: bool) -> DataFrame:
     spark = rows.sparkSession
     # a vector's k + 1 least ids are all that can be returned of it; each task keeps no more of a copied one
     order = Window.partitionBy("tw_a", "tw_b").orderBy("tw_id")
@@ -201,6 +202,7 @@ def _search(rows: DataFrame, asked: DataFrame, dim: int, k: int, rerank: int, sa
     sizes = sorted((r["cell"], r["n"]) for r in index.groupBy("cell").agg(F.count("*").alias("n")).collect())
     cell_ids, counts = np.array([c for c, _ in sizes]), np.array([n for _, n in sizes])
     first, many = deal([n for _, n in sizes])
+    candidates = int(reach * counts.sum() ** 0.5)
     at = spark.createDataFrame(list(zip(cell_ids.tolist(), first.tolist(), many.tolist(), strict=True)), "cell long, first long, many long")
     index = index.join(F.broadcast(at), "cell").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("tw_v"), F.col("many")))
     map_of_cells = spark.sparkContext.broadcast((cell_ids, counts, first, many))

@@ -169,7 +169,7 @@ def test_every_row_is_a_candidate(spark):
     rows = [(i, spot(6)) for i in range(1, 160)] + [(1000 + i, hot) for i in range(300)] + [(3000 + i, cold) for i in range(4)] + [(50, hot), (50, hot), (50, spot(6)), (5000, spot(3)), (7, hot)]
     rows += [(5100, [2 * v for v in hot])] * 40
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
-    got = quantise.search(df, df.where("vec_id % 50 = 0"), k=5, probes=4, candidates=60).collect()
+    got = quantise.search(df, df.where("vec_id % 50 = 0"), k=5, probes=4, reach=6).collect()
     want = brute_rows(rows, 5)
     got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got)
     counts = lambda xs: collections.Counter((q, r) for q, r, *_ in xs)

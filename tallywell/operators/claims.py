@@ -89,6 +89,30 @@ def prove_source(claim: dict, queries: DataFrame, runs: DataFrame, live_hash) ->
     return wrong
 
 
+def reconcile_verified(claims: list[dict], ledger, live_hash, replay_of, limits: tuple[float, float] | None = None) -> dict:
+    """Reconcile claims only if all their sources are proven and their values lie in the contract's range.
+
+    ``ledger`` has the tables of queries and runs and records events;
+    ``replay_of`` (snapshot id, metric -> {period: value}) reads a snapshot. One
+    source that isn't proven fails every claim, and the refusal is recorded.
+    """
+    for c in claims:
+        validate_claim(c, limits)
+    queries, runs = ledger.table("queries"), ledger.table("runs")
+    sources = {tuple(c["source"][k] for k in SOURCE) + (c["metric"],): c for c in claims}
+    wrong = {key[0]: found for key, c in sources.items() if (found := prove_source(c, queries, runs, live_hash))}
+    if wrong:
+        ledger.event("source_unproven", claims[0]["source"]["run_id"], None, {"reasons": wrong})
+        entries = [c | {"replayed": None, "status": "FAIL", "reason": "source unproven"} for c in claims]
+        return {"entries": entries, "passed": 0, "blocked": len(entries), "summary": "MISMATCH", "unproven": wrong}
+    out = {"entries": [], "passed": 0, "blocked": 0, "unproven": {}}
+    for snapshot, metric in sorted({(c["source"]["snapshot_id"], c["metric"]) for c in claims}):
+        own = [c for c in claims if (c["source"]["snapshot_id"], c["metric"]) == (snapshot, metric)]
+        part = reconcile(own, replay_of(snapshot, metric))
+        out = out | {k: out[k] + part[k] for k in ("entries", "passed", "blocked")}
+    return out | {"summary": "MISMATCH" if out["blocked"] else "clean"}
+
+
 def number_tokens(narratives: DataFrame, text: str = "text") -> DataFrame:
     """narrative rows exploded to decimal and percent tokens with their values."""
     token = F.explode(F.regexp_extract_all(text, F.lit(r"(-?\d{1,3}(?:,\d{3})*(?:\.\d+)?%?)"), F.lit(1)))

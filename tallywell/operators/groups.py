@@ -10,38 +10,62 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywell.functions.predicates import identifier, is_truthy
+from tallywell.session import checkpoint_ready
 
 
 def group_counts(df: DataFrame, arm: str, converted: str, arms: tuple[str, str] = ("a", "b")) -> DataFrame:
-    """One row s_a, n_a, s_b, n_b in one pass; raises for an arm that isn't known."""
+    """One row s_a, n_a, s_b, n_b, by one scan; raises for an arm that isn't known."""
     a = F.col(identifier(arm))
-    strange = df.where(a.isNotNull() & ~a.isin(*arms)).select(a.cast("string")).limit(1).collect()
-    if strange:
-        raise ValueError(f"an arm that isn't {arms[0]} or {arms[1]}: {strange[0][0]!r}")
     yes = is_truthy(F.col(identifier(converted)))
-    return df.agg(*[x for k, side in zip(arms, "ab", strict=True) for x in (
-        F.count_if((a == k) & yes).alias(f"s_{side}"), F.count_if(a == k).alias(f"n_{side}"))])
+    row = df.agg(F.min(F.when(~a.isin(*arms), a.cast("string"))), *[x for k in arms for x in (F.count_if((a == k) & yes), F.count_if(a == k))]).first()
+    if row[0] is not None:
+        raise ValueError(f"an arm that isn't {arms[0]} or {arms[1]}: {row[0]!r}")
+    return df.sparkSession.createDataFrame([tuple(row[1:])], "s_a long, n_a long, s_b long, n_b long")
 
 
 def moments(df: DataFrame, group: str, value: str) -> DataFrame:
-    """grp, n, mean, var, skew, kurt, median of values that aren't null."""
+    """grp, n, mean, var, skew, kurt of values that aren't null; sums alone, so no group is gathered."""
     x = F.col(value).cast("double")
     return df.where(x.isNotNull() & F.col(group).isNotNull()).groupBy(F.col(group).alias("grp")).agg(
         F.count("*").alias("n"), F.avg(x).alias("mean"), F.var_samp(x).alias("var"),
-        F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurt"), F.median(x).alias("median"))
+        F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurt"))
 
 
-def value_ranks(df: DataFrame, group: str, value: str) -> DataFrame:
-    """x, ties, rank, and n by group: average ranks over distinct values.
+def _cumulative(counts: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """``counts`` with upto: the sum of ``weight`` over rows of the same keys up to each x.
 
-    Values are counted first, so that what one ordered window holds are the
-    distinct values and not the rows.
+    Rows are dealt into ranges of x; sums run within a range, and what stands
+    before a range comes from its totals, of which there are as many as ranges.
     """
+    checkpoint_ready(counts.sparkSession)
+    dealt = counts.repartitionByRange(*keys, "x").withColumn("part", F.spark_partition_id()).checkpoint()
+    totals = dealt.groupBy(*keys, "part").agg(F.sum(weight).alias("total"))
+    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("before", F.coalesce(F.sum("total").over(earlier), F.lit(0))).drop("total")
+    own = Window.partitionBy(*keys, "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.join(totals, [*keys, "part"]).withColumn("upto", F.col("before") + F.sum(weight).over(own)).drop("part", "before")
+
+
+def _counted(df: DataFrame, group: str, value: str) -> DataFrame:
     x = F.col(value).cast("double")
-    counts = df.where(x.isNotNull() & F.col(group).isNotNull()).groupBy(x.alias("x"), F.col(group).alias("grp")).agg(F.count("*").alias("n"))
-    per = counts.groupBy("x").agg(F.sum("n").alias("ties"), F.map_from_entries(F.collect_list(F.struct("grp", "n"))).alias("by"))
-    upto = F.sum("ties").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-    return per.select("x", "ties", (upto - (F.col("ties") - 1) / 2).alias("rank"), "by")
+    return df.where(x.isNotNull() & F.col(group).isNotNull()).groupBy(x.alias("x"), F.col(group).alias("grp")).agg(F.count("*").alias("n"))
+
+
+def medians(df: DataFrame, group: str, value: str) -> DataFrame:
+    """grp, median (exact; an even number of values averages the middle two) of values that aren't null."""
+    c = _cumulative(_counted(df, group, value), ["grp"], "n")
+    n = c.groupBy("grp").agg(F.sum("n").alias("all"))
+    at = lambda k: F.min(F.when(F.col("upto") >= k, F.col("x")))
+    low, high = F.floor((F.col("all") + 1) / 2), F.floor(F.col("all") / 2) + 1
+    return c.join(n, "grp").groupBy("grp").agg(((at(low) + at(high)) / 2).alias("median"))
+
+
+def value_ranks(df: DataFrame, group: str, value: str) -> DataFrame:
+    """x, ties, rank, and n by group: average ranks over distinct values, which are counted first."""
+    per = _counted(df, group, value).groupBy("x").agg(
+        F.sum("n").alias("ties"), F.map_from_entries(F.collect_list(F.struct("grp", "n"))).alias("by"))
+    per = _cumulative(per.withColumn("one", F.lit(1)), ["one"], "ties")
+    return per.select("x", "ties", (F.col("upto") - (F.col("ties") - 1) / 2).alias("rank"), "by")
 
 
 def rank_sums(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -125,8 +149,7 @@ def _median_difference(one: DataFrame, two: DataFrame) -> float:
     spark = one.sparkSession
     inf, nan = float("inf"), float("nan")
     odd = [{repr(r[0]): r[1] for r in s.where(~(F.abs("x") < inf)).collect()} for s in (one, two)]
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints/tallywell")
+    checkpoint_ready(spark)
     sides = [_packed(s).checkpoint() for s in (one, two)]
     p, q = (s.select("chunk", "low", "high", "weight").orderBy("low").collect() for s in sides)
     n, m = (sum(int(r["weight"]) for r in s) for s in (p, q))
@@ -214,6 +237,11 @@ def k_anonymity_groups(df: DataFrame, quasi: list[str], k: int) -> DataFrame:
     return df.groupBy(*names).agg(F.count("*").alias("n")).where(F.col("n") < k)
 
 
+def smallest_groups(df: DataFrame, quasi: list[str], k: int) -> DataFrame:
+    """The groups that break k-anonymity, smallest first, ties in order of their values."""
+    return k_anonymity_groups(df, quasi, k).orderBy("n", *quasi)
+
+
 def k_anonymity(df: DataFrame, quasi: list[str], k: int) -> dict:
     """satisfied, min_group, offending_groups, affected_rows; an empty table is satisfied."""
     k_anonymity_groups(df, quasi, k)  # checks the names

@@ -6,6 +6,7 @@ day as text; a ratio over columns yields its sums as well.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -66,8 +67,8 @@ def parse_contract(raw: Mapping[str, Any]) -> Contract:
     limits = raw.get("value_range")
     if limits is not None:
         numbers = isinstance(limits, (list, tuple)) and all(isinstance(x, (int, float)) and not isinstance(x, bool) for x in limits)
-        if not numbers or len(limits) != 2:
-            raise ContractError("value_range must be two numbers")
+        if not numbers or len(limits) != 2 or not all(map(math.isfinite, limits)) or limits[0] > limits[1]:
+            raise ContractError("value_range must be two finite numbers in order")
     version = raw.get("version", 1)
     if not isinstance(version, int) or isinstance(version, bool):
         raise ContractError("version must be an integer")

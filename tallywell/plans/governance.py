@@ -13,7 +13,7 @@ from datetime import date, datetime, timedelta, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywell.sources.files import TRACKS, TYPES, check_track, copy, digest, exists, inside, list_files, read_bytes, store, write_bytes
+from tallywell.sources.files import TRACKS, TYPES, Held, check_track, claim, copy, digest, exists, held, inside, list_files, read_bytes, store, write_bytes
 
 
 class GateError(RuntimeError):
@@ -155,10 +155,20 @@ class JsonLedger:
             raise GateError(f"{self.uri} is damaged") from None
         return raw["records"]
 
-    def add(self, key: str, record: dict) -> None:
+    def add(self, key: str, record: dict, test=None) -> None:
+        """Record under a new id. ``test`` (of all records so far) may refuse; nobody else writes meanwhile."""
+        try:
+            with held(self.uri):
+                self._add(key, record, test)
+        except Held:
+            raise GateError(f"{self.uri} is being written") from None
+
+    def _add(self, key: str, record: dict, test) -> None:
         records = self.load()
         if key in records:
             raise GateError(f"{key} is recorded already")
+        if test is not None:
+            test(records)
         records[key] = record | {"recorded_at": datetime.now(timezone.utc).isoformat(timespec="seconds")}
         write_bytes(self.uri, json.dumps({"ledger": self.kind, "records": records}, ensure_ascii=False, indent=2).encode())
 
@@ -188,10 +198,15 @@ class PrivacyBudget:
     def spend(self, spend_id: str, epsilon: float, purpose: str = "") -> float:
         if epsilon < 0:
             raise GateError("an expense isn't negative")
-        spent = self.spent()
-        if spend_id not in self.ledger.load() and spent + epsilon > self.total + 1e-9:
-            raise BudgetExhausted(f"{spent} of {self.total} is spent; {epsilon} more is too much")
-        self.ledger.add(spend_id, {"epsilon": float(epsilon), "purpose": purpose})
+        spent = 0.0
+
+        def fits(records: dict) -> None:
+            nonlocal spent
+            spent = sum(r["epsilon"] for r in records.values())
+            if spent + epsilon > self.total + 1e-9:
+                raise BudgetExhausted(f"{spent} of {self.total} is spent; {epsilon} more is too much")
+
+        self.ledger.add(spend_id, {"epsilon": float(epsilon), "purpose": purpose}, fits)
         return self.total - spent - epsilon
 
 
@@ -377,14 +392,13 @@ class Bridge:
         path = f"{self.folder}/tokens/{token}.json"
         if not token or not re.match(r"^tk-[0-9a-f]{32}$", token) or not exists(path):
             raise GateError("no such token")
-        if exists(f"{path}.used"):
-            raise GateError("the token was used")
         row = json.loads(read_bytes(path))
         if _utc(row["expires"]) <= datetime.now(timezone.utc):
             raise GateError("the token expired")
         if (row["purpose"], row["source"], row["target"]) != (purpose, source, target):
             raise GateError("the token is for something else")
-        write_bytes(f"{path}.used", b"")
+        if not claim(f"{path}.used"):
+            raise GateError("the token was used")
 
     def export(self, token: str, purpose: str, source_root: str, target_root: str, source_track: str, target_track: str,
                source_ledger, target_ledger, run_id: str, claims: list[dict] | None = None) -> dict:

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallywell.functions import kernels
 from tallywell.functions.redaction import redact
 from tallywell.operators import claims, experiment, groups, quality
 from tallywell.operators.metrics import compile_metric, parse_contract
@@ -235,7 +236,8 @@ def srm_chi2(spark, sf_dir):
 @_register("welch_sufficient", f"""
 select arm as grp, count(c_acctbal) as n, round(avg(c_acctbal), 6) as mean, round(var_samp(c_acctbal), 4) as var, round(median(c_acctbal), 6) as median from {_ARMS} group by 1""")
 def welch_sufficient(spark, sf_dir):
-    m = groups.moments(_arms(spark, sf_dir), "arm", "c_acctbal")
+    arms = _arms(spark, sf_dir)
+    m = groups.moments(arms, "arm", "c_acctbal").join(groups.medians(arms, "arm", "c_acctbal"), "grp")
     return m.select("grp", "n", F.round("mean", 6).alias("mean"), F.round("var", 4).alias("var"), F.round("median", 6).alias("median"))
 
 
@@ -305,20 +307,177 @@ def contract_diff(spark, sf_dir):
     return governance.contract_changes(old, new)
 
 
-@_register("hodges_lehmann", f"""
-select round(median(a.v - b.v), 6) as shift from (select l_quantity as v from lineitem where l_linenumber = 7 and l_returnflag = 'A') a,
-(select l_quantity as v from lineitem where l_linenumber = 7 and l_returnflag = 'R') b""")
-def hodges_lehmann(spark, sf_dir):
-    d = _table(spark, sf_dir, "lineitem").where(F.col("l_linenumber") == 7)
-    return spark.createDataFrame([(round(groups.hodges_lehmann(d, "l_returnflag", "l_quantity", "A", "R"), 6),)], "shift double")
-
-
-@_register("hodges_lehmann_whole", """
+_SHIFT = """
 with g as (select l_returnflag as f, l_quantity as v, count(*) as w from lineitem where l_returnflag in ('A', 'R') and l_quantity is not null group by 1, 2),
 d as (select a.v - b.v as x, sum(a.w * b.w) as w from g a, g b where a.f = 'A' and b.f = 'R' group by 1),
 c as (select x, sum(w) over (order by x) as upto, sum(w) over () as n from d)
-select round((min(x) filter (upto >= (n + 1) // 2) + min(x) filter (upto >= n // 2 + 1)) / 2.0::double, 6) as shift from c""")
-def hodges_lehmann_whole(spark, sf_dir):
+select round((min(x) filter (upto >= (n + 1) // 2) + min(x) filter (upto >= n // 2 + 1)) / 2.0::double, 6) as shift from c"""
+
+
+@_register("hodges_lehmann_whole", _SHIFT)
+@_register("hodges_lehmann", _SHIFT)
+def hodges_lehmann(spark, sf_dir):
     shift = groups.hodges_lehmann(_table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity", "A", "R")
     return spark.createDataFrame([(None if shift is None else round(shift, 6),)], "shift double")
 
+
+# -- tests with p-values: tails by Simpson's rule in SQL, as DuckDB has no erf --------
+
+_Z = 1.959963984540054
+_STEPS = 2000
+
+
+def _simpson(height: str, upto: str) -> str:
+    """SQL of the integral of ``height`` (of x) from 0 to ``upto``."""
+    x = f"(i * ({upto}) / {_STEPS})"
+    weight = f"case when i in (0, {_STEPS}) then 1 when i % 2 = 1 then 4 else 2 end"
+    return f"(select sum({weight} * {height.format(x=x)}) * ({upto}) / {3 * _STEPS} from range(0, {_STEPS + 1}) steps(i))"
+
+
+def _normal_p(z: str) -> str:
+    return "greatest(0.0::double, 1 - 2 * " + _simpson("exp(-{x} * {x} / 2)", f"abs({z})") + " / sqrt(2 * pi()))"
+
+
+def _t_p(t: str, df: str) -> str:
+    scale = f"exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt({df} * pi())"
+    return "greatest(0.0::double, 1 - 2 * " + _simpson(f"pow(1 + {{x}} * {{x}} / {df}, -({df} + 1) / 2)", f"abs({t})") + f" * {scale})"
+
+
+_COUNTS = f"""c as (select count(*) filter (arm = 'a' and converted)::double as s_a, count(*) filter (arm = 'a')::double as n_a,
+  count(*) filter (arm = 'b' and converted)::double as s_b, count(*) filter (arm = 'b')::double as n_b from {_ARMS})"""
+
+
+def _one_row(spark: SparkSession, **values: float) -> DataFrame:
+    return spark.createDataFrame([tuple(float(v) for v in values.values())], ", ".join(f"{k} double" for k in values))
+
+
+def _counts(spark, sf_dir) -> tuple:
+    return tuple(groups.group_counts(_arms(spark, sf_dir), "arm", "converted").first())
+
+
+@_register("test_two_proportion", f"""
+with {_COUNTS}, v as (select s_a / n_a as p, s_b / n_b as q, (s_a + s_b) / (n_a + n_b) as pool, n_a, n_b from c),
+t as (select p - q as diff, coalesce((p - q) / nullif(sqrt(pool * (1 - pool) * (1 / n_a + 1 / n_b)), 0), 0) as z, {_Z} * sqrt(p * (1 - p) / n_a + q * (1 - q) / n_b) as wide from v)
+select round(diff, 6) as effect, round(diff - wide, 6) as low, round(diff + wide, 6) as high, round(z, 6) as z, round({_normal_p("z")}, 6) as p_value from t""")
+def test_two_proportion(spark, sf_dir):
+    r = kernels.two_proportion(*_counts(spark, sf_dir))
+    return _one_row(spark, effect=round(r["effect"]["value"], 6), low=round(r["effect"]["ci"][0], 6), high=round(r["effect"]["ci"][1], 6),
+                    z=round(r["statistic"]["z"], 6), p_value=round(r["p_value"], 6))
+
+
+@_register("test_welch", f"""
+with g as (select arm, count(c_acctbal)::double as n, avg(c_acctbal) as m, var_samp(c_acctbal) as v from {_ARMS} group by 1),
+w as (select a.m - b.m as diff, a.v / a.n as p, b.v / b.n as q, a.n as n, b.n as k from g a, g b where a.arm = 'a' and b.arm = 'b'),
+t as (select diff, sqrt(p + q) as se, pow(p + q, 2) / (p * p / (n - 1) + q * q / (k - 1)) as df from w),
+z as (select *, {_Z} as z from t),
+e as (select *, z + (pow(z, 3) + z) / (4 * df) + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96 * df * df) as far from z)
+select round(diff, 4) as effect, round(diff - far * se, 4) as low, round(diff + far * se, 4) as high, round(diff / se, 6) as t, round(df, 4) as df,
+  round({_t_p("(diff / se)", "df")}, 6) as p_value from e""")
+def test_welch(spark, sf_dir):
+    m = {r["grp"]: r for r in groups.moments(_arms(spark, sf_dir), "arm", "c_acctbal").collect()}
+    r = kernels.welch(*[m[g][k] for g in "ab" for k in ("n", "mean", "var")])
+    return _one_row(spark, effect=round(r["effect"]["value"], 4), low=round(r["effect"]["ci"][0], 4), high=round(r["effect"]["ci"][1], 4),
+                    t=round(r["statistic"]["t"], 6), df=round(r["statistic"]["df"], 4), p_value=round(r["p_value"], 6))
+
+
+@_register("test_mann_whitney", f"""
+with r as (select arm, rank() over (order by c_acctbal) + (count(*) over (partition by c_acctbal) - 1) / 2.0::double as rank, count(*) over (partition by c_acctbal) as ties
+  from {_ARMS} where c_acctbal is not null),
+s as (select sum(rank) filter (arm = 'a') as ra, count(*) filter (arm = 'a')::double as n, count(*) filter (arm = 'b')::double as m, sum(ties * ties - 1)::double as tie from r),
+u as (select ra - n * (n + 1) / 2 as u, n, m, n * m / 12 * (n + m + 1 - tie / ((n + m) * (n + m - 1))) as var from s),
+z as (select *, greatest(0, greatest(u, n * m - u) - n * m / 2 - 0.5::double) / sqrt(var) as z from u)
+select round(u, 4) as u, round(2 * u / (n * m) - 1, 6) as rank_biserial, round({_normal_p("z")}, 6) as p_value from z""")
+def test_mann_whitney(spark, sf_dir):
+    k = {r["grp"]: r for r in groups.rank_sums(_arms(spark, sf_dir), "arm", "c_acctbal").collect()}
+    n, m = int(k["a"]["n"]), int(k["b"]["n"])
+    r = kernels.mann_whitney(float(k["a"]["rank_sum"]) - n * (n + 1) / 2, n, m, float(k["a"]["tie_sum"]), 0.0)
+    return _one_row(spark, u=round(r["statistic"]["u"], 4), rank_biserial=round(r["statistic"]["rank_biserial"], 6), p_value=round(r["p_value"], 6))
+
+
+@_register("test_fisher", f"""
+with {_COUNTS}, k as (select c.*, unnest(range(greatest(0, s_a + s_b - n_b)::bigint, least(n_a, s_a + s_b)::bigint + 1))::double as k from c),
+l as (select *, lgamma(n_a + 1) - lgamma(k + 1) - lgamma(n_a - k + 1) + lgamma(n_b + 1) - lgamma(s_a + s_b - k + 1) - lgamma(n_b - s_a - s_b + k + 1)
+  - lgamma(n_a + n_b + 1) + lgamma(s_a + s_b + 1) + lgamma(n_a + n_b - s_a - s_b + 1) as lp from k)
+select round(any_value(s_a * (n_b - s_b) / nullif(s_b * (n_a - s_a), 0)), 6) as odds_ratio,
+  round(least(1, sum(exp(lp)) filter (lp <= (select min(lp) from l where k = s_a) + 1e-7::double)), 6) as p_value from l""")
+def test_fisher(spark, sf_dir):
+    r = kernels.fisher(*_counts(spark, sf_dir))
+    return _one_row(spark, odds_ratio=round(r["effect"]["value"], 6), p_value=round(r["p_value"], 6))
+
+
+_EVENTS = """e as (select count(*) filter (event_type = 'click')::double as e_a, count(distinct case when event_type = 'click' then user_id end)::double as x_a,
+  count(*) filter (event_type = 'view')::double as e_b, count(distinct case when event_type = 'view' then user_id end)::double as x_b from events)"""
+
+
+def _rates(spark, sf_dir) -> tuple:
+    """Events and the users who had them, of two types."""
+    e, u = _table(spark, sf_dir, "events"), F.col("user_id")
+    return tuple(e.agg(*[x for k in ("click", "view") for x in (
+        F.count_if(F.col("event_type") == k), F.count_distinct(F.when(F.col("event_type") == k, u)).cast("double"))]).first())
+
+
+@_register("test_poisson", f"""
+with {_EVENTS}, n as (select e.*, e_a + e_b as n, x_a / (x_a + x_b) as pi from e), k as (select n.*, unnest(range(0, n::bigint + 1))::double as k from n),
+l as (select *, lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(pi) + (n - k) * ln(1 - pi) as lp from k)
+select round(any_value((e_a / x_a) / (e_b / x_b)), 6) as rate_ratio, round(least(1, sum(exp(lp)) filter (lp <= (select min(lp) from l where k = e_a) + 1e-7::double)), 6) as p_value from l""")
+def test_poisson(spark, sf_dir):
+    r = kernels.poisson_rates(*_rates(spark, sf_dir))
+    return _one_row(spark, rate_ratio=round(r["effect"]["value"], 6), p_value=round(r["p_value"], 6))
+
+
+@_register("test_negative_binomial", f"""
+with {_EVENTS}, b as (select ln((e_a / x_a) / (e_b / x_b)) as beta, sqrt((1 + e_a) / e_a + (1 + e_b) / e_b) as se from e)
+select round(exp(beta), 6) as rate_ratio, round(exp(beta - {_Z} * se), 6) as low, round(exp(beta + {_Z} * se), 6) as high, round({_normal_p("(beta / se)")}, 6) as p_value from b""")
+def test_negative_binomial(spark, sf_dir):
+    r = kernels.negative_binomial(*_rates(spark, sf_dir))
+    return _one_row(spark, rate_ratio=round(r["effect"]["value"], 6), low=round(r["effect"]["ci"][0], 6), high=round(r["effect"]["ci"][1], 6), p_value=round(r["p_value"], 6))
+
+
+@_register("premises", f"""
+with {_COUNTS}, v as (select s_a / n_a as p, (s_a + s_b) / (n_a + n_b) as pool, c.* from c), o as (select v.*, least(1, greatest(0, p + 0.05::double)) as q from v),
+z as (select o.*, {_Z} as z, 0.8416212335729143::double as y from o)
+select round(least(n_a, n_b) * least(pool, 1 - pool), 3) as min_expected,
+  ceil(pow(z * sqrt(2 * (p + q) / 2 * (1 - (p + q) / 2)) + y * sqrt(p * (1 - p) + q * (1 - q)), 2) / pow(0.05::double, 2))::double as required_per_group,
+  round((z + y) * sqrt(pool * (1 - pool) * (1 / n_a + 1 / n_b)), 6) as detectable from z""")
+def premises(spark, sf_dir):
+    from tallywell.plans import statistics
+
+    c = _counts(spark, sf_dir)
+    size = statistics.sample_size(c[1], c[3], c[0] / c[1], 0.05)
+    return _one_row(spark, min_expected=statistics.expected_cells(*c).evidence["min_expected"], required_per_group=size.evidence["required_per_group"],
+                    detectable=kernels.detectable(c[1], c[3], (c[0] + c[2]) / (c[1] + c[3])))
+
+
+@_register("missing_pattern", """
+select round(avg(case when value is null then 1 else 0 end)::double, 6) as missing_rate, avg(case when value is null then 1 else 0 end) <= 0.05 as passed from events""")
+def missing_pattern(spark, sf_dir):
+    from tallywell.plans import statistics
+
+    total, missing = _table(spark, sf_dir, "events").agg(F.count("*"), F.count_if(F.col("value").isNull())).first()
+    check = statistics.missing_pattern(total, missing)
+    return spark.createDataFrame([(check.evidence["missing_rate"], check.passed)], "missing_rate double, passed boolean")
+
+
+@_register("redact_masks", """
+with c as (select c_custkey, lower(c_mktsegment) || '@' || c_custkey || '.example' as email, '+1 (575) ' || (1000000 + c_custkey) as phone,
+  'ID' || (100000 + c_custkey) || c_nationkey as id_card, 'No. ' || c_custkey as address from customer)
+select c_custkey, left(email, 1) || '***@' || substr(email, strpos(email, '@') + 1) as email, '***' || right(regexp_replace(phone, '[^0-9]', '', 'g'), 4) as phone,
+  left(id_card, 2) || repeat('*', length(id_card) - 4) || right(id_card, 2) as id_card, left(address, 2) || '***' as address from c""")
+def redact_masks(spark, sf_dir):
+    c = F.col("c_custkey")
+    df = _table(spark, sf_dir, "customer").select(
+        c, F.concat(F.lower("c_mktsegment"), F.lit("@"), c, F.lit(".example")).alias("email"), F.concat(F.lit("+1 (575) "), c + 1000000).alias("phone"),
+        F.concat(F.lit("ID"), c + 100000, F.col("c_nationkey")).alias("id_card"), F.concat(F.lit("No. "), c).alias("address"))
+    return redact(df, {k: "confidential" for k in ("email", "phone", "id_card", "address")} | {"c_custkey": "public"})
+
+
+@_register("config_diff", """
+with b(key, before) as (values ('a.x', '1'), ('a.y', '2'), ('c', '"z"')), a(key, after) as (values ('a.x', '1'), ('a.y', '3'), ('d', 'true'))
+select coalesce(b.key, a.key) as key, before, after from b full outer join a on b.key = a.key where before is distinct from after""")
+def config_diff(spark, sf_dir):
+    return governance.config_diff(spark, {"a": {"x": 1, "y": 2}, "c": "z"}, {"a": {"x": 1, "y": 3}, "d": True})
+
+
+@_register("smallest_groups", "select c_nationkey, c_mktsegment, count(*) as n from customer group by 1, 2 having count(*) < 10 order by n, 1, 2")
+def smallest_groups(spark, sf_dir):
+    return groups.smallest_groups(_table(spark, sf_dir, "customer"), ["c_nationkey", "c_mktsegment"], 10)

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import html
+import json
+from collections.abc import Mapping
 
+from pyspark.sql import DataFrame
+
+from tallywell.functions.redaction import redact
 from tallywell.operators.claims import SOURCE
-from tallywell.sources.files import TRACKS, write_bytes
+from tallywell.sources.files import TRACKS, exists, write_bytes
 from tallywell.sources.ledger import PROVENANCE
 
 
@@ -69,3 +74,21 @@ def export_report(c: dict, folder: str, ledger, kind: str = "html") -> dict:
     row = {"run_id": c["provenance"]["run_id"], "track": c["track"], "metric": c["metric"]["name"], "file_name": name, "dest": dest, "sha256": hashlib.sha256(body).hexdigest()}
     ledger.export(row)
     return row
+
+
+def export_redacted(rows: DataFrame, uri: str, taken_from: str, policy: Mapping[str, object] | None = None, reveal="internal", salt: str = "tallywell") -> int:
+    """Write rows as a viewer of level ``reveal`` sees them, as JSON lines; never over what they were read from.
+
+    Returns the number of rows. An existing target is refused, whatever it is.
+    """
+    if uri.rstrip("/") == taken_from.rstrip("/") or exists(uri):
+        raise FileExistsError(f"{uri} exists or is the input itself")
+    shown = redact(rows, policy, reveal, salt)
+    shown.write.mode("errorifexists").json(uri)
+    return rows.sparkSession.read.schema(shown.schema).json(uri).count()
+
+
+def export_claims(reconciled: dict, uri: str) -> int:
+    """Write reconciled claims as JSON; the exit status is 0 only if they are clean."""
+    write_bytes(uri, json.dumps(reconciled, ensure_ascii=False, indent=2, default=str).encode())
+    return 0 if reconciled["summary"] == "clean" else 1

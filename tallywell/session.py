@@ -23,3 +23,13 @@ def get_session(app: str = "tallywell", master: str | None = None, **conf: str)
     for k, v in settings.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def checkpoint_ready(spark: SparkSession) -> None:
+    """Make checkpoint() usable: the session's spark.checkpoint.dir, or where it is unset and all tasks run in one process a folder of this machine."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(found or "/tmp/checkpoints/tallywell")

@@ -5,11 +5,14 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import os
 import re
 import uuid
 from collections.abc import Iterable
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +35,7 @@ class SourceError(ValueError):
 
 def store(uri: str) -> tuple[fs.FileSystem, str]:
     if re.match(r"^[a-z0-9]+:", uri):
-        return fs.FileSystem.from_uri(uri)
+        return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))  # pyarrow knows that store by one name
     return fs.LocalFileSystem(), uri
 
 
@@ -57,6 +60,71 @@ def exists(uri: str) -> bool:
     return s.get_file_info(path).type != fs.FileType.NotFound
 
 
+def claim(uri: str, note: str = "") -> bool:
+    """Create a file only if there is none, in one step; False if there is one."""
+    if not re.match(r"^[a-z0-9]+:", uri) or uri.startswith("file:"):
+        path = "/" + uri.removeprefix("file:").lstrip("/") if uri.startswith("file:") else uri
+        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+        try:
+            with open(path, "x") as f:
+                f.write(note)
+        except FileExistsError:
+            return False
+        return True
+    spark = SparkSession.getActiveSession()
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    try:
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, False)
+    except Exception:
+        if exists(uri):
+            return False
+        raise
+    out.write(bytearray(note.encode()))
+    out.close()
+    return True
+
+
+class Held(RuntimeError):
+    """Someone else writes."""
+
+
+@contextmanager
+def held(uri: str, minutes: float = 30):
+    """Be the only writer of ``uri``; one that ended without letting go holds it for ``minutes`` at most."""
+    lock = f"{uri}.lock"
+    mark = uuid.uuid4().hex
+    if not claim(lock, mark):
+        s, path = store(lock)
+        found = s.get_file_info(path)
+        old = found.mtime is not None and (datetime.now(timezone.utc) - found.mtime).total_seconds() > 60 * minutes
+        if not old:
+            raise Held(f"another writer holds {uri}")
+        s.move(path, f"{path}.{mark}")  # of several that find it old, one can move it
+        s.delete_file(f"{path}.{mark}")
+        if not claim(lock, mark):
+            raise Held(f"another writer holds {uri}")
+    try:
+        yield
+    finally:
+        s, path = store(lock)
+        s.delete_file(path)
+
+
+def digests(folder: str, names: list[str]) -> dict[str, str]:
+    """SHA-256 of each of ``names`` below ``folder``, read by tasks where a session is active; only digests come back."""
+    spark = SparkSession.getActiveSession()
+    if spark is None or not names:
+        return {n: digest(f"{folder}/{n}") for n in names}
+
+    def run(batches):
+        for b in batches:
+            got = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.string()), pa.array([digest(f"{folder}/{n}") for n in got], pa.string())], ["name", "sha"])
+
+    rows = spark.createDataFrame([(n,) for n in names], "name string").repartition(min(len(names), 1000))
+    return {r["name"]: r["sha"] for r in rows.mapInArrow(run, "name string, sha string").collect()}
+
+
 def list_files(uri: str) -> list[tuple[str, int]]:
     """(path below ``uri``, size) of all files, sorted; a file itself holds none."""
     s, path = store(uri)

@@ -8,7 +8,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywell.sources.files import digest, exists, inside, list_files, read_bytes, store, write_bytes
+from tallywell.sources.files import digests, exists, inside, list_files, read_bytes, store, write_bytes
 
 
 class SnapshotError(RuntimeError):
@@ -22,12 +22,10 @@ def content_hash(df: DataFrame) -> str:
 
 
 def manifest_hash(folder: str) -> str:
-    """Of all data files' names and bytes."""
-    h = hashlib.sha256()
-    for name, _ in list_files(folder):
-        if name != "manifest.json" and not name.rpartition("/")[2].startswith("."):
-            h.update(f"{name}:{digest(f'{folder}/{name}')}\n".encode())
-    return h.hexdigest()
+    """Of all data files' names and bytes; files are hashed where tasks run."""
+    names = [n for n, _ in list_files(folder) if n != "manifest.json" and not n.rpartition("/")[2].startswith(".")]
+    found = digests(folder, names)
+    return hashlib.sha256("".join(f"{n}:{found[n]}\n" for n in names).encode()).hexdigest()
 
 
 def publish(tables: dict[str, DataFrame], root: str, snapshot_id: str, track: str) -> dict:

@@ -124,3 +124,24 @@ def test_bridge(spark, tmp_path):
             b.export(bad, *args)
     with pytest.raises(G.GateError):
         b.issue("why", "commerce", "commerce")
+
+
+def test_tokens_and_budgets_under_competition(tmp_path):
+    """A token is redeemed once and a budget isn't overspent, whoever comes at the same time."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    b = G.Bridge(str(tmp_path / "bridge"))
+    token = b.issue("why", "commerce", "research")
+
+    def tried(f, *a):
+        try:
+            f(*a)
+        except G.GateError:
+            return False
+        return True
+
+    with ThreadPoolExecutor(8) as pool:
+        assert sum(pool.map(lambda _: tried(b.redeem, token, "why", "commerce", "research"), range(8))) == 1
+        budget = G.PrivacyBudget(str(tmp_path / "budget.json"), 1.0)
+        spent = sum(pool.map(lambda i: tried(budget.spend, f"s{i}", 0.4), range(8)))
+    assert 1 <= spent <= 2 and budget.spent() == pytest.approx(0.4 * spent)

@@ -156,3 +156,61 @@ def test_snapshots(spark, tmp_path):
     assert snapshots.content_hash(df) == snapshots.content_hash(df.orderBy("dt")) == made["content"]["m"]
     with pytest.raises(snapshots.SnapshotError):
         snapshots.publish({"m": df}, str(tmp_path), "s1", "commerce")
+
+
+def test_verified_claims(spark, tmp_path):
+    """Sources are proven before numbers: one that isn't fails every claim and is recorded."""
+    ledger = Ledger(spark, str(tmp_path))
+    ledger.run({"run_id": "r", "track": "commerce", "snapshot_id": "s", "snapshot_sha256": "h", "started_at": "1", "rows": 1,
+                "provenance": {"run_id": "r", "snapshot_id": "s", "batch_id": "b", "commit_sha": "c"}})
+    ledger.query({"query_id": "q", "run_id": "r", "track": "commerce", "metric": "m", "via_semantic": True})
+    claim = {"metric": "m", "period": "2026-01-01", "value": 0.5, "source": SOURCE}
+    replay = lambda snapshot, metric: {"2026-01-01": 0.5, "2026-01-02": 0.7}
+    good = C.reconcile_verified([claim, claim | {"period": "2026-01-02", "value": 0.7}], ledger, lambda s: "h", replay)
+    assert good["summary"] == "clean" and good["passed"] == 2
+    assert C.reconcile_verified([claim | {"value": 0.6}], ledger, lambda s: "h", replay)["summary"] == "MISMATCH"
+    for told, live in ((claim, "changed"), (claim | {"metric": "x"}, "h"), (claim | {"source": SOURCE | {"query_id": "none"}}, "h")):
+        out = C.reconcile_verified([claim, told], ledger, lambda s, live=live: live, replay)
+        assert out["passed"] == 0 and out["blocked"] == 2 and out["unproven"]
+    assert ledger.table("events").where("event_type = 'source_unproven'").count() == 3
+    with pytest.raises(C.ClaimError):
+        C.reconcile_verified([claim], ledger, lambda s: "h", replay, limits=(0.6, 1.0))
+
+
+@pytest.mark.parametrize("limits", [[0, float("nan")], [5, 1], [0, float("inf")], [1], ["a", 2], [True, 2]])
+def test_value_ranges(limits):
+    with pytest.raises(ValueError):
+        parse_contract({"metric": "m", "type": "count", "grain": "order", "time_column": "t", "value_range": limits})
+    assert parse_contract({"metric": "m", "type": "count", "grain": "order", "time_column": "t", "value_range": [0, 0]}).value_range
+
+
+def test_one_writer_at_a_time(spark, tmp_path):
+    """Of writers that start together one works and the others are refused; a writer that died blocks for a time only."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    uri = str(tmp_path / "x.json")
+    with ThreadPoolExecutor(8) as pool:
+        assert sum(pool.map(lambda i: files.claim(uri, str(i)), range(8))) == 1
+    with files.held(f"{tmp_path}/ledger/writer"), pytest.raises(LedgerError, match="another writer"):
+        Ledger(spark, str(tmp_path)).event("x")
+    Ledger(spark, str(tmp_path)).event("x")
+    assert files.claim(f"{tmp_path}/ledger/writer.lock")  # as a crashed writer leaves it
+    with pytest.raises(files.Held), files.held(f"{tmp_path}/ledger/writer"):
+        pass
+    with files.held(f"{tmp_path}/ledger/writer", minutes=-1):
+        pass
+    assert not files.exists(f"{tmp_path}/ledger/writer.lock")
+
+
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("a@b.example", "x", 1)], "email string, api_token string, order_count int")
+    out = str(tmp_path / "shown")
+    assert R.export_redacted(rows, out, str(tmp_path / "in"), salt="s") == 1
+    got = spark.read.json(out).first()
+    assert got["email"] == "a***@b.example" and got["api_token"].startswith("tok_") and got["order_count"] == 1
+    for bad in ((out, "in"), (str(tmp_path / "same"), str(tmp_path / "same") + "/")):
+        with pytest.raises(FileExistsError):
+            R.export_redacted(rows, *bad)
+    claim = {"metric": "m", "period": "p", "value": 1.0, "source": SOURCE}
+    assert R.export_claims(C.reconcile([claim], {"p": 1.0}), str(tmp_path / "ok.json")) == 0
+    assert R.export_claims(C.reconcile([claim], {}), str(tmp_path / "bad.json")) == 1 and json.loads((tmp_path / "bad.json").read_text())["blocked"] == 1

@@ -139,18 +139,58 @@ def test_required_sizes():
     assert [K.required_per_group(b, 0.08) for b in (0.5, 0.46, 0.56)] == [609, 613, 588]
 
 
-def test_experiment():
-    arms = {"control": 0.5, "treatment": 0.5}
-    out = E.analyze_experiment({"control": (500, 1000), "treatment": (560, 1000)}, arms, guardrails=[{"name": "g", "direction": "not_increase"}],
-                               guardrail_values=({"g": 1.0}, {"g": 1.5}))
-    assert out["status"] == "GREEN" and out["experiment"]["significant"] and out["experiment"]["guardrails_broken"]
+def units(spark, *arms):
+    """Units of (arm, converted, total)."""
+    parts = [spark.range(n).selectExpr(f"'{arm}' as arm", f"if(id < {yes}, 'yes', 'no') as converted") for arm, yes, n in arms]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.unionByName(spark.createDataFrame([(None, "yes")], "arm string, converted string"))
+
+
+def test_experiment(spark):
+    design = E.Design({"control": 0.5, "treatment": 0.5})
+    even = units(spark, ("control", 500, 1000), ("treatment", 560, 1000))
+    rails = spark.createDataFrame([("g", "not_increase", 0.0)], "name string, direction string, threshold double")
+    values = spark.createDataFrame([("g", 1.0, 1.5)], "name string, baseline double, variant double")
+    plain = E.evaluate(even, "arm", "converted", design)
+    assert plain.conclusion["status"] == "GREEN" and plain.significant and plain.verdict == "significant"
+    assert plain.conclusion["result"]["p_value"] == pytest.approx(0.007185459) and plain.ratio.observed == {"control": 1000, "treatment": 1000}
+    guarded = E.evaluate(even, "arm", "converted", design, rails, values)
+    assert guarded.broken == ["g"] and guarded.verdict == "a guardrail is broken"
     with pytest.raises(E.SampleRatioMismatch):
-        E.analyze_experiment({"control": (500, 5000), "treatment": (560, 4000)}, arms)
-    peeked = E.analyze_experiment({"control": (500, 1000), "treatment": (560, 1000)}, arms, peek_count=10)
-    assert not peeked["experiment"]["significant"]
-    for bad in ({"guardrails": [{"name": "g", "direction": "not_increase"}]}, {"peek_count": 0}):
+        E.evaluate(units(spark, ("control", 500, 5000), ("treatment", 560, 4000)), "arm", "converted", design)
+    peeked = E.evaluate(even, "arm", "converted", E.Design(design.weights, looks=10))
+    assert not peeked.significant and peeked.design.level == pytest.approx(0.005)
+    small = E.evaluate(units(spark, ("control", 4, 5), ("treatment", 3, 5)), "arm", "converted", design)
+    assert small.verdict == "no numbers: premises fail" and small.conclusion["result"] is None
+    for bad in ({"looks": 0}, {"variant": "other"}, {"variant": "control"}):
         with pytest.raises(ValueError):
-            E.analyze_experiment({"control": (500, 1000), "treatment": (560, 1000)}, arms, **bad)
+            E.Design(design.weights, **bad)
+    with pytest.raises(ValueError):
+        E.evaluate(even, "arm", "converted", design, rails)
+    with pytest.raises(ValueError):
+        E.sample_ratio(even, "arm", {"control": 0.5, "b": 0.5})
+
+
+def test_ranks_and_medians_over_ranges(spark):
+    """Sums that cross ranges: many partitions, ties, infinite and null values, against numpy."""
+    rng = np.random.default_rng(4)
+    values = [*rng.integers(0, 90, 700).astype(float).tolist(), float("inf"), float("-inf"), 1e300]
+    rows = [(("a", "b", "c")[i % 3], v) for i, v in enumerate(values)] + [("a", None), (None, 3.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        ranks = {r["x"]: r["rank"] for r in groups.value_ranks(df, "g", "x").collect()}
+        mids = {r["grp"]: r["median"] for r in groups.medians(df, "g", "x").collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    every = np.sort(values)
+    assert ranks == {v: (np.searchsorted(every, v) + 1 + np.searchsorted(every, v, "right")) / 2 for v in set(values)}
+    assert mids == {g: float(np.median([v for h, v in rows if h == g and v is not None])) for g in "abc"}
 
 
 def test_counts_and_privacy(spark):

@@ -13,7 +13,7 @@ from datetime import date, datetime, timedelta, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywell.sources.files import TRACKS, TYPES, Held, check_track, claim, copy, digest, exists, held, inside, list_files, read_bytes, store, write_bytes
+from tallywell.sources.files import TRACKS, TYPES, Held, check_track, claim, copies, digests, exists, held, inside, list_files, read_bytes, store, write_bytes
 
 
 class GateError(RuntimeError):
@@ -333,12 +333,9 @@ class Access:
 # -- backups, bridge, packages --------------------------------------------
 
 def _manifest(folder: str) -> list[dict]:
-    return [{"path": n, "size": s, "sha256": digest(f"{folder}/{n}")} for n, s in list_files(folder) if n != "manifest.json"]
-
-
-def _copy_tree(source: str, target: str, files: list[dict]) -> None:
-    for f in files:
-        copy(f"{source}/{f['path']}", f"{target}/{f['path']}")
+    sizes = {n: s for n, s in list_files(folder) if n != "manifest.json"}
+    found = digests(folder, list(sizes))
+    return [{"path": n, "size": s, "sha256": found[n]} for n, s in sizes.items()]
 
 
 def backup(volume: str, root: str, track: str) -> dict:
@@ -348,7 +345,7 @@ def backup(volume: str, root: str, track: str) -> dict:
         raise GateError("a backup lies outside its volume")
     name = f"bkp-{track}-{datetime.now(timezone.utc):%Y%m%dT%H%M%SZ}-{uuid.uuid4().hex[:8]}"
     target, files = f"{root.rstrip('/')}/{track}/{name}", _manifest(volume)
-    _copy_tree(volume, target, files)
+    copies(volume, target, [f["path"] for f in files])
     out = {"manifest_version": 1, "backup_id": name, "track": track, "files": files}
     write_bytes(f"{target}/manifest.json", json.dumps(out, indent=2).encode())
     return out | {"path": target}
@@ -363,7 +360,7 @@ def restore(backup_path: str, target: str, track: str) -> dict:
         raise GateError("a restore goes to an empty folder")
     if _manifest(backup_path) != out["files"]:
         raise GateError("the backup was changed")
-    _copy_tree(backup_path, target, out["files"])
+    copies(backup_path, target, [f["path"] for f in out["files"]])
     return out
 
 
@@ -418,7 +415,7 @@ class Bridge:
             raise GateError("the snapshot was imported before")
         export_id = f"eb-{uuid.uuid4().hex[:12]}"
         try:
-            _copy_tree(origin, target, [{"path": n} for n, _ in list_files(origin)])
+            copies(origin, target, [n for n, _ in list_files(origin)])
             if manifest_hash(target) != run["snapshot_sha256"]:
                 raise GateError("the copy differs")
             out = {"export_id": export_id, "purpose": purpose, "run_id": run_id, "snapshot_id": run["snapshot_id"], "sha256": run["snapshot_sha256"], "claims": claims or []}
@@ -438,11 +435,11 @@ def package(target: str, parts: dict[str, str], code: str = "") -> dict:
     if exists(f"{target}/manifest.json"):
         raise GateError("the package exists")
     for name, source in parts.items():
-        files = list_files(source)
-        for f in [{"path": n} for n, _ in files] if files else []:
-            copy(f"{source}/{f['path']}", f"{target}/{name}/{f['path']}")
+        folder, files = source, [n for n, _ in list_files(source)]
         if not files:
-            copy(source, f"{target}/{name}/{source.rpartition('/')[2]}")
+            folder, _, only = source.rpartition("/")
+            files = [only]
+        copies(folder, f"{target}/{name}", files)
     out = {"files": _manifest(target), "code": code}
     write_bytes(f"{target}/manifest.json", json.dumps(out, indent=2).encode())
     return out

@@ -110,19 +110,32 @@ def held(uri: str, minutes: float = 30):
         s.delete_file(path)
 
 
-def digests(folder: str, names: list[str]) -> dict[str, str]:
-    """SHA-256 of each of ``names`` below ``folder``, read by tasks where a session is active; only digests come back."""
+def _of_each(names: list[str], run) -> dict[str, str]:
+    """``run(name)`` of each name, by tasks where a session is active: bytes stay with them, only the results come back.
+
+    A task may be tried again or run twice, so ``run`` must bear that.
+    """
     spark = SparkSession.getActiveSession()
     if spark is None or not names:
-        return {n: digest(f"{folder}/{n}") for n in names}
+        return {n: run(n) for n in names}
 
-    def run(batches):
+    def each(batches):
         for b in batches:
             got = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(got, pa.string()), pa.array([digest(f"{folder}/{n}") for n in got], pa.string())], ["name", "sha"])
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.string()), pa.array([run(n) for n in got], pa.string())], ["name", "found"])
 
     rows = spark.createDataFrame([(n,) for n in names], "name string").repartition(min(len(names), 1000))
-    return {r["name"]: r["sha"] for r in rows.mapInArrow(run, "name string, sha string").collect()}
+    return {r["name"]: r["found"] for r in rows.mapInArrow(each, "name string, found string").collect()}
+
+
+def digests(folder: str, names: list[str]) -> dict[str, str]:
+    """SHA-256 of each of ``names`` below ``folder``."""
+    return _of_each(names, lambda n: digest(f"{folder}/{n}"))
+
+
+def copies(source: str, target: str, names: list[str]) -> None:
+    """Copy each of ``names`` from below ``source`` to below ``target``."""
+    _of_each(names, lambda n: copy(f"{source}/{n}", f"{target}/{n}"))
 
 
 def list_files(uri: str) -> list[tuple[str, int]]:
@@ -145,16 +158,18 @@ def digest(uri: str) -> str:
 
 
 def copy(source: str, target: str, decode: str | None = None) -> None:
-    """Copy a file in pieces, from ``decode`` to UTF-8 if given."""
+    """Copy a file in pieces, from ``decode`` to UTF-8 if given; whole or not at all, so that it may be tried again."""
     s, path = store(source)
     t, to = store(target)
     t.create_dir(to.rpartition("/")[0], recursive=True)
+    aside = f"{to}.{uuid.uuid4().hex}.tmp"
     text = codecs.getincrementaldecoder(decode)("replace") if decode else None
-    with s.open_input_stream(path, compression=None) as f, t.open_output_stream(to, compression=None) as g:
+    with s.open_input_stream(path, compression=None) as f, t.open_output_stream(aside, compression=None) as g:
         while chunk := f.read(1 << 20):
             g.write(text.decode(chunk).encode() if text else chunk)
         if text:
             g.write(text.decode(b"", True).encode())
+    t.move(aside, to)
 
 
 def detect_encoding(uri: str) -> str:

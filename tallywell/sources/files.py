@@ -206,14 +206,16 @@ def contract_schema(columns: Iterable[dict]) -> T.StructType:
     return T.StructType([*fields, T.StructField("_corrupt_record", T.StringType(), True)])
 
 
-def read_csv(spark: SparkSession, uri: str, columns: list[dict] | None = None, folder: str | None = None, as_text: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, uri: str, columns: list[dict] | None = None, folder: str | None = None, as_text: bool = False,
+             multi_line: bool = True) -> DataFrame:
     """A CSV with a header, of any of the known encodings.
 
     With a contract its types hold, and a row that breaks them raises; without,
     types are inferred over the whole file; ``as_text`` keeps every column text.
+    A file whose fields hold no line breaks can be split over tasks: say ``multi_line=False``.
     """
     path = utf8_copy(uri, folder or f"{uri.rpartition('/')[0]}/.utf8")
-    reader = spark.read.option("header", True).option("multiLine", True).option("mode", "PERMISSIVE")
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("mode", "PERMISSIVE")
     if not columns:
         return reader.option("inferSchema", not as_text).option("timestampType", "TIMESTAMP_NTZ").csv(path)
     df = reader.option("columnNameOfCorruptRecord", "_corrupt_record").option("enforceSchema", False).schema(contract_schema(columns)).csv(path).cache()

@@ -71,3 +71,15 @@ def test_tasks_copy_whole_trees(spark, tmp_path):
     governance.package(str(tmp_path / "package"), {"data": str(volume), "note": str(tmp_path / "one.txt")})
     assert governance.verify_package(str(tmp_path / "package")) == []
     assert (tmp_path / "package" / "note" / "one.txt").read_text() == "one"
+
+
+def test_csv_split_over_tasks(spark, tmp_path):
+    path = tmp_path / "n.csv"
+    path.write_text("i,t\n" + "".join(f"{i},{'x' * 100}\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        one, several = (files.read_csv(spark, str(path), as_text=True, multi_line=m) for m in (True, False))
+        assert one.rdd.getNumPartitions() == 1 < several.rdd.getNumPartitions()
+        assert one.exceptAll(several).isEmpty() and several.count() == 5000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywell.llm import langid, packing, partenum, privacy, quantise, secretscan, sitetree, urlfilter, warc, winnowing
+from tallywell.llm import langid, packing, partenum, periodic, pieces, privacy, quantise, secretscan, sitetree, spelling, urlfilter, warc, winnowing
 from tallywell.llm.spans import spans_text
 
 
@@ -82,6 +82,25 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encode_texts(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"), change=spelling.slip)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(_table(spark, sf_dir, "documents"), change=periodic.loop_ends)
+    line = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col(f"top.{k}").alias(k) for k in ("start", "length", "period")],
+        F.expr("top.length * 1000 div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 SQL_WARC = """
 with p as (
   select page_id, octet_length(encode(coalesce(html, ''))) as n, sha256(coalesce(html, '')) as d from pages
@@ -205,8 +224,11 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_nearest": op9_nearest,
     "op10_main_text": op10_main_text,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_periodic_runs": op13_periodic_runs,
 }
-#: op1, op4, op7, op9 and op10 are tested against brute force or on fixtures instead.
+#: op1, op4, op7, op9, op10, op11 and op13 are tested against brute force or on fixtures instead.
 ORACLES = {
     "op2_warc": SQL_WARC,
     "op3_decontamination": SQL_DECONTAMINATION,

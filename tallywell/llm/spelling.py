@@ -111,6 +111,8 @@ class Shard:
 
     def near(self, word: str) -> Iterator[tuple[str, int]]:
         """Words of the shard one edit apart from ``word``, each once: by its last half only if its first isn't intact."""
+        if not self.rests:
+            return
         if self.automaton is None:
             self.automaton = ahocorasick.Automaton()
             for half, _ in self.rests:

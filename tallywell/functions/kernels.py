@@ -57,6 +57,10 @@ def welch(n_a: int, mean_a: float, var_a: float, n_b: int, mean_b: float, var_b:
     return _result("diff_mean", d, [d - wide, d + wide], t_two_sided(d / se, df), {"t": d / se, "df": df})
 
 
+#: Cells of the exact distribution of U; beyond, with one group of at most 8 values, a limit of it is used.
+EXACT_CELLS = 200_000
+
+
 def mann_whitney(u: float, n: int, m: int, tie_sum: float, shift: float) -> dict:
     """From U of the first group, sizes, sum of t^3 - t over ties, and the Hodges-Lehmann shift.
 
@@ -66,7 +70,7 @@ def mann_whitney(u: float, n: int, m: int, tie_sum: float, shift: float) -> dict
     if min(n, m) < 1:
         raise StatInputError("a group is empty")
     if not tie_sum and min(n, m) <= 8:
-        p = _exact_u(max(u, n * m - u), n, m)
+        p = 2 * _tail_of_u(max(u, n * m - u), min(n, m), max(n, m))
     else:
         total = n + m
         var = n * m / 12 * (total + 1 - tie_sum / (total * (total - 1)))
@@ -74,20 +78,24 @@ def mann_whitney(u: float, n: int, m: int, tie_sum: float, shift: float) -> dict
     return _result("hodges_lehmann", shift, None, min(1.0, p), {"u": u, "rank_biserial": 2 * u / (n * m) - 1})
 
 
-def _exact_u(u: float, n: int, m: int) -> float:
-    """P(U >= u or U <= nm - u) by counting rank sums."""
-    counts = [[0] * (n * m + 1) for _ in range(n + 1)]
-    counts[0][0] = 1
-    for rank in range(1, n + m + 1):
-        for k in range(min(n, rank), 0, -1):
-            shift = rank - k  # values of the other group below this one
-            if shift > m:
-                continue
-            row, below = counts[k], counts[k - 1]
-            for s in range(n * m, shift - 1, -1):
-                row[s] += below[s - shift]
-    total = sum(counts[n])
-    return 2 * sum(counts[n][math.ceil(u):]) / total
+def _tail_of_u(u: float, n: int, m: int) -> float:
+    """P(U >= u) of untied groups, n <= m.
+
+    Up to EXACT_CELLS values of U their counts are the coefficients of a
+    Gaussian binomial. Beyond, the values of the small group are uniform places
+    among the large one's, so that U has the distribution of a sum of n uniform
+    variables, widened to U's variance; that is off by about one part in m.
+    """
+    if n * m > EXACT_CELLS:
+        at = n / 2 - (u - 0.5 - n * m / 2) / math.sqrt(m * (n + m + 1))
+        return math.fsum((-1) ** k * math.comb(n, k) * (at - k) ** n for k in range(n + 1) if k < at) / math.factorial(n) if at > 0 else 0.0
+    counts = [1] + [0] * (n * m)
+    for i in range(1, n + 1):  # times (1 - q^(m + i)) / (1 - q^i)
+        for s in range(n * m, m + i - 1, -1):
+            counts[s] -= counts[s - m - i]
+        for s in range(i, n * m + 1):
+            counts[s] += counts[s - i]
+    return sum(counts[math.ceil(u):]) / math.comb(n + m, n)
 
 
 def fisher(s_a: int, n_a: int, s_b: int, n_b: int) -> dict:

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywell.functions.predicates import identifier, is_truthy
-from tallywell.session import checkpoint_ready
+from tallywell.operators.running import cumulative
+from tallywell.operators.shift import median_difference
 
 
 def group_counts(df: DataFrame, arm: str, converted: str, arms: tuple[str, str] = ("a", "b")) -> DataFrame:
@@ -31,21 +28,6 @@ def moments(df: DataFrame, group: str, value: str) -> DataFrame:
         F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurt"))
 
 
-def _cumulative(counts: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """``counts`` with upto: the sum of ``weight`` over rows of the same keys up to each x.
-
-    Rows are dealt into ranges of x; sums run within a range, and what stands
-    before a range comes from its totals, of which there are as many as ranges.
-    """
-    checkpoint_ready(counts.sparkSession)
-    dealt = counts.repartitionByRange(*keys, "x").withColumn("part", F.spark_partition_id()).checkpoint()
-    totals = dealt.groupBy(*keys, "part").agg(F.sum(weight).alias("total"))
-    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("before", F.coalesce(F.sum("total").over(earlier), F.lit(0))).drop("total")
-    own = Window.partitionBy(*keys, "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    return dealt.join(totals, [*keys, "part"]).withColumn("upto", F.col("before") + F.sum(weight).over(own)).drop("part", "before")
-
-
 def _counted(df: DataFrame, group: str, value: str) -> DataFrame:
     x = F.col(value).cast("double")
     return df.where(x.isNotNull() & F.col(group).isNotNull()).groupBy(x.alias("x"), F.col(group).alias("grp")).agg(F.count("*").alias("n"))
@@ -53,7 +35,7 @@ def _counted(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def medians(df: DataFrame, group: str, value: str) -> DataFrame:
     """grp, median (exact; an even number of values averages the middle two) of values that aren't null."""
-    c = _cumulative(_counted(df, group, value), ["grp"], "n")
+    c = cumulative(_counted(df, group, value), ["grp"], "n")
     n = c.groupBy("grp").agg(F.sum("n").alias("all"))
     at = lambda k: F.min(F.when(F.col("upto") >= k, F.col("x")))
     low, high = F.floor((F.col("all") + 1) / 2), F.floor(F.col("all") / 2) + 1
@@ -64,7 +46,7 @@ def value_ranks(df: DataFrame, group: str, value: str) -> DataFrame:
     """x, ties, rank, and n by group: average ranks over distinct values, which are counted first."""
     per = _counted(df, group, value).groupBy("x").agg(
         F.sum("n").alias("ties"), F.map_from_entries(F.collect_list(F.struct("grp", "n"))).alias("by"))
-    per = _cumulative(per.withColumn("one", F.lit(1)), ["one"], "ties")
+    per = cumulative(per.withColumn("one", F.lit(1)), ["one"], "ties")
     return per.select("x", "ties", (F.col("upto") - (F.col("ties") - 1) / 2).alias("rank"), "by")
 
 
@@ -76,149 +58,10 @@ def rank_sums(df: DataFrame, group: str, value: str) -> DataFrame:
     return each.groupBy("grp").agg(F.sum("k").alias("n"), F.sum(F.col("rank") * F.col("k")).alias("rank_sum")).join(F.broadcast(ties))
 
 
-#: Pairs of distinct values up to which all differences are formed; beyond,
-#: differences are only counted. Distinct values of a chunk, and thresholds
-#: counted at a time (fewer, but not below LEAST_CUTS, with many chunks).
-EXACT_PAIRS, CHUNK, CUTS, LEAST_CUTS = 4_000_000, 1 << 13, 255, 15
-
-
 def hodges_lehmann(df: DataFrame, group: str, value: str, a: str, b: str) -> float | None:
-    """Median of all differences between the groups, exact for any size; None if a group is empty.
-
-    Values are counted first. Up to EXACT_PAIRS pairs of distinct values their
-    weighted differences are formed; beyond, see _median_difference.
-    """
-    x = F.col(value).cast("double")
-    own = df.where(x.isNotNull())
-    one, two = (own.where(F.col(group) == g).groupBy(x.alias("x")).agg(F.count("*").alias("w")) for g in (a, b))
-    if one.count() * two.count() > EXACT_PAIRS:
-        return _median_difference(one, two)
-    # at most EXACT_PAIRS rows by the test above
-    pairs = one.select(F.col("x").alias("p"), F.col("w").alias("v")).crossJoin(F.broadcast(two))
-    return pairs.agg(F.expr("percentile(p - x, 0.5, v * w)")).first()[0]
-
-
-def _ordinal(x: float) -> int:
-    """An integer that orders as the double does."""
-    bits = int(np.float64(x).view(np.int64))
-    return bits if bits >= 0 else -(bits & 0x7FFFFFFFFFFFFFFF)
-
-
-def _double(n: int) -> float:
-    return float(np.int64(n).view(np.float64)) if n >= 0 else -float(np.int64(-n).view(np.float64))
-
-
-def _packed(side: DataFrame) -> DataFrame:
-    """chunk, low, high, weight, x, upto: sorted chunks of finite values and their cumulative weights, as bytes."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK):
-                x, w = (batch.column(i).slice(at, CHUNK).to_numpy() for i in (0, 1))
-                yield pa.RecordBatch.from_pylist([{
-                    "chunk": f"{float(x[0])!r}", "low": x[0], "high": x[-1], "weight": int(w.sum()), "x": x.tobytes(), "upto": np.cumsum(w).tobytes()}])
-
-    finite = side.where(F.abs("x") < float("inf")).repartitionByRange("x").sortWithinPartitions("x")
-    return finite.mapInArrow(pack, "chunk string, low double, high double, weight long, x binary, upto binary")
-
-
-def _first(x: np.ndarray, y: np.ndarray, t: float) -> np.ndarray:
-    """For each x the place of the first of the sorted y with x - y <= t, as rounded."""
-    with np.errstate(over="ignore"):
-        at = np.searchsorted(y, x - t)
-        right = ((at == len(y)) | (x - y[np.minimum(at, len(y) - 1)] <= t)) & ((at == 0) | (x - y[np.maximum(at - 1, 0)] > t))
-        odd = np.flatnonzero(~right)  # where rounding moves it
-        low, high = np.zeros(len(odd), np.int64), np.full(len(odd), len(y))
-        while (low < high).any():
-            mid = (low + high) // 2
-            fits = x[odd] - y[np.minimum(mid, len(y) - 1)] <= t
-            low, high = np.where(fits | (low >= high), low, mid + 1), np.where(fits & (low < high), mid, high)
-        at[odd] = low
-    return at
-
-
-def _median_difference(one: DataFrame, two: DataFrame) -> float:
-    """Median of p - q over all weighted p of ``one`` and q of ``two``, by counts of differences up to thresholds.
-
-    Sides are kept as sorted chunks. A pair of chunks whose differences all
-    lie on one side of a threshold is counted by its weights alone; values are
-    searched in the others, whose number is that of the chunks and not its square.
-    The driver holds a row per chunk. Subtraction rounds, but never against the
-    order, so counts are exact. As in SQL, NaN is the greatest difference.
-    """
-    spark = one.sparkSession
-    inf, nan = float("inf"), float("nan")
-    odd = [{repr(r[0]): r[1] for r in s.where(~(F.abs("x") < inf)).collect()} for s in (one, two)]
-    checkpoint_ready(spark)
-    sides = [_packed(s).checkpoint() for s in (one, two)]
-    p, q = (s.select("chunk", "low", "high", "weight").orderBy("low").collect() for s in sides)
-    n, m = (sum(int(r["weight"]) for r in s) for s in (p, q))
-    up, down = (odd[0].get("inf", 0), odd[1].get("inf", 0)), (odd[0].get("-inf", 0), odd[1].get("-inf", 0))
-    # pairs by difference: -inf, finite values', +inf, NaN
-    least = down[0] * (m + up[1]) + n * up[1]
-    greatest = up[0] * (m + down[1]) + n * down[1]
-    total = (n + up[0] + down[0] + odd[0].get("nan", 0)) * (m + up[1] + down[1] + odd[1].get("nan", 0))
-
-    def upto(cuts: list[float]) -> list[int]:
-        """Pairs of finite values whose difference is at most each of ``cuts``."""
-        counts, near = [0] * len(cuts), {}
-        lows, highs = (np.array([r[k] for r in q]) for k in ("low", "high"))
-        above = np.array([*np.cumsum([r["weight"] for r in q[::-1]])[::-1], 0])
-        for r in p:
-            with np.errstate(over="ignore"):
-                lows_off, highs_off = lows - r["high"], highs - r["low"]
-            for c, t in enumerate(cuts):
-                # chunks of q from ``all_in`` on give only differences up to t, those before ``some`` none
-                all_in = int(np.searchsorted(lows_off, -t))
-                some = int(np.searchsorted(highs_off, -t))
-                counts[c] += int(r["weight"]) * int(above[all_in])
-                for k in range(some, all_in):
-                    near.setdefault((r["chunk"], q[k]["chunk"]), []).append(c)
-        if near:
-            def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    got = []
-                    for row in batch.to_pylist():
-                        x, y = np.frombuffer(row["x"]), np.frombuffer(row["y"])
-                        w, v = np.diff(np.frombuffer(row["upto"], np.int64), prepend=0), np.frombuffer(row["y_upto"], np.int64)
-                        kind = np.int64 if int(w.sum()) * int(v[-1]) < 1 << 63 else object
-                        w, left = w.astype(kind), (v[-1] - np.concatenate([[0], v])).astype(kind)
-                        got += [(c, int(w @ left[_first(x, y, cuts[c])])) for c in row["cuts"]]
-                    yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([str(g[1]) for g in got], pa.string())], ["cut", "n"])
-
-            asked = spark.createDataFrame([(*k, c) for k, c in near.items()], "chunk string, other string, cuts array<int>")
-            other = sides[1].select(F.col("chunk").alias("other"), F.col("x").alias("y"), F.col("upto").alias("y_upto"))
-            joined = sides[0].select("chunk", "x", "upto").join(F.broadcast(asked), "chunk").join(other, "other")
-            found = joined.select("cuts", "x", "upto", "y", "y_upto").mapInArrow(count, "cut int, n string")
-            for cut, pairs in found.groupBy("cut").agg(F.sum(F.col("n").cast("decimal(38,0)"))).collect():
-                counts[cut] += int(pairs)
-        return counts
-
-    def place(k: int) -> float | int:
-        """The k-th difference (from 0) if it isn't finite values', else its place among those."""
-        if k < least:
-            return -inf
-        if k < least + n * m:
-            return k - least
-        return inf if k < least + n * m + greatest else nan
-
-    middle = [place((total - 1) // 2), place(total // 2)]
-    # for each place, the least ordinal up to which more than so many pairs lie is in low..high
-    spans = {k: [_ordinal(-inf), _ordinal(inf)] for k in middle if isinstance(k, int)}
-    if spans:
-        bounds = [_ordinal(p[0]["low"] - q[-1]["high"]), _ordinal(p[-1]["high"] - q[0]["low"])]
-        spans = {k: list(bounds) for k in spans}
-    while any(low < high for low, high in spans.values()):
-        parts = max(LEAST_CUTS, min(CUTS, 4096 // (len(p) + len(q)))) + 1
-        cuts = sorted({low + (high - low) * i // parts for low, high in spans.values() if low < high for i in range(1, parts)} | {
-            low for low, high in spans.values() if low < high})
-        cuts = [c for c in cuts if any(low <= c < high for low, high in spans.values())]
-        for c, got in zip(cuts, upto([_double(c) for c in cuts]), strict=True):
-            for k, span in spans.items():
-                if span[0] <= c < span[1]:
-                    span[got > k] = c + (got <= k)
-    first, second = (_double(spans[k][0]) + 0.0 if isinstance(k, int) else k for k in middle)
-    return first if first == second else first * 0.5 + second * 0.5
+    """Median of all differences between the groups, exact for any size; None if a group is empty."""
+    c = _counted(df, group, value).withColumnRenamed("n", "w")
+    return median_difference(*(c.where(F.col("grp") == g).select("x", "w") for g in (a, b)))
 
 
 def two_proportion_terms(s_a: Column, n_a: Column, s_b: Column, n_b: Column) -> tuple[Column, Column]:

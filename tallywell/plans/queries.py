@@ -307,18 +307,33 @@ def contract_diff(spark, sf_dir):
     return governance.contract_changes(old, new)
 
 
-_SHIFT = """
-with g as (select l_returnflag as f, l_quantity as v, count(*) as w from lineitem where l_returnflag in ('A', 'R') and l_quantity is not null group by 1, 2),
-d as (select a.v - b.v as x, sum(a.w * b.w) as w from g a, g b where a.f = 'A' and b.f = 'R' group by 1),
-c as (select x, sum(w) over (order by x) as upto, sum(w) over () as n from d)
-select round((min(x) filter (upto >= (n + 1) // 2) + min(x) filter (upto >= n // 2 + 1)) / 2.0::double, 6) as shift from c"""
+def _shift_sql(value: str, table: str = "lineitem", group: str = "l_returnflag", one: str = "A", two: str = "R") -> str:
+    """Weighted differences are counted in slots; only the slots of the middle are looked at one by one."""
+    return f"""
+with g as (select {group} as f, {value} as v, count(*)::double as w from {table} where {group} in ('{one}', '{two}') and {value} is not null group by 1, 2),
+d as (select a.v - b.v as x, a.w * b.w as w from g a, g b where a.f = '{one}' and b.f = '{two}'),
+h as (select floor(x / 16) as slot, sum(w) as w from d group by 1),
+k as (select slot, sum(w) over (order by slot) as upto, sum(w) over () as n from h),
+m as (select min(slot) filter (upto >= floor((n + 1) / 2)) as a, min(slot) filter (upto >= floor(n / 2) + 1) as b, max(n) as n from k),
+e as (select x, sum(w) as w from d, m where floor(x / 16) in (m.a, m.b) group by 1),
+c as (select x, sum(w) over (order by x) + (select coalesce(sum(w), 0) from h, m where slot < m.a) as upto from e)
+select round((min(x) filter (upto >= floor((n + 1) / 2)) + min(x) filter (upto >= floor(n / 2) + 1)) / 2.0::double, 6) as shift from c, m"""
+
+
+def _shift(spark, sf_dir, value):
+    shift = groups.hodges_lehmann(_table(spark, sf_dir, "lineitem"), "l_returnflag", value, "A", "R")
+    return spark.createDataFrame([(None if shift is None else round(shift, 6),)], "shift double")
 
 
-@_register("hodges_lehmann_whole", _SHIFT)
-@_register("hodges_lehmann", _SHIFT)
+@_register("hodges_lehmann", _shift_sql("l_quantity"))
 def hodges_lehmann(spark, sf_dir):
-    shift = groups.hodges_lehmann(_table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity", "A", "R")
-    return spark.createDataFrame([(None if shift is None else round(shift, 6),)], "shift double")
+    return _shift(spark, sf_dir, "l_quantity")
+
+
+@_register("hodges_lehmann_whole", _shift_sql("l_extendedprice"))
+def hodges_lehmann_whole(spark, sf_dir):
+    """Of values so many that their differences are counted and not formed."""
+    return _shift(spark, sf_dir, "l_extendedprice")
 
 
 # -- tests with p-values: tails by Simpson's rule in SQL, as DuckDB has no erf --------
@@ -386,12 +401,14 @@ with r as (select arm, rank() over (order by c_acctbal) + (count(*) over (partit
 s as (select sum(rank) filter (arm = 'a') as ra, count(*) filter (arm = 'a')::double as n, count(*) filter (arm = 'b')::double as m, sum(ties * ties - 1)::double as tie from r),
 u as (select ra - n * (n + 1) / 2 as u, n, m, n * m / 12 * (n + m + 1 - tie / ((n + m) * (n + m - 1))) as var from s),
 z as (select *, greatest(0, greatest(u, n * m - u) - n * m / 2 - 0.5::double) / sqrt(var) as z from u)
-select round(u, 4) as u, round(2 * u / (n * m) - 1, 6) as rank_biserial, round({_normal_p("z")}, 6) as p_value from z""")
+select round(u, 4) as u, round(2 * u / (n * m) - 1, 6) as rank_biserial, round({_normal_p("z")}, 6) as p_value, round(shift, 4) as effect
+from z, ({_shift_sql("c_acctbal", _ARMS, "arm", "a", "b")})""")
 def test_mann_whitney(spark, sf_dir):
     k = {r["grp"]: r for r in groups.rank_sums(_arms(spark, sf_dir), "arm", "c_acctbal").collect()}
     n, m = int(k["a"]["n"]), int(k["b"]["n"])
-    r = kernels.mann_whitney(float(k["a"]["rank_sum"]) - n * (n + 1) / 2, n, m, float(k["a"]["tie_sum"]), 0.0)
-    return _one_row(spark, u=round(r["statistic"]["u"], 4), rank_biserial=round(r["statistic"]["rank_biserial"], 6), p_value=round(r["p_value"], 6))
+    shift = groups.hodges_lehmann(_arms(spark, sf_dir), "arm", "c_acctbal", "a", "b")
+    r = kernels.mann_whitney(float(k["a"]["rank_sum"]) - n * (n + 1) / 2, n, m, float(k["a"]["tie_sum"]), shift)
+    return _one_row(spark, effect=round(r["effect"]["value"], 4), u=round(r["statistic"]["u"], 4), rank_biserial=round(r["statistic"]["rank_biserial"], 6), p_value=round(r["p_value"], 6))
 
 
 @_register("test_fisher", f"""

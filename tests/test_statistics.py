@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tallywell.functions import kernels as K
-from tallywell.operators import groups
+from tallywell.operators import groups, shift
 from tallywell.operators.groups import group_counts, hodges_lehmann, k_anonymity, rank_sums, require_k_anonymity
 from tallywell.plans import experiments as E
 from tallywell.plans import statistics as S
@@ -99,12 +99,56 @@ def test_shift_is_exact_beyond_the_pairs_that_are_formed(spark, monkeypatch):
         assert got == want or np.isnan(got) and np.isnan(want), (got, want)
 
     check(rng.normal(size=2100), rng.exponential(size=2101))
-    monkeypatch.setattr(groups, "EXACT_PAIRS", 0)
-    monkeypatch.setattr(groups, "CHUNK", 7)
-    check(np.array([-1e308, 1e308, 5e-324, 0.0, *range(8)]), np.array([1e308, -1e308, 0.1, 3.0, 3.0, np.inf]))
+    monkeypatch.setattr(shift, "RANKS", 20)
+    for formed in (0, 50):
+        monkeypatch.setattr(shift, "FORMED", formed)
+        check(np.array([-1e308, 1e308, 5e-324, 0.0, *range(8)]), np.array([1e308, -1e308, 0.1, 3.0, 3.0, np.inf]))
+    check(rng.integers(0, 40, 300), rng.integers(-9, 60, 201))  # few differences, often
+    check(10.0 ** rng.integers(-300, 300, 90), -(10.0 ** rng.integers(-300, 300, 70)))  # spread over all magnitudes
     assert hodges_lehmann(spark.createDataFrame([("a", 1.0)], "g string, x double"), "g", "x", "a", "b") is None
 
 
+def test_least_partner_of_odd_sums():
+    rng = np.random.default_rng(4)
+    p = np.concatenate([rng.normal(size=200) * 10.0 ** rng.integers(-20, 20, 200), [1e16, -1e16, 1e308, -1e308, 0.0, 5e-324]])
+    for t in (0.0, 1e16, -1e16, 0.1, -3.7e-9, 1e308, -1e308, 5e-324, np.inf, -np.inf):
+        b = shift.least_partner(p, t)
+        with np.errstate(over="ignore", invalid="ignore"):
+            assert (p - b <= t).all()
+            below = np.nextafter(b, -np.inf)
+            assert ((p - below > t) | (below < -1.7e308)).all()
+
+
+def test_selected_places_of_weighted_values(spark, monkeypatch):
+    monkeypatch.setattr(shift, "FORMED", 30)
+    monkeypatch.setattr(shift, "RANKS", 10)
+    rng = np.random.default_rng(5)
+    x, y = (np.unique(rng.normal(size=n).round(3)) for n in (120, 77))
+    w, v = (rng.integers(1, 10**6, len(z)) for z in (x, y))
+    one, two = (spark.createDataFrame([(float(p), int(n)) for p, n in zip(*z, strict=True)], "x double, w long").repartition(3) for z in ((x, w), (y, v)))
+    d, m = np.subtract.outer(x, y).ravel(), np.multiply.outer(w, v).ravel()
+    order = np.argsort(d)
+    upto = np.cumsum(m[order])
+    selection = shift.Selection(one, two)
+    for k in (0, int(upto[-1]) // 3, int(upto[-1]) - 1):
+        assert selection.at(k) == d[order][np.searchsorted(upto, k, "right")]
+
+
+def test_exact_ranks_of_few_against_many(monkeypatch):
+    from itertools import combinations
+
+    for n, m in ((2, 4), (4, 3), (5, 5), (1, 7)):
+        us = [sum(r - i for i, r in enumerate(c)) for c in combinations(range(n + m), n)]
+        for u in range(n * m + 1):
+            high = max(u, n * m - u)
+            want = min(1.0, 2 * sum(x >= high for x in us) / len(us))
+            assert K.mann_whitney(float(u), n, m, 0, 0.0)["p_value"] == pytest.approx(want) == K.mann_whitney(float(u), m, n, 0, 0.0)["p_value"]
+    exact = [K.mann_whitney(q * 3 * 4000, 4000, 3, 0, 0.0)["p_value"] for q in (0.5, 0.8, 0.95)]
+    monkeypatch.setattr(K, "EXACT_CELLS", 10)
+    assert [K.mann_whitney(q * 3 * 4000, 4000, 3, 0, 0.0)["p_value"] for q in (0.5, 0.8, 0.95)] == pytest.approx(exact, rel=3e-3)
+    assert 0 < K.mann_whitney(2.9 * 5e6, 5_000_000, 3, 0, 0.0)["p_value"] < 1e-3  # ends at once
+
+
 def test_colours():
     g = S.analyze("binary", "rct", "research", counts=(460, 1000, 500, 1000))
     y = S.analyze("binary", "two_group", "research", counts=(460, 1000, 500, 1000))

@@ -7,6 +7,7 @@ aggregated. Tails come from complementary functions, so small p-values hold.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from statistics import NormalDist
 
 from tallywell.functions.special import beta_quantile, binomial_two_sided, chi2_tail, t_quantile, t_two_sided
@@ -177,34 +178,45 @@ def k_squared(n: int, skew: float, kurt: float) -> tuple[float, float]:
     return k2, chi2_tail(k2, 2)
 
 
+def expected_order(i: int, n: int) -> float:
+    """About where the i-th least of n standard normal values lies."""
+    return NormalDist().inv_cdf((i - 0.375) / (n + 0.25))
+
+
 def shapiro_wilk(values: list[float]) -> tuple[float, float]:
     """W and its p-value by Royston's approximation, for 3 to 5000 values."""
     x = sorted(values)
     n = len(x)
     if n < 3 or x[0] == x[-1]:
         raise StatInputError("normality needs three values that differ")
-    m = [NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)]
-    mm = math.fsum(v * v for v in m)
+    m = [expected_order(i, n) for i in range(1, n + 1)]
+    mean = math.fsum(x) / n
+    return shapiro_of_sums(n, math.fsum(v * v for v in m), math.fsum(p * q for p, q in zip(m, x, strict=True)), x[:2], x[:-3:-1], math.fsum((v - mean) ** 2 for v in x))
+
+
+def shapiro_of_sums(n: int, mm: float, mx: float, low: Sequence[float], high: Sequence[float], squares: float) -> tuple[float, float]:
+    """The same from sums over ranks: of squared expected places, of places times values, and of squares about the mean.
+
+    ``low`` are the least two values, ``high`` the greatest two, the outmost first.
+    """
+    if n < 3 or low[0] == high[0]:
+        raise StatInputError("normality needs three values that differ")
     u = 1 / math.sqrt(n)
 
     def poly(c, v):
         return sum(k * v**i for i, k in enumerate(c))
 
+    top = [expected_order(n - i, n) for i in range(2)]
     if n == 3:
-        a = [-math.sqrt(0.5), 0.0, math.sqrt(0.5)]
+        ends, inner = [math.sqrt(0.5)], 0.0
     else:
-        last = poly((0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056), u) + m[-1] / math.sqrt(mm)
-        ends = [last]
+        ends = [poly((0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056), u) + top[0] / math.sqrt(mm)]
         if n > 5:
-            ends.append(poly((0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633), u) + m[-2] / math.sqrt(mm))
+            ends.append(poly((0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633), u) + top[1] / math.sqrt(mm))
         k = len(ends)
-        phi = (mm - 2 * sum(m[-1 - i] ** 2 for i in range(k))) / (1 - 2 * sum(e * e for e in ends))
-        a = [v / math.sqrt(phi) for v in m]
-        for i, e in enumerate(ends):
-            a[-1 - i], a[i] = e, -e
-    mean = math.fsum(x) / n
-    w = math.fsum(p * q for p, q in zip(a, x, strict=True)) ** 2 / math.fsum((v - mean) ** 2 for v in x)
-    w = min(w, 1.0)
+        phi = (mm - 2 * sum(t * t for t in top[:k])) / (1 - 2 * sum(e * e for e in ends))
+        inner = (mx - sum(t * (h - w) for t, h, w in zip(top[:k], high, low, strict=False))) / math.sqrt(phi)
+    w = min(1.0, (inner + sum(e * (h - v) for e, h, v in zip(ends, high, low, strict=False))) ** 2 / squares)
     if n == 3:
         return w, max(0.0, min(1.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))))
     if w >= 1:

@@ -60,33 +60,53 @@ def reconcile(claims: list[dict], replay: dict[str, float | None]) -> dict:
     return {"entries": entries, "passed": len(entries) - bad, "blocked": bad, "summary": "MISMATCH" if bad else "clean"}
 
 
+#: What can be wrong with a source, in the order in which it is told.
+REASONS = (
+    "the query isn't logged", "the query bypassed the semantic layer", "the query belongs to another run", "the query asked for another metric",
+    "the run isn't in the ledger", "the query and its run are of two tracks", "the run has another snapshot", "the snapshot was changed")
+
+
+def prove_sources(claims: DataFrame, queries: DataFrame, runs: DataFrame, live: DataFrame) -> DataFrame:
+    """``claims`` (query_id, run_id, snapshot_id, metric, and others) with ``reasons``, an array that is empty if the source is proven.
+
+    All claims meet the logged queries, those queries' runs, and ``live``
+    (snapshot_id, sha256 now) in one plan; each of these three has one row for
+    each id. A snapshot that isn't live counts as changed.
+    """
+    q = queries.select("query_id", F.col("run_id").alias("tw_run"), F.col("track").alias("tw_track"), F.col("metric").alias("tw_metric"), F.col("via_semantic").alias("tw_via"), F.lit(True).alias("tw_logged"))
+    r = runs.select(F.col("run_id").alias("tw_run"), F.col("snapshot_id").alias("tw_snapshot"), F.col("snapshot_sha256").alias("tw_hash"), F.col("track").alias("tw_run_track"), F.lit(True).alias("tw_known"))
+    now = live.select(F.col("snapshot_id").alias("tw_snapshot"), F.col("sha256").alias("tw_live"))
+    d = claims.join(q, "query_id", "left").join(r, "tw_run", "left").join(now, "tw_snapshot", "left")
+    logged, known = F.col("tw_logged").isNotNull(), F.col("tw_known").isNotNull()
+    other = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
+    moved = other("tw_snapshot", "snapshot_id")
+    tests = (
+        ~logged, logged & ~F.coalesce("tw_via", F.lit(False)), logged & other("tw_run", "run_id"), logged & other("tw_metric", "metric"), logged & ~known,
+        logged & known & other("tw_track", "tw_run_track"), logged & known & moved, logged & known & ~moved & (other("tw_live", "tw_hash") | F.col("tw_live").isNull()))
+    reasons = F.array_compact(F.array(*[F.when(t, reason) for t, reason in zip(tests, REASONS, strict=True)]))
+    return d.select(*claims.columns, reasons.alias("reasons"))
+
+
+def _proofs(claims: list[dict], queries: DataFrame, runs: DataFrame, live_hash) -> dict[str, list[str]]:
+    """query id -> what is wrong with it, for a report's claims."""
+    spark = queries.sparkSession
+    asked = sorted({tuple(c["source"][k] for k in SOURCE) + (c["metric"],) for c in claims})
+    live = [(s, live_hash(s)) for s in sorted({a[2] for a in asked})]
+    out = prove_sources(
+        spark.createDataFrame(asked, "query_id string, run_id string, snapshot_id string, metric string"), queries, runs,
+        spark.createDataFrame(live, "snapshot_id string, sha256 string")).collect()
+    found: dict[str, list[str]] = {}
+    for r in out:
+        found.setdefault(r["query_id"], []).extend(x for x in r["reasons"] if x not in found.get(r["query_id"], ()))
+    return found
+
+
 def prove_source(claim: dict, queries: DataFrame, runs: DataFrame, live_hash) -> list[str]:
     """What is wrong with a claim's source; nothing if it is proven.
 
     ``live_hash`` (snapshot id -> hash now) is compared with the ledger's.
     """
-    s = claim["source"]
-    q = queries.where(F.col("query_id") == s["query_id"]).select("run_id", "track", "metric", "via_semantic").limit(1)
-    found = q.join(runs.select("run_id", "snapshot_id", "snapshot_sha256", F.col("track").alias("run_track")), "run_id", "left").collect()
-    if not found:
-        return ["the query isn't logged"]
-    r = found[0]
-    wrong = []
-    if not r["via_semantic"]:
-        wrong.append("the query bypassed the semantic layer")
-    if r["run_id"] != s["run_id"]:
-        wrong.append("the query belongs to another run")
-    if r["metric"] != claim["metric"]:
-        wrong.append("the query asked for another metric")
-    if r["snapshot_id"] is None:
-        return [*wrong, "the run isn't in the ledger"]
-    if r["track"] != r["run_track"]:
-        wrong.append("the query and its run are of two tracks")
-    if r["snapshot_id"] != s["snapshot_id"]:
-        wrong.append("the run has another snapshot")
-    elif live_hash(r["snapshot_id"]) != r["snapshot_sha256"]:
-        wrong.append("the snapshot was changed")
-    return wrong
+    return _proofs([claim], queries, runs, live_hash)[claim["source"]["query_id"]]
 
 
 def reconcile_verified(claims: list[dict], ledger, live_hash, replay_of, limits: tuple[float, float] | None = None) -> dict:
@@ -98,9 +118,8 @@ def reconcile_verified(claims: list[dict], ledger, live_hash, replay_of, limits:
     """
     for c in claims:
         validate_claim(c, limits)
-    queries, runs = ledger.table("queries"), ledger.table("runs")
-    sources = {tuple(c["source"][k] for k in SOURCE) + (c["metric"],): c for c in claims}
-    wrong = {key[0]: found for key, c in sources.items() if (found := prove_source(c, queries, runs, live_hash))}
+    found = _proofs(claims, ledger.table("queries"), ledger.table("runs"), live_hash) if claims else {}
+    wrong = {k: v for k, v in found.items() if v}
     if wrong:
         ledger.event("source_unproven", claims[0]["source"]["run_id"], None, {"reasons": wrong})
         entries = [c | {"replayed": None, "status": "FAIL", "reason": "source unproven"} for c in claims]
@@ -110,6 +129,8 @@ def reconcile_verified(claims: list[dict], ledger, live_hash, replay_of, limits:
         own = [c for c in claims if (c["source"]["snapshot_id"], c["metric"]) == (snapshot, metric)]
         part = reconcile(own, replay_of(snapshot, metric))
         out = out | {k: out[k] + part[k] for k in ("entries", "passed", "blocked")}
+    if out["blocked"]:
+        ledger.event("claims_unreconciled", claims[0]["source"]["run_id"], None, {"periods": [e["period"] for e in out["entries"] if e["status"] == "FAIL"]})
     return out | {"summary": "MISMATCH" if out["blocked"] else "clean"}
 
 

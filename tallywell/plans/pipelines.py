@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywell.operators.claims import reconcile
+from tallywell.operators.claims import reconcile, reconcile_verified
 from tallywell.operators.groups import group_counts, require_k_anonymity
 from tallywell.operators.metrics import Contract
 from tallywell.operators.quality import commerce_assertions, health_check, research_assertions, run_assertions
@@ -16,7 +16,8 @@ from tallywell.plans.governance import PrivacyBudget, Preregistry, gate_dataset
 from tallywell.plans.semantic import Semantic
 from tallywell.plans.statistics import MethodRegistry, analyze, replay_stat
 from tallywell.sources import snapshots
-from tallywell.sources.files import check_track, land, read_csv
+from tallywell.sources.files import check_track, read_csv
+from tallywell.sources.landing import land
 from tallywell.sources.ledger import Ledger
 
 
@@ -66,21 +67,29 @@ def run_commerce(spark: SparkSession, root: str, csv: str, contracts: Mapping[st
             "snapshot_sha256": snapshot["snapshot_sha256"], "rows": n, "metric": metric, "metric_version": answer["metric_version"],
             "health": health, "provenance": provenance, "steps": [e["name"] for e in report.entries]})
         fact.unpersist()
-        return {"run_id": run_id, "snapshot": snapshot, "health": health, "assertions": report.entries, "answer": answer, "provenance": provenance}
+        return {"run_id": run_id, "snapshot": snapshot, "health": health, "assertions": report.entries, "answer": answer, "provenance": provenance, "contract": contracts[metric]}
     except Exception as e:
         ledger.failed_run(run_id, "commerce", f"{type(e).__name__}: {e}", step)
         raise
 
 
-def claims_of_run(spark: SparkSession, root: str, run: dict, first: int = 5) -> dict:
-    """The first points of a run's answer as claims, reconciled against a replay of its snapshot."""
+def claims_of_run(spark: SparkSession, root: str, run: dict, first: int = 5, contract: Contract | None = None) -> dict:
+    """The first points of a run's answer as claims: their sources are proven, then they are reconciled against a replay of their snapshot.
+
+    The contract's range, of the run's own contract unless another is given, holds for every value.
+    """
     a, p = run["answer"], run["provenance"]
     snapshots.verify(root, p["snapshot_id"])
-    replay = {r["dt"]: r["value"] for r in snapshots.replay(spark, root, p["snapshot_id"], a["metric"]).collect()}
+    contract = contract or run.get("contract")
+
+    def replay_of(snapshot: str, metric: str) -> dict:
+        return {r["dt"]: r["value"] for r in snapshots.replay(spark, root, snapshot, metric).collect()}
+
     source = {"query_id": a["query_id"], "run_id": p["run_id"], "snapshot_id": p["snapshot_id"]}
     claims = [{"metric": a["metric"], "period": d, "operation": "point", "value": v, "unit": "value", "source": source} for d, v in a["rows"][:first]]
     none = [c for c in claims if c["value"] is None]
-    out = reconcile([c for c in claims if c["value"] is not None], replay)
+    out = reconcile_verified(
+        [c for c in claims if c["value"] is not None], Ledger(spark, root), lambda s: snapshots.verify(root, s), replay_of, contract.value_range if contract else None)
     if none:  # a null can't be claimed
         out["entries"] += [c | {"status": "FAIL", "replayed": None} for c in none]
         out |= {"blocked": out["blocked"] + len(none), "summary": "MISMATCH"}

@@ -15,7 +15,7 @@ from tallywell.functions import kernels
 from tallywell.functions.redaction import redact
 from tallywell.operators import claims, experiment, groups, quality
 from tallywell.operators.metrics import compile_metric, parse_contract
-from tallywell.plans import governance
+from tallywell.plans import audit_queries, governance
 from tallywell.plans.semantic import Semantic
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -498,3 +498,7 @@ def config_diff(spark, sf_dir):
 @_register("smallest_groups", "select c_nationkey, c_mktsegment, count(*) as n from customer group by 1, 2 having count(*) < 10 order by n, 1, 2")
 def smallest_groups(spark, sf_dir):
     return groups.smallest_groups(_table(spark, sf_dir, "customer"), ["c_nationkey", "c_mktsegment"], 10)
+
+
+QUERIES |= audit_queries.QUERIES
+ORACLES |= audit_queries.ORACLES

@@ -60,28 +60,42 @@ def exists(uri: str) -> bool:
     return s.get_file_info(path).type != fs.FileType.NotFound
 
 
+#: Stores in which a file appears when it is closed, whole, and creating one that is there fails; elsewhere files are moved into place.
+WHOLE_ON_CLOSE = ("s3a", "gs", "abfs", "abfss")
+
+
 def claim(uri: str, note: str = "") -> bool:
-    """Create a file only if there is none, in one step; False if there is one."""
+    """Create a file with its content only if there is none, in one step; False if there is one."""
+    aside = f"{uri}.{uuid.uuid4().hex}.tmp"
     if not re.match(r"^[a-z0-9]+:", uri) or uri.startswith("file:"):
-        path = "/" + uri.removeprefix("file:").lstrip("/") if uri.startswith("file:") else uri
+        path, aside = (("/" + u.removeprefix("file:").lstrip("/") if u.startswith("file:") else u) for u in (uri, aside))
         os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+        with open(aside, "w") as f:
+            f.write(note)
         try:
-            with open(path, "x") as f:
-                f.write(note)
+            os.link(aside, path)
         except FileExistsError:
             return False
+        finally:
+            os.unlink(aside)
         return True
     spark = SparkSession.getActiveSession()
-    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    as_path = spark._jvm.org.apache.hadoop.fs.Path
+    whole = uri.partition(":")[0] in WHOLE_ON_CLOSE
+    path, target = as_path(uri), as_path(uri if whole else aside)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration())
     try:
-        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, False)
+        out = found.create(target, False)
+        out.write(bytearray(note.encode()))
+        out.close()
+        if whole or found.rename(target, path):  # a move never replaces a file
+            return True
+        found.delete(target, False)
+        return False
     except Exception:
         if exists(uri):
             return False
         raise
-    out.write(bytearray(note.encode()))
-    out.close()
-    return True
 
 
 class Held(RuntimeError):
@@ -106,11 +120,13 @@ def held(uri: str, minutes: float = 30):
     try:
         yield
     finally:
-        s, path = store(lock)
-        s.delete_file(path)
+        # a writer that took too long may have lost the lock to another, whose it is now
+        if exists(lock) and read_bytes(lock).decode() == mark:
+            s, path = store(lock)
+            s.delete_file(path)
 
 
-def _of_each(names: list[str], run) -> dict[str, str]:
+def of_each(names: list[str], run) -> dict[str, str]:
     """``run(name)`` of each name, by tasks where a session is active: bytes stay with them, only the results come back.
 
     A task may be tried again or run twice, so ``run`` must bear that.
@@ -130,12 +146,12 @@ def _of_each(names: list[str], run) -> dict[str, str]:
 
 def digests(folder: str, names: list[str]) -> dict[str, str]:
     """SHA-256 of each of ``names`` below ``folder``."""
-    return _of_each(names, lambda n: digest(f"{folder}/{n}"))
+    return of_each(names, lambda n: digest(f"{folder}/{n}"))
 
 
 def copies(source: str, target: str, names: list[str]) -> None:
     """Copy each of ``names`` from below ``source`` to below ``target``."""
-    _of_each(names, lambda n: copy(f"{source}/{n}", f"{target}/{n}"))
+    of_each(names, lambda n: copy(f"{source}/{n}", f"{target}/{n}"))
 
 
 def list_files(uri: str) -> list[tuple[str, int]]:
@@ -186,16 +202,32 @@ def detect_encoding(uri: str) -> str:
 
 
 def utf8_copy(uri: str, folder: str) -> str:
-    """The file itself if it is UTF-8, else a copy that is, named by content."""
+    """The file itself if it is UTF-8 (or a folder of landed parts), else a copy that is, named by content; a large one is copied in parts by tasks."""
+    from tallywell.sources import landing
+
+    if landing.is_folder(uri):
+        return uri
     found = detect_encoding(uri)
     if found in ("utf-8", "utf-8-sig"):
         return uri
-    target = f"{folder.rstrip('/')}/{digest(uri)[:16]}.utf8.csv"
-    if not exists(target):
-        copy(uri, target, found)
+    target = f"{folder.rstrip('/')}/{digests(*_split(uri))[_split(uri)[1][0]][:16]}.utf8"
+    spark = SparkSession.getActiveSession()
+    if spark is None or landing.size_of(uri) <= landing.RANGE:
+        if not exists(f"{target}.csv"):
+            copy(uri, f"{target}.csv", found)
+        return f"{target}.csv"
+    if not exists(f"{target}/.whole"):  # written last; parts have names of their own, so writers of the same file don't disturb each other
+        scanned = landing.scan(spark, uri)
+        landing.write_parts(spark, scanned, target, landing.detect(spark, scanned))
+        write_bytes(f"{target}/.whole", b"")
     return target
 
 
+def _split(uri: str) -> tuple[str, list[str]]:
+    folder, _, name = uri.rpartition("/")
+    return folder or ".", [name]
+
+
 def contract_schema(columns: Iterable[dict]) -> T.StructType:
     """A schema from {name, type, nullable}; bad records are kept aside."""
     fields = []
@@ -207,14 +239,18 @@ def contract_schema(columns: Iterable[dict]) -> T.StructType:
 
 
 def read_csv(spark: SparkSession, uri: str, columns: list[dict] | None = None, folder: str | None = None, as_text: bool = False,
-             multi_line: bool = True) -> DataFrame:
-    """A CSV with a header, of any of the known encodings.
+             multi_line: bool | None = None) -> DataFrame:
+    """A CSV with a header, of any of the known encodings, or a folder of its landed parts.
 
     With a contract its types hold, and a row that breaks them raises; without,
     types are inferred over the whole file; ``as_text`` keeps every column text.
-    A file whose fields hold no line breaks can be split over tasks: say ``multi_line=False``.
+    Unless ``multi_line`` says so, a large file is scanned for line breaks within fields: without any it is split over tasks.
     """
+    from tallywell.sources import landing
+
     path = utf8_copy(uri, folder or f"{uri.rpartition('/')[0]}/.utf8")
+    if multi_line is None:
+        multi_line = landing.is_folder(path) or landing.size_of(path) <= landing.RANGE or not landing.scan(spark, path).splittable
     reader = spark.read.option("header", True).option("multiLine", multi_line).option("mode", "PERMISSIVE")
     if not columns:
         return reader.option("inferSchema", not as_text).option("timestampType", "TIMESTAMP_NTZ").csv(path)
@@ -261,25 +297,3 @@ def inside(root: str, path: str) -> str:
     if not path.startswith(root + "/") or ".." in path.split("/"):
         raise PermissionError(f"{path} lies outside {root}")
     return path
-
-
-def land(root: str, entity: str, source: str) -> dict:
-    """Keep a source's bytes under raw/entity/dt=/batch=, with a manifest; never over another batch."""
-    if not ENTITY.match(entity):
-        raise SourceError(f"not an entity: {entity!r}")
-    now = datetime.now(timezone.utc)
-    batch = f"b{now:%Y%m%d%H%M%S}-{uuid.uuid4().hex[:4]}"
-    folder = inside(root, f"{root.rstrip('/')}/raw/{entity}/dt={now:%Y-%m-%d}/batch={batch}")
-    name = source.rpartition("/")[2]
-    copy(source, f"{folder}/{name}")
-    found = detect_encoding(source)
-    readable = f"{folder}/{name}"
-    if found not in ("utf-8", "utf-8-sig"):
-        readable = f"{folder}/normalized.utf8.csv"
-        copy(source, readable, found)
-    manifest = {
-        "entity": entity, "batch_id": batch, "source": source, "raw": f"{folder}/{name}", "readable": readable,
-        "encoding": found, "sha256": digest(f"{folder}/{name}"), "landed_at": now.isoformat(),
-    }
-    write_bytes(f"{folder}/manifest.json", json.dumps(manifest, ensure_ascii=False, indent=2).encode())
-    return manifest

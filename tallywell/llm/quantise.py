@@ -24,11 +24,11 @@ from tallywell.llm.common import lookup, materialise
 #: Codebooks and their entries, vectors that a vector's code search keeps at a
 #: time, and vectors of the training sample.
 BOOKS, ENTRIES, BEAM, SAMPLE = 24, 256, 4, 12_000
-#: Different vectors that are reranked for each query.
-RERANK = 64
-#: Cells that a query looks into at least; those of n different vectors must hold
-#: REACH * sqrt(n) together, so that the work for n / 50 queries grows as n ** 1.5.
-PROBES, REACH = 32, 145
+#: Different vectors that are reranked for each query, and cells that a query looks into, at least.
+RERANK, PROBES = 64, 32
+#: Queries whose true neighbours are found by brute force, and the share of these that the cells looked into, and
+#: then the reranked vectors, must hold: both together leave a recall of about FOUND squared.
+TRIAL, FOUND = 128, 0.975
 #: Codes of a shard (neighbouring cells, or a part of a large one), about, and
 #: queries that one task scores against a shard.
 SHARD_ROWS, SHARD_QUERIES = 1 << 18, 1 << 16
@@ -122,6 +122,83 @@ def nearest_cells(scores: np.ndarray, sizes: np.ndarray, probes: int, candidates
     return best[:max(probes, int(np.searchsorted(held, candidates)) + 1)]
 
 
+@dataclass(frozen=True)
+class Effort:
+    """What queries need for the recall that is asked: codes in the cells they look into, and vectors to rerank."""
+
+    codes: int
+    rerank: int
+    share: float  # of all codes
+
+
+def measure(each: DataFrame, index: DataFrame, wanted: DataFrame, books, cells: list[tuple[int, int]], dim: int, k: int, rerank: int, trial: int = TRIAL, found: float = FOUND) -> Effort:
+    """Find by brute force the true neighbours of the ``trial`` queries of the smallest hashes, and what effort would have found them.
+
+    Their exact cosines against all vectors give the neighbours; how many codes
+    lie in the cells up to each one's, in the order in which a query looks into
+    them, and how many codes score higher, give the effort. Two passes over the
+    table, each of ``trial`` products or table look-ups a row.
+    """
+    asked = wanted.orderBy("tw_a", "tw_b").limit(trial).select("tw_a", "tw_b", "tw_vec").toArrow()  # ``trial`` vectors
+    if not asked.num_rows or not cells:
+        return Effort(0, rerank, 0.0)
+    units = _units(_matrix(asked.column(2).combine_chunks(), dim))
+    keys = np.stack([asked.column(i).to_numpy() for i in (0, 1)])
+    schema = "q int, tw_v long, score double"
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.zeros(0), np.zeros(0, np.int64)) for _ in range(len(units))]
+        for batch in batches:
+            x, v = _units(_matrix(batch.column(3), dim)), batch.column(0).to_numpy()
+            a, b = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            scores = units @ x.T
+            scores[(keys[0][:, None] == a) & (keys[1][:, None] == b)] = -2  # itself
+            for q in range(len(units)):
+                s, ids = np.concatenate([held[q][0], scores[q]]), np.concatenate([held[q][1], v])
+                top = _top(s, ids, k)
+                held[q] = s[top], ids[top]
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.repeat(np.arange(len(held), dtype=np.int32), [len(s) for s, _ in held])), pa.array(np.concatenate([i for _, i in held])), pa.array(np.concatenate([s for s, _ in held]))], ["q", "tw_v", "score"])
+
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "tw_v")
+    true = each.select("tw_v", "tw_a", "tw_b", "tw_vec").mapInArrow(nearest, schema).where("score > -2").withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("q", "tw_v")
+    # ``trial`` times k rows
+    rows = index.join(F.broadcast(materialise(true, "true")), "tw_v").select("q", "cell", "codes", "norm").collect()
+    if not rows:
+        return Effort(0, rerank, 0.0)
+    entries = books.entries
+    tables = np.einsum("qd,med->qme", units.astype(np.float32), entries, optimize=True).reshape(len(units), -1)
+    steps = np.arange(entries.shape[0]) * ENTRIES
+    told = np.array([tables[r["q"]][np.frombuffer(r["codes"], np.uint8) + steps].sum() / max(r["norm"], 1e-12) for r in rows], np.float32)
+    of = np.array([r["q"] for r in rows])
+
+    def higher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        more = np.zeros(len(told), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8192):
+                b = batch.slice(at, 8192)
+                codes, norms = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, -1), np.maximum(b.column(1).to_numpy(), 1e-12)
+                for q in np.unique(of):
+                    scores = tables[q][codes + steps].sum(axis=1) / norms
+                    mine = np.flatnonzero(of == q)
+                    more[mine] += (scores[:, None] > told[mine]).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(told), dtype=np.int32)), pa.array(more)], ["k", "n"])
+
+    ranks = [r[0] for r in index.select("codes", "norm").mapInArrow(higher, "k int, n long").groupBy("k").agg(F.sum("n")).select("sum(n)").collect()]
+    ids, sizes = np.array([c for c, _ in cells]), np.array([n for _, n in cells])
+    one, two = ids // ENTRIES, ids % ENTRIES
+    half = ((entries[0][one] + entries[1][two]) ** 2).sum(1) / 2
+    needed = []
+    for q in np.unique(of):
+        unit = units[q].astype(np.float32)
+        order = np.argsort(-((entries[0] @ unit)[one] + (entries[1] @ unit)[two] - half), kind="stable")
+        upto = dict(zip(ids[order].tolist(), np.cumsum(sizes[order]).tolist(), strict=True))
+        needed += [upto[rows[j]["cell"]] for j in np.flatnonzero(of == q)]
+    total = int(sizes.sum())
+    codes = min(total, int(np.quantile(needed, found, method="higher")))
+    return Effort(codes, max(rerank, int(np.quantile(ranks, found, method="higher")) + 1), codes / total)
+
+
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """tw_id, tw_vec (doubles), tw_a and tw_b (128 bits of it) of rows whose vector can be compared.
 
@@ -143,8 +220,9 @@ def search(
     rerank: int = RERANK,
     sample: int = SAMPLE,
     probes: int = PROBES,
-    reach: float = REACH,
     own: bool = True,
+    found: float = FOUND,
+    efforts: list[Effort] | None = None,
 ) -> DataFrame:
     """The ``k`` rows of ``vectors`` nearest to each row of ``queries`` by cosine.
 
@@ -159,21 +237,25 @@ def search(
 
     Equal vectors are indexed and searched once. Codebooks are fitted to at most
     ``sample`` of them, those with the smallest hashes; every one is indexed.
+    How many codes a query scores, and how many vectors are reranked, is
+    measured (see measure), so that recall doesn't fall as tables grow; where
+    cells tell nothing, that is all codes. ``efforts``, if given, gets what was
+    measured for each length.
     """
     rows, asked = valid_vectors(vectors, id_col, vec_col), valid_vectors(queries, id_col, vec_col)
     lengths = sorted(r[0] for r in rows.select(F.size("tw_vec")).distinct().collect())
-    found = [
-        _search(rows.where(F.size("tw_vec") == n), asked.where(F.size("tw_vec") == n), n, k, rerank, sample, probes, reach, own) for n in lengths
+    parts = [
+        _search(rows.where(F.size("tw_vec") == n), asked.where(F.size("tw_vec") == n), n, k, rerank, sample, probes, own, found, efforts) for n in lengths
     ]
-    if not found:
+    if not parts:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    out = found[0]
-    for more in found[1:]:
+    out = parts[0]
+    for more in parts[1:]:
         out = out.unionByName(more)
     return out
 
 
-def _search(rows: DataFrame, asked: DataFrame, dim: int, k: int, rerank: int, sample: int, probes: int, reach: float, own: bool) -> DataFrame:
+def _search(rows: DataFrame, asked: DataFrame, dim: int, k: int, rerank: int, sample: int, probes: int, own: bool, found: float, efforts: list | None) -> DataFrame:
     spark = rows.sparkSession
     # a vector's k + 1 least ids are all that can be returned of it; each task keeps no more of a copied one
     order = Window.partitionBy("tw_a", "tw_b").orderBy("tw_id")
@@ -202,7 +284,10 @@ def _search(rows: DataFrame, asked: DataFrame, dim: int, k: int, rerank: int, sa
     sizes = sorted((r["cell"], r["n"]) for r in index.groupBy("cell").agg(F.count("*").alias("n")).collect())
     cell_ids, counts = np.array([c for c, _ in sizes]), np.array([n for _, n in sizes])
     first, many = deal([n for _, n in sizes])
-    candidates = int(reach * counts.sum() ** 0.5)
+    effort = measure(each, index, wanted, books, sizes, dim, k, rerank, found=found)
+    candidates, rerank = effort.codes, effort.rerank
+    if efforts is not None:
+        efforts.append(effort)
     at = spark.createDataFrame(list(zip(cell_ids.tolist(), first.tolist(), many.tolist(), strict=True)), "cell long, first long, many long")
     index = index.join(F.broadcast(at), "cell").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("tw_v"), F.col("many")))
     map_of_cells = spark.sparkContext.broadcast((cell_ids, counts, first, many))

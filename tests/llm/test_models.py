@@ -1,11 +1,14 @@
 """Language ID by held-out accuracy, nearest neighbours by recall."""
 
 import collections
+import os
 import random
 import string
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tallywell.llm import langid, quantise
 
@@ -169,7 +172,7 @@ def test_every_row_is_a_candidate(spark):
     rows = [(i, spot(6)) for i in range(1, 160)] + [(1000 + i, hot) for i in range(300)] + [(3000 + i, cold) for i in range(4)] + [(50, hot), (50, hot), (50, spot(6)), (5000, spot(3)), (7, hot)]
     rows += [(5100, [2 * v for v in hot])] * 40
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
-    got = quantise.search(df, df.where("vec_id % 50 = 0"), k=5, probes=4, reach=6).collect()
+    got = quantise.search(df, df.where("vec_id % 50 = 0"), k=5, probes=4).collect()
     want = brute_rows(rows, 5)
     got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got)
     counts = lambda xs: collections.Counter((q, r) for q, r, *_ in xs)
@@ -180,6 +183,28 @@ def test_every_row_is_a_candidate(spark):
     assert [g for g in got if 1000 <= g[0] < 1300] == hot_rows  # 300 copies: the five least ids but one's own
 
 
+@pytest.mark.parametrize("n", [60_000] + [200_000, 1_000_000] * bool(os.environ.get("TALLYWELL_LARGE")))
+def test_recall_of_many_spread_vectors(spark, tmp_path, n):
+    """Vectors without any clusters, which cells can't tell apart; the larger tables only where TALLYWELL_LARGE is set (README has their figures)."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    x = np.random.default_rng(6).normal(size=(n, 64)).astype(np.float32)
+    for k in range(8):
+        own = x[k::8]
+        pq.write_table(pa.table({"vec_id": np.arange(k, n, 8), "embedding": pa.FixedSizeListArray.from_arrays(own.ravel(), 64).cast(pa.list_(pa.float32()))}), tmp_path / f"{k}.parquet")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    asked = np.arange(0, n, n // 200)[:200]
+    scores = unit[asked] @ unit.T
+    scores[np.arange(200), asked] = -2
+    want = np.argpartition(-scores, 4, axis=1)[:, :5]
+    df, efforts = spark.read.parquet(str(tmp_path)), []
+    got = {(r["query_id"], r["vec_id"]) for r in quantise.search(df, df.where(F.col("vec_id").isin(asked.tolist())), efforts=efforts).collect()}
+    recall = sum((int(q), int(v)) in got for q, vs in zip(asked, want, strict=True) for v in vs) / 1000
+    print(f"{n} vectors: recall {recall}, {efforts}")
+    assert recall >= 0.9 and len(got) == 1000
+
+
 def test_small_shards_change_nothing(spark, small, monkeypatch):
     df = spark.read.parquet(f"{small}/embeddings.parquet")
     one = sorted(map(tuple, quantise.search(df, df.where("vec_id % 50 = 0")).collect()))

@@ -160,3 +160,33 @@ def lineage(contract: Contract, contracts: Mapping[str, Contract] | None = None)
     if contract.type == "ratio" and all(p in contracts for p in parts):
         return {contract.time_column}.union(*[lineage(contracts[p], contracts) for p in parts])
     return own | set(parts)
+
+
+def columns_read(df: DataFrame) -> set[str]:
+    """Names of the columns of its tables that ``df`` rests on, taken from its plan.
+
+    Every column of a table has an id in the plan; those ids that any step above
+    a table refers to are read. What the optimiser finds to be unused doesn't
+    count, and computed columns lead back to what they are computed from.
+    """
+    if not hasattr(df, "_jdf"):
+        raise ContractError("the plan can be seen only by a session with its own JVM")
+    names: dict[int, str] = {}
+    used: set[int] = set()
+
+    def each(found):
+        return [found.apply(i) for i in range(found.size())]
+
+    def walk(node) -> None:
+        children = each(node.children())
+        if not children:
+            names.update({a.exprId().id(): a.name() for a in each(node.output())})
+            return
+        used.update(a.exprId().id() for a in each(node.references().toSeq()))
+        for child in children:
+            walk(child)
+
+    plan = df._jdf.queryExecution().optimizedPlan()
+    walk(plan)
+    used.update(a.exprId().id() for a in each(plan.output()))  # a table that is shown as it is
+    return {names[k] for k in used & names.keys()}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywell.operators.running import cumulative
-from tallywell.session import checkpoint_ready
+from tallywell.session import stored
 
 #: Spends of one group that a task folds at a time, and what a budget may be exceeded by through rounding.
 CHUNK, SLACK = 100_000, 1e-9
@@ -36,15 +36,13 @@ def accept(spends: DataFrame, group: str, order: list[str], amount: str, total:
     carried over. ``order`` must tell the rows of a group apart. Null groups are
     one group.
     """
-    spark = spends.sparkSession
-    checkpoint_ready(spark)
     width = chunk or CHUNK
     key = F.struct(*order)
     own = spends.select(F.struct("*").alias("r"), F.coalesce(F.col(group).cast("string"), F.lit("\x00")).alias("g"), key.alias("x"), F.col(amount).cast("double").alias("e"), F.lit(1).alias("one"))
     ranked = cumulative(own, ["g"], "one").withColumn("c", F.floor((F.col("upto") - 1) / width))
     bad = F.col("e").isNull() | F.isnan("e") | (F.col("e") < 0)
-    ranked = ranked.withColumn("bad", bad).checkpoint()
-    sizes = ranked.where(~F.col("bad")).groupBy("g", "c").agg(F.min("e").alias("least")).checkpoint()
+    ranked = stored(ranked.withColumn("bad", bad), "spends")
+    sizes = stored(ranked.where(~F.col("bad")).groupBy("g", "c").agg(F.min("e").alias("least")), "chunks")
     state = ranked.select("g").distinct().select("g", F.lit(0.0).alias("spent"), F.lit(-1).cast("long").alias("done"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,16 +62,17 @@ def accept(spends: DataFrame, group: str, order: list[str], amount: str, total:
     while True:
         # the next chunk of each group with an amount that still fits
         ahead = sizes.join(state, "g").where((F.col("c") > F.col("done")) & (F.col("spent") + F.col("least") <= total + SLACK))
-        turn = ahead.groupBy("g", "spent").agg(F.min("c").alias("c")).checkpoint()
+        turn = stored(ahead.groupBy("g", "spent").agg(F.min("c").alias("c")), "turn")
         if turn.isEmpty():
             break
         rows = ranked.where(~F.col("bad")).join(turn, ["g", "c"]).where(F.col("spent") + F.col("e") <= total + SLACK)
         # at most ``chunk`` rows of a group
         lists = rows.groupBy("g", "spent", "c").agg(F.array_sort(F.collect_list(F.struct("upto", "e"))).alias("l"))
-        out = lists.select("g", "spent", "l.upto", "l.e").mapInArrow(judge, "g string, upto long, ok boolean, before double, after double").checkpoint()
+        out = lists.select("g", "spent", "l.upto", "l.e").mapInArrow(judge, "g string, upto long, ok boolean, before double, after double")
+        out = stored(out, "judged")
         judged.append(out)
         after = out.groupBy("g").agg(F.max("after").alias("after")).join(turn.select("g", "c"), "g", "right")
-        state = state.join(after, "g", "left").select("g", F.coalesce("after", "spent").alias("spent"), F.coalesce("c", "done").alias("done")).checkpoint()
+        state = stored(state.join(after, "g", "left").select("g", F.coalesce("after", "spent").alias("spent"), F.coalesce("c", "done").alias("done")), "state")
     if not judged:
         return ranked.select("r.*", F.lit(False).alias("accepted"), F.lit(None).cast("double").alias("spent_before"))
     every = judged[0]

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tallywell.functions import kernels
 from tallywell.functions.redaction import redact
 from tallywell.operators import claims, experiment, groups, quality
-from tallywell.operators.metrics import compile_metric, parse_contract
-from tallywell.plans import audit_queries, governance
+from tallywell.operators.metrics import columns_read, compile_metric, parse_contract
+from tallywell.plans import audit_queries, governance, store_queries
 from tallywell.plans.semantic import Semantic
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -293,18 +293,34 @@ def guardrails(spark, sf_dir):
     return experiment.guardrail_status(rails, values).withColumn("delta", F.round("delta", 6))
 
 
-@_register("contract_diff", """
-with o(name, type, nullable) as (values ('order_id', 'string', false), ('amount', 'number', true), ('status', 'string', true), ('note', 'string', true)),
-n(name, type, nullable) as (values ('order_id', 'integer', false), ('amount', 'number', false), ('status', 'string', true), ('channel', 'string', true))
+_KINDS = "case typeof({c}) when 'BIGINT' then 'integer' when 'INTEGER' then 'integer' when 'DOUBLE' then 'number' when 'VARCHAR' then 'string' else 'datetime' end"
+
+
+def _schema_sql(table: str, prefix: str, columns: tuple[str, ...]) -> str:
+    """One row for each column, its kind taken from the first row and its nulls from all."""
+    return " union all ".join(
+        f"select '{c}' as name, max({_KINDS.format(c=prefix + c)}) as type, count(*) > count({prefix}{c}) or '{c}' not like '%key' as nullable from {table}" for c in columns)
+
+
+_CUSTOMER, _SUPPLIER = ("custkey", "name", "nationkey", "acctbal", "mktsegment"), ("suppkey", "name", "nationkey", "acctbal")
+
+
+@_register("contract_diff", f"""
+with o as ({_schema_sql("customer", "c_", _CUSTOMER)}), n as ({_schema_sql("supplier", "s_", _SUPPLIER)} union all {_schema_sql("region", "r_", ("regionkey",))})
 select coalesce(o.name, n.name) as name, case when n.name is null then 'removed' when o.name is null then 'added' when o.type <> n.type then 'type_changed' else 'nullability_tightened' end as kind
 from o full outer join n on o.name = n.name where o.name is null or n.name is null or o.type <> n.type or (o.nullable and not n.nullable)""")
 def contract_diff(spark, sf_dir):
-    def table(*rows):
-        return governance.contract_columns(spark, [{"name": a, "type": b, "nullable": c} for a, b, c in rows])
+    """From the contract that customers keep to the one that suppliers and regions keep; keys without a null are required."""
+    def observed(table: str, prefix: str, names: tuple[str, ...]) -> list[dict]:
+        df = _table(spark, sf_dir, table)
+        kinds = {"bigint": "integer", "int": "integer", "double": "number", "string": "string"}
+        nulls = df.agg(*[F.count_if(F.col(prefix + c).isNull()).alias(c) for c in names]).first().asDict()
+        types = dict(df.dtypes)
+        return [{"name": c, "type": kinds.get(types[prefix + c], "datetime"), "nullable": nulls[c] > 0 or not c.endswith("key")} for c in names]
 
-    old = table(("order_id", "string", False), ("amount", "number", True), ("status", "string", True), ("note", "string", True))
-    new = table(("order_id", "integer", False), ("amount", "number", False), ("status", "string", True), ("channel", "string", True))
-    return governance.contract_changes(old, new)
+    old = observed("customer", "c_", _CUSTOMER)
+    new = observed("supplier", "s_", _SUPPLIER) + observed("region", "r_", ("regionkey",))
+    return governance.contract_changes(governance.contract_columns(spark, old), governance.contract_columns(spark, new))
 
 
 def _shift_sql(value: str, table: str = "lineitem", group: str = "l_returnflag", one: str = "A", two: str = "R") -> str:
@@ -489,10 +505,104 @@ def redact_masks(spark, sf_dir):
 
 
 @_register("config_diff", """
-with b(key, before) as (values ('a.x', '1'), ('a.y', '2'), ('c', '"z"')), a(key, after) as (values ('a.x', '1'), ('a.y', '3'), ('d', 'true'))
+with n as (select n_nationkey, r_name || '.' || n_name as key from nation join region on n_regionkey = r_regionkey),
+b as (select key, count(*)::varchar as before from customer join n on c_nationkey = n_nationkey group by 1),
+a as (select key, count(*)::varchar as after from supplier join n on s_nationkey = n_nationkey group by 1)
 select coalesce(b.key, a.key) as key, before, after from b full outer join a on b.key = a.key where before is distinct from after""")
 def config_diff(spark, sf_dir):
-    return governance.config_diff(spark, {"a": {"x": 1, "y": 2}, "c": "z"}, {"a": {"x": 1, "y": 3}, "d": True})
+    """Two configurations of counts by region and nation: of customers, and of suppliers."""
+    nations = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+
+    def tree(table: str, key: str) -> dict:
+        out: dict[str, dict] = {}
+        for r in _table(spark, sf_dir, table).join(nations, F.col(key) == F.col("n_nationkey")).groupBy("r_name", "n_name").count().collect():  # a row for each nation
+            out.setdefault(r["r_name"], {})[r["n_name"]] = r["count"]
+        return out
+
+    return governance.config_diff(spark, tree("customer", "c_nationkey"), tree("supplier", "s_nationkey"))
+
+
+@_register("metric_lineage", """
+select * from (select 'paid_orders' as metric, 'o_orderdate' as name, count(o_orderdate) as n from orders union all select 'paid_orders', 'o_orderkey', count(o_orderkey) from orders
+  union all select 'paid_orders', 'o_orderstatus', count(o_orderstatus) from orders union all select 'all_orders', 'o_orderdate', count(o_orderdate) from orders
+  union all select 'all_orders', 'o_orderkey', count(o_orderkey) from orders union all select 'paid_rate', 'o_orderdate', count(o_orderdate) from orders
+  union all select 'paid_rate', 'o_orderkey', count(o_orderkey) from orders union all select 'paid_rate', 'o_orderstatus', count(o_orderstatus) from orders)""")
+def metric_lineage(spark, sf_dir):
+    """The columns that each metric reads, from its plan, and how many values they hold."""
+    orders = _table(spark, sf_dir, "orders")
+    read = [(m, c) for m, contract in CONTRACTS.items() for c in sorted(columns_read(compile_metric(orders, contract, CONTRACTS)))]
+    names = sorted({c for _, c in read})
+    counts = orders.agg(*[F.count(c).alias(c) for c in names]).unpivot([], names, "name", "n")
+    return spark.createDataFrame(read, "metric string, name string").join(F.broadcast(counts), "name").select("metric", "name", "n")
+
+
+def _gate(spark, df, assertions) -> DataFrame:
+    """Every assertion's outcome, whether or not the gate lets the data through."""
+    try:
+        entries = quality.run_assertions(df, assertions).entries
+    except quality.AssertionBlocked as e:
+        entries = e.report.entries
+    rows = [(e["name"], e["level"], e["blocking"], e["passed"], e["affected_rows"]) for e in entries]
+    return spark.createDataFrame(rows, "name string, level string, blocking boolean, passed boolean, affected_rows long")
+
+
+@_register("gate_default", """
+with n as (select count(*) as n from orders), d as (select coalesce(sum(k), 0)::bigint as r, count(*) as g from (select count(*) as k from orders group by o_custkey having count(*) > 1))
+select 'row_count_band' as name, 'L1' as level, true as blocking, n * 1.0 between 6.0 / 7 * n * 0.6 and 6.0 / 7 * n * 1.4 as passed, case when n * 1.0 between 6.0 / 7 * n * 0.6 and 6.0 / 7 * n * 1.4 then 0 else n end as affected_rows from n
+union all select 'unique:o_custkey', 'L1', true, g = 0, r from d
+union all select 'not_null:o_custkey', 'L1', true, count(*) = count(o_custkey), count(*) - count(o_custkey) from orders
+union all select 'not_null:o_orderdate', 'L1', true, count(*) = count(o_orderdate), count(*) - count(o_orderdate) from orders
+union all select 'enum:o_orderstatus', 'L2', false, count(*) filter (o_orderstatus not in ('F', 'O')) = 0, count(*) filter (o_orderstatus not in ('F', 'O')) from orders""")
+def gate_default(spark, sf_dir):
+    """Orders under a key that repeats: the gate blocks, and says by how many rows."""
+    orders = _table(spark, sf_dir, "orders")
+    n = orders.count()
+    return _gate(spark, orders, quality.default_assertions(orders.columns, "o_custkey", [0] + [n] * 6, ["o_orderdate", "nowhere"], {"o_orderstatus": ["f", "O"], "nowhere": ["x"]}))
+
+
+@_register("gate_commerce", """
+select 'row_count_band' as name, 'L1' as level, true as blocking, true as passed, 0 as affected_rows
+union all select 'unique:order_id', 'L1', true, count(*) = count(distinct o_orderkey), 0 from orders
+union all select 'not_null:order_id', 'L1', true, count(*) = count(o_orderkey), count(*) - count(o_orderkey) from orders
+union all select 'not_null:created_at', 'L1', true, count(*) = count(o_orderdate), count(*) - count(o_orderdate) from orders
+union all select 'enum:status', 'L2', false, count(*) filter (o_orderstatus = 'P') = 0, count(*) filter (o_orderstatus = 'P') from orders""")
+def gate_commerce(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "F", "paid").when(F.col("o_orderstatus") == "O", "cancelled").otherwise("pending")
+    fact = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").alias("created_at"), status.alias("status"))
+    return _gate(spark, fact, quality.commerce_assertions(fact))
+
+
+@_register("gate_research", f"""
+select 'row_count_band' as name, 'L1' as level, true as blocking, true as passed, 0 as affected_rows
+union all select 'unique:participant_id', 'L1', true, count(*) = count(distinct c_custkey), 0 from customer
+union all select 'not_null:participant_id', 'L1', true, count(*) = count(c_custkey), count(*) - count(c_custkey) from customer
+union all select 'not_null:arm', 'L1', true, count(*) = count(arm), count(*) - count(arm) from {_ARMS}
+union all select 'enum:arm', 'L2', false, count(*) filter (arm not in ('a', 'b')) = 0, count(*) filter (arm not in ('a', 'b')) from {_ARMS}
+union all select 'enum:converted', 'L2', false, true, 0""")
+def gate_research(spark, sf_dir):
+    cohort = _arms(spark, sf_dir).select(F.col("c_custkey").alias("participant_id"), "arm", "converted")
+    return _gate(spark, cohort, quality.research_assertions(cohort))
+
+
+@_register("experiment_whole", f"""
+with {_COUNTS}, v as (select *, n_a + n_b as n, s_a / n_a as p, s_b / n_b as q, (s_a + s_b) / (n_a + n_b) as pool from c),
+t as (select *, (p - q) / nullif(sqrt(pool * (1 - pool) * (1 / n_a + 1 / n_b)), 0) as z from v),
+r as (select *, {_normal_p("z")} as pv, (pow(n_a - n / 2, 2) + pow(n_b - n / 2, 2)) / (n / 2) as chi2 from t),
+g as (select avg(case when event_id % 2 = 0 then value end) as b, avg(case when event_id % 2 = 1 then value end) as v from events where event_type = 'click')
+select round(chi2, 6) as chi2, round({_normal_p("sqrt(chi2)")}, 6) as ratio_p, round(p - q, 6) as effect, round(pv, 6) as p_value, pv < 0.025::double as significant,
+  v - b > 0.5::double as broken, case when v - b > 0.5::double then 'a guardrail is broken' when pv < 0.025::double then 'significant' else 'not significant' end as verdict from r, g""")
+def experiment_whole(spark, sf_dir):
+    """Sample ratio, two looks, the test and a guardrail, over all customers."""
+    from tallywell.plans.experiments import Design, evaluate
+
+    even = F.col("event_id") % 2 == 0
+    values = _table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name")).agg(
+        F.avg(F.when(even, F.col("value"))).alias("baseline"), F.avg(F.when(~even, F.col("value"))).alias("variant"))
+    rails = spark.createDataFrame([("click", "not_increase", 0.5)], "name string, direction string, threshold double")
+    e = evaluate(_arms(spark, sf_dir), "arm", "converted", Design({"a": 0.5, "b": 0.5}, control="b", variant="a", looks=2), rails, values)
+    found = e.conclusion["result"]
+    row = (round(e.ratio.chi2, 6), round(e.ratio.p_value, 6), round(found["effect"]["value"], 6), round(found["p_value"], 6), e.significant, bool(e.broken), e.verdict)
+    return spark.createDataFrame([row], "chi2 double, ratio_p double, effect double, p_value double, significant boolean, broken boolean, verdict string")
 
 
 @_register("smallest_groups", "select c_nationkey, c_mktsegment, count(*) as n from customer group by 1, 2 having count(*) < 10 order by n, 1, 2")
@@ -500,5 +610,5 @@ def smallest_groups(spark, sf_dir):
     return groups.smallest_groups(_table(spark, sf_dir, "customer"), ["c_nationkey", "c_mktsegment"], 10)
 
 
-QUERIES |= audit_queries.QUERIES
-ORACLES |= audit_queries.ORACLES
+QUERIES |= audit_queries.QUERIES | store_queries.QUERIES
+ORACLES |= audit_queries.ORACLES | store_queries.ORACLES

@@ -240,7 +240,7 @@ def contract_schema(columns: Iterable[dict]) -> T.StructType:
 
 def read_csv(spark: SparkSession, uri: str, columns: list[dict] | None = None, folder: str | None = None, as_text: bool = False,
              multi_line: bool | None = None) -> DataFrame:
-    """A CSV with a header, of any of the known encodings, or a folder of its landed parts.
+    """A CSV with a header, of any of the known encodings, or a folder of its landed parts; quotes within quotes are doubled.
 
     With a contract its types hold, and a row that breaks them raises; without,
     types are inferred over the whole file; ``as_text`` keeps every column text.
@@ -251,7 +251,7 @@ def read_csv(spark: SparkSession, uri: str, columns: list[dict] | None = None, f
     path = utf8_copy(uri, folder or f"{uri.rpartition('/')[0]}/.utf8")
     if multi_line is None:
         multi_line = landing.is_folder(path) or landing.size_of(path) <= landing.RANGE or not landing.scan(spark, path).splittable
-    reader = spark.read.option("header", True).option("multiLine", multi_line).option("mode", "PERMISSIVE")
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("mode", "PERMISSIVE").option("escape", '"')
     if not columns:
         return reader.option("inferSchema", not as_text).option("timestampType", "TIMESTAMP_NTZ").csv(path)
     df = reader.option("columnNameOfCorruptRecord", "_corrupt_record").option("enforceSchema", False).schema(contract_schema(columns)).csv(path).cache()

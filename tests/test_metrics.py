@@ -3,9 +3,10 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallywell.functions.predicates import ContractError, where_all
-from tallywell.operators.metrics import compile_metric, lineage, parse_contract
+from tallywell.operators.metrics import columns_read, compile_metric, lineage, parse_contract
 from tallywell.plans.semantic import Semantic
 
 
@@ -95,3 +96,18 @@ def test_semantic_layer(spark):
     for track, metric in (("research", "m"), ("commerce", "other"), ("commerce", "m; drop")):
         with pytest.raises(ContractError):
             s.query(track, metric, "r-1")
+
+
+def test_columns_read_from_the_plan(spark, tmp_path):
+    spark.createDataFrame([("O-1", "2026-01-01 00:00:00", "paid", 3.0, "x")], "order_id string, created_at string, status string, amount double, note string").write.parquet(str(tmp_path / "t"))
+    fact = spark.read.parquet(str(tmp_path / "t"))
+    base = {"grain": "order", "time_column": "created_at"}
+    parts = {c["metric"]: parse_contract(base | c) for c in (
+        {"metric": "paid", "type": "count", "order_key": "order_id", "filters": [{"field": "status", "op": "=", "value": "paid"}]},
+        {"metric": "all_orders", "type": "count", "order_key": "order_id"},
+        {"metric": "rate", "type": "ratio", "numerator": {"metric": "paid"}, "denominator": {"metric": "all_orders"}},
+        {"metric": "total", "type": "sum", "numerator": {"metric": "amount"}})}
+    for name, want in {"rate": {"order_id", "created_at", "status"}, "paid": {"order_id", "created_at", "status"}, "total": {"created_at", "amount"}}.items():
+        assert columns_read(compile_metric(fact, parts[name], parts)) == want == lineage(parts[name], parts) | want
+    renamed = fact.select(F.upper("note").alias("amount"), F.lit(1).alias("status"), "order_id").where("amount > 'A'").groupBy("amount").count()
+    assert columns_read(renamed) == {"note"} and columns_read(fact.select("status")) == {"status"} and columns_read(spark.range(3)) == {"id"}

@@ -329,8 +329,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """id, url, text, cut_by_tree, cut_by_role: the main text of every row of ``pages``.
 
     The last two count the blocks of the page that its host's tree cuts, and
-    those that are cut for their role alone. If blocks of an article or main
-    element are left, they are the text, else all that are left are.
+    those that are cut for their role alone. If blocks of article and main
+    elements hold at least half of the characters that are left, they are the
+    text; else, as where articles are teasers of a story beside them, all that
+    are left are.
 
     Character references are decoded, white space inside a block becomes one
     space, blocks are joined by a newline. A null or empty page has the empty
@@ -356,9 +358,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     t = t.select("tw_id", "tw_url", F.transform("blocks", judged).alias("blocks"))
     left = F.filter("blocks", lambda b: b["by"] == "")
 
+    def size(blocks: Column) -> Column:
+        return F.aggregate(blocks, F.lit(0).cast("long"), lambda n, b: n + F.length(b["text"]))
+
     def joined(kept: Column) -> Column:
-        return let(F.exists(kept, lambda b: b["main"]), lambda any_main: F.array_join(
-            F.transform(F.filter(kept, lambda b: b["main"] | ~any_main), lambda b: b["text"]), "\n"))
+        mostly = 2 * size(F.filter(kept, lambda b: b["main"])) >= size(kept)
+        return let(mostly, lambda main_only: F.array_join(
+            F.transform(F.filter(kept, lambda b: b["main"] | ~main_only), lambda b: b["text"]), "\n"))
 
     count = lambda by: F.size(F.filter("blocks", lambda b: b["by"] == by)).cast("long")
     return t.select(

@@ -108,13 +108,15 @@ def judge(blocks, noise=(), varied=()):
             role += 1
         else:
             left.append(b)
-    main = [b.text for b in left if b.main]
-    return "\n".join(main or [b.text for b in left]), tree, role
+    main, all_left = [b.text for b in left if b.main], [b.text for b in left]
+    mostly = 2 * sum(map(len, main)) >= sum(map(len, all_left))
+    return "\n".join(main if mostly else all_left), tree, role
 
 
 @pytest.mark.parametrize("page,text", [
     (PAGE, "Head & line\nBold text.\nSecénd para graph <tag> a < b\none\ntwo\nc1 c2\ntail"), ("", ""), ("plain &am text <b>x</b>y", "plain &am text xy"),
-    ("<article><p>a</article><p>outside", "a"), ("<p>one<p>two<", "one\ntwo<"), ("<script>x", ""), ("<p class='x' title='a > b'>in", "in"),
+    ("<article><p>a long story</article><p>outside", "a long story"), ("<article><p>a</article><p>outside", "a\noutside"),
+    ("<div><p>The story itself stands here.<p>It goes on.</div><article><p>Read next</article>", "The story itself stands here.\nIt goes on.\nRead next"), ("<p>one<p>two<", "one\ntwo<"), ("<script>x", ""), ("<p class='x' title='a > b'>in", "in"),
     ("<div role=navigation>m</div><main>k<span class=advert>no</span>ept</main>", "k\nept"), ("<p>a<span>b</span>c", "abc"),
     # what names its layout, or a form around the page, doesn't lose the article
     ("<div class='has-sidebar'><p>text<div class=sidebar>s</div></div>", "text"), ("<div class='content-sidebar-wrap'><main><p>text</main><div class=sidebar>s", "text"),

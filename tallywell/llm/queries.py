@@ -213,6 +213,25 @@ select d.doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0
 from d left join b on d.k = b.k left join a on d.k = a.k
 """
 
+# crc32 byte by byte, its table from the polynomial; letters beyond ASCII here are two bytes of UTF-8.
+_CRC_SQL = """xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split({s}, ''), lambda c: case when unicode(c) < 128 then [unicode(c)::bigint]
+  else [(192 + unicode(c) // 64)::bigint, (128 + unicode(c) % 64)::bigint] end))), lambda crc, b: xor(crc // 256, {t}[(xor(crc, b) % 256 + 1)::int])), 4294967295::bigint)"""
+SQL_SPELLING = f"""
+with recursive t as (select list_transform(range(256), lambda c: list_reduce(list_prepend(c::bigint, range(8)), lambda a, i: case when a % 2 = 1 then xor(a // 2, 3988292384::bigint) else a // 2 end)) as t),
+r as (select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), '{_UPPER}', '{_UPPER.lower()}') as run from documents),
+k as (select doc_id, run, count(*) as k from r group by 1, 2),
+h as (select run, k, {_CRC_SQL.format(s="doc_id::varchar || ':' || run", t="t.t")} as h from k, t where doc_id is not null union all select run, k, 1 from k where doc_id is null),
+w as (select case when h % 97 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, sum(k)::bigint as n from h group by 1 having length(word) >= 5 and sum(k) >= 3),
+v as (select word, n, i, substr(word, 1, i) || substr(word, i + 2) as v from (select word, n, unnest(range(0, length(word)))::int as i from w)),
+p as (select a.word, a.n, b.word as other, b.n as m from v a join v b on a.i = b.i and a.v = b.v and a.word <> b.word
+  union select v.word, v.n, w.word, w.n from v join w on v.v = w.word union select w.word, w.n, v.word, v.n from v join w on v.v = w.word),
+b as (select word, any_value(n) as n, count(*) as n_near, max(m) as m from p group by 1),
+f as (select b.word, b.n_near, case when b.m >= 2 * b.n then min(p.other) end as form, case when b.m >= 2 * b.n then b.m end as form_n from b join p on b.word = p.word and b.m = p.m group by b.word, b.n, b.n_near, b.m),
+c as (select word, form as last from f where form is not null union all select c.word, f.form from c join f on c.last = f.word where f.form is not null),
+e as (select c.word, c.last from c left join f on c.last = f.word where f.form is null)
+select w.word, f.form, coalesce(e.last, w.word) as root, w.n, coalesce(f.n_near, 0)::bigint as n_near, f.form_n::bigint as form_n from w left join f on w.word = f.word left join e on w.word = e.word
+"""
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_warc": op2_warc,
@@ -235,4 +254,5 @@ ORACLES = {
     "op5_secret_scan": SQL_SECRETS,
     "op6_jaccard_join": SQL_JACCARD,
     "op8_url_filters": SQL_URLS,
+    "op12_spelling_variants": SQL_SPELLING,
 }

@@ -31,6 +31,10 @@ def _ids() -> tuple[str, str, str]:
     return f"r-{tail}", f"s-{tail}", now.isoformat(timespec="milliseconds")
 
 
+def _built_by(build: dict | None) -> dict:
+    return {"build": build["build"], "dependencies": build["dependencies"], "dirty": build["dirty"]} if build else {}
+
+
 def _built(df: DataFrame, least: int = 1) -> int:
     n = df.count()
     if n < least:
@@ -39,8 +43,11 @@ def _built(df: DataFrame, least: int = 1) -> int:
 
 
 def run_commerce(spark: SparkSession, root: str, csv: str, contracts: Mapping[str, Contract], metric: str, commit: str = "unknown",
-                 columns: list[dict] | None = None, key: str = "order_id", limit: int = 30) -> dict:
-    """Land, check health, assert, compile, query, snapshot, record."""
+                 columns: list[dict] | None = None, key: str = "order_id", limit: int = 30, build: dict | None = None) -> dict:
+    """Land, check health, assert, compile, query, snapshot, record.
+
+    ``build`` (see merkle.build) puts the fingerprints of code and lock, and whether the tree is dirty, into the provenance.
+    """
     ledger = Ledger(spark, root)
     run_id, snapshot_id, started = _ids()
     step = "land"
@@ -61,7 +68,7 @@ def run_commerce(spark: SparkSession, root: str, csv: str, contracts: Mapping[st
         step = "snapshot"
         snapshot = snapshots.publish({metric: frame.select("dt", "value"), "fact": fact}, root, snapshot_id, "commerce")
         step = "ledger"
-        provenance = {"run_id": run_id, "snapshot_id": snapshot_id, "batch_id": batch["batch_id"], "commit_sha": commit, "query_id": answer["query_id"]}
+        provenance = {"run_id": run_id, "snapshot_id": snapshot_id, "batch_id": batch["batch_id"], "commit_sha": commit, "query_id": answer["query_id"]} | _built_by(build)
         ledger.run({
             "run_id": run_id, "track": "commerce", "started_at": started, "batch_id": batch["batch_id"], "snapshot_id": snapshot_id,
             "snapshot_sha256": snapshot["snapshot_sha256"], "rows": n, "metric": metric, "metric_version": answer["metric_version"],
@@ -97,7 +104,7 @@ def claims_of_run(spark: SparkSession, root: str, run: dict, first: int = 5, con
 
 
 def run_research(spark: SparkSession, root: str, csv: str, manifest: dict, registry: Preregistry, plan_id: str, plan: dict, commit: str = "unknown",
-                 budget: PrivacyBudget | None = None, columns: list[dict] | None = None) -> dict:
+                 budget: PrivacyBudget | None = None, columns: list[dict] | None = None, build: dict | None = None) -> dict:
     """Land, gate the dataset and the plan, assert, protect privacy, analyse, reconcile, snapshot, record.
 
     Counts come from the data alone; a result that doesn't reconcile with its
@@ -142,7 +149,7 @@ def run_research(spark: SparkSession, root: str, csv: str, manifest: dict, regis
         step = "snapshot"
         snapshot = snapshots.publish({"cohort": cohort}, root, snapshot_id, "research")
         step = "ledger"
-        provenance = {"run_id": run_id, "snapshot_id": snapshot_id, "batch_id": batch["batch_id"], "commit_sha": commit, "methods": methods.fingerprint()}
+        provenance = {"run_id": run_id, "snapshot_id": snapshot_id, "batch_id": batch["batch_id"], "commit_sha": commit, "methods": methods.fingerprint()} | _built_by(build)
         ledger.run({
             "run_id": run_id, "track": "research", "started_at": started, "batch_id": batch["batch_id"], "snapshot_id": snapshot_id,
             "snapshot_sha256": snapshot["snapshot_sha256"], "rows": n, "metric": plan["method"], "metric_version": 1, "health": health,

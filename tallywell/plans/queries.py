@@ -584,6 +584,27 @@ def gate_research(spark, sf_dir):
     return _gate(spark, cohort, quality.research_assertions(cohort))
 
 
+@_register("k_anonymity_summary", """
+with g as (select count(*) as n from customer group by c_nationkey, c_mktsegment)
+select count(*) filter (n < 15) = 0 as satisfied, min(n) as min_group, count(*) filter (n < 15) as offending_groups, coalesce(sum(n) filter (n < 15), 0)::bigint as affected_rows from g""")
+def k_anonymity_summary(spark, sf_dir):
+    found = groups.k_anonymity(_table(spark, sf_dir, "customer"), ["c_nationkey", "c_mktsegment"], 15)
+    return spark.createDataFrame([tuple(found[k] for k in ("satisfied", "min_group", "offending_groups", "affected_rows"))], "satisfied boolean, min_group long, offending_groups long, affected_rows long")
+
+
+@_register("analysis_replay", f"""
+with {_COUNTS}, v as (select *, s_a / n_a as p, s_b / n_b as q, (s_a + s_b) / (n_a + n_b) as pool from c), t as (select *, (p - q) / nullif(sqrt(pool * (1 - pool) * (1 / n_a + 1 / n_b)), 0) as z from v)
+select 'customers#effect' as period, round(p - q, 6) as value, 'PASS' as status, 'GREEN' as colour from t union all select 'customers#p_value', round({_normal_p("z")}, 6), 'PASS', 'GREEN' from t""")
+def analysis_replay(spark, sf_dir):
+    """A two-proportion analysis of all customers, its claims held against a recomputation from the data."""
+    from tallywell.plans.statistics import analyze, replay_stat
+
+    source = {"query_id": "q", "run_id": "r", "snapshot_id": "s"}
+    told = analyze("binary", "rct", "commerce", counts=_counts(spark, sf_dir), period="customers", source=source)
+    checked = claims.reconcile(told["claims"], replay_stat(told, _counts(spark, sf_dir)))
+    return spark.createDataFrame([(e["period"], round(e["value"], 6), e["status"], told["status"]) for e in checked["entries"]], "period string, value double, status string, colour string")
+
+
 @_register("experiment_whole", f"""
 with {_COUNTS}, v as (select *, n_a + n_b as n, s_a / n_a as p, s_b / n_b as q, (s_a + s_b) / (n_a + n_b) as pool from c),
 t as (select *, (p - q) / nullif(sqrt(pool * (1 - pool) * (1 / n_a + 1 / n_b)), 0) as z from v),

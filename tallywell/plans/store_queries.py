@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywell.operators.metrics import compile_metric, parse_contract
+from tallywell.plans import governance, report
 from tallywell.session import shared_folder
 from tallywell.sources import files, landing, merkle, snapshots
 from tallywell.sources.ledger import Ledger
@@ -108,3 +109,46 @@ def fingerprint_changes(spark, sf_dir):
 
     told = merkle.changed(tree(0), tree(1))
     return spark.createDataFrame(list(told.items()), "name string, kind string")
+
+
+_FACT = "select o_orderkey, o_custkey, o_orderstatus from orders"
+
+
+def _fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+@_register("backup_restore", _FACT)
+def backup_restore(spark, sf_dir):
+    """A published snapshot backed up, restored elsewhere after every file was checked, and read there."""
+    root = _fresh(spark)
+    snapshots.publish({"fact": _fact(spark, sf_dir)}, f"{root}/volume", "s-1", "commerce")
+    made = governance.backup(f"{root}/volume", f"{root}/backups", "commerce")
+    governance.restore(made["path"], f"{root}/restored", "commerce")
+    return spark.read.parquet(f"{root}/restored/snapshots/s-1/fact")
+
+
+@_register("bridge_import", _FACT)
+def bridge_import(spark, sf_dir):
+    """A run's snapshot that crosses from one track to the other by a token, audited on both sides, and is read there."""
+    root = _fresh(spark)
+    one, two = Ledger(spark, f"{root}/commerce"), Ledger(spark, f"{root}/research")
+    told = snapshots.publish({"fact": _fact(spark, sf_dir)}, f"{root}/commerce", "s-1", "commerce")
+    one.run({"run_id": "r-1", "track": "commerce", "started_at": "2026-01-01", "snapshot_id": "s-1", "snapshot_sha256": told["snapshot_sha256"],
+             "provenance": {"run_id": "r-1", "snapshot_id": "s-1", "batch_id": "b-1", "commit_sha": "c"}})
+    bridge = governance.Bridge(f"{root}/bridge")
+    token = bridge.issue("study", "commerce", "research")
+    found = bridge.export(token, "study", f"{root}/commerce", f"{root}/research", "commerce", "research", one, two, "r-1")
+    if one.rollup()["bridged"] + two.rollup()["bridged"] != 2:
+        raise RuntimeError("the crossing isn't audited on both sides")
+    return spark.read.parquet(f"{found['path']}/fact")
+
+
+@_register("redacted_sink", """
+select c_custkey, left(c_name, 1) || repeat('*', greatest(length(c_name) - 1, 1)) as c_name, 'tok_' || substr(sha256('s1:' || c_mktsegment), 1, 12) as c_mktsegment from customer""")
+def redacted_sink(spark, sf_dir):
+    """Customers as JSON lines for a viewer who may see neither names nor segments, read back."""
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    out = f"{_fresh(spark)}/shown"
+    report.export_redacted(rows, out, f"{sf_dir}/customer.parquet", {"c_mktsegment": "restricted", "c_name": "confidential", "c_custkey": "public"}, salt="s1")
+    return spark.read.schema("c_custkey long, c_name string, c_mktsegment string").json(out)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallywell.functions.predicates import identifier, is_truthy
 from tallywell.operators.running import cumulative
 from tallywell.operators.shift import median_difference
+from tallywell.session import checkpoint_ready
 
 
 def group_counts(df: DataFrame, arm: str, converted: str, arms: tuple[str, str] = ("a", "b")) -> DataFrame:
@@ -60,7 +61,8 @@ def rank_sums(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def hodges_lehmann(df: DataFrame, group: str, value: str, a: str, b: str) -> float | None:
     """Median of all differences between the groups, exact for any size; None if a group is empty."""
-    c = _counted(df, group, value).withColumnRenamed("n", "w")
+    checkpoint_ready(df.sparkSession)
+    c = _counted(df.where(F.col(group).isin(a, b)), group, value).withColumnRenamed("n", "w").checkpoint()  # read several times
     return median_difference(*(c.where(F.col("grp") == g).select("x", "w") for g in (a, b)))
 
 

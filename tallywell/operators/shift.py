@@ -194,7 +194,7 @@ class Selection:
 
     def __init__(self, one: DataFrame, two: DataFrame):
         checkpoint_ready(one.sparkSession)
-        self.one, self.two = one.checkpoint(), two.checkpoint()
+        self.one, self.two = one, two  # read once for each pass
         a, b = (s.agg(F.sum("w"), F.count("*"), F.min("x"), F.max("x")).first() for s in (self.one, self.two))
         self.weight, self.pairs = int(a[0] or 0) * int(b[0] or 0), a[1] * b[1]
         self.passes = 0

@@ -71,7 +71,7 @@ def mann_whitney(u: float, n: int, m: int, tie_sum: float, shift: float) -> dict
     if min(n, m) < 1:
         raise StatInputError("a group is empty")
     if not tie_sum and min(n, m) <= 8:
-        p = 2 * _tail_of_u(max(u, n * m - u), min(n, m), max(n, m))
+        p = _exact_u(max(u, n * m - u), min(n, m), max(n, m))
     else:
         total = n + m
         var = n * m / 12 * (total + 1 - tie_sum / (total * (total - 1)))
@@ -79,8 +79,8 @@ def mann_whitney(u: float, n: int, m: int, tie_sum: float, shift: float) -> dict
     return _result("hodges_lehmann", shift, None, min(1.0, p), {"u": u, "rank_biserial": 2 * u / (n * m) - 1})
 
 
-def _tail_of_u(u: float, n: int, m: int) -> float:
-    """P(U >= u) of untied groups, n <= m.
+def _exact_u(u: float, n: int, m: int) -> float:
+    """P(U >= u or U <= nm - u) of untied groups, n <= m.
 
     Up to EXACT_CELLS values of U their counts are the coefficients of a
     Gaussian binomial. Beyond, the values of the small group are uniform places
@@ -89,14 +89,14 @@ def _tail_of_u(u: float, n: int, m: int) -> float:
     """
     if n * m > EXACT_CELLS:
         at = n / 2 - (u - 0.5 - n * m / 2) / math.sqrt(m * (n + m + 1))
-        return math.fsum((-1) ** k * math.comb(n, k) * (at - k) ** n for k in range(n + 1) if k < at) / math.factorial(n) if at > 0 else 0.0
+        return 2 * math.fsum((-1) ** k * math.comb(n, k) * (at - k) ** n for k in range(n + 1) if k < at) / math.factorial(n) if at > 0 else 0.0
     counts = [1] + [0] * (n * m)
     for i in range(1, n + 1):  # times (1 - q^(m + i)) / (1 - q^i)
         for s in range(n * m, m + i - 1, -1):
             counts[s] -= counts[s - m - i]
         for s in range(i, n * m + 1):
             counts[s] += counts[s - i]
-    return sum(counts[math.ceil(u):]) / math.comb(n + m, n)
+    return 2 * sum(counts[math.ceil(u):]) / math.comb(n + m, n)
 
 
 def fisher(s_a: int, n_a: int, s_b: int, n_b: int) -> dict:

@@ -20,6 +20,9 @@ from tallywell.sources.ledger import Ledger
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: About how many lines a fingerprinted file of a status has at most.
+FILE_ROWS = 250_000
+
 
 def _register(name: str, sql: str):
     def add(query):
@@ -90,17 +93,22 @@ def ledger_history(spark, sf_dir):
 select o_orderstatus as name, case when o_orderstatus = 'F' then 'changed' when o_orderstatus = 'P' then 'removed' end as kind from orders where o_orderstatus in ('F', 'P') group by 1
 union all select 'Q', 'added'""")
 def fingerprint_changes(spark, sf_dir):
-    """Trees over a file for each order status: one file changed, one removed, one added, told by their digests."""
+    """Trees over the lines of each order status: one changed, one removed, one added, told by their digests.
+
+    A status's lines are dealt to files by their hashes, so that equal lines give equal files whatever other statuses hold.
+    """
     root = _fresh(spark)
     orders = _table(spark, sf_dir, "orders")
+    slots = orders.count() // FILE_ROWS + 1
     for k in range(2):
         status = F.when(F.lit(k == 1) & (F.col("o_orderstatus") == "P"), "Q").otherwise(F.col("o_orderstatus"))
         line = F.concat_ws(",", "o_orderkey", F.when(F.lit(k == 1) & (F.col("o_orderstatus") == "F"), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
-        lines = orders.select(status.alias("name"), line.alias("value"))
-        lines.repartitionByRange("name", "value").sortWithinPartitions("name", "value").write.partitionBy("name").text(f"{root}/{k}")
+        # without nulls, as else Spark would sort again by the folders alone
+        lines = orders.select(F.coalesce(status, F.lit("")).alias("name"), line.alias("value")).withColumn("slot", F.pmod(F.xxhash64("value"), F.lit(slots)))
+        lines.repartition("name", "slot").sortWithinPartitions("name", "slot", "value").write.partitionBy("name", "slot").text(f"{root}/{k}")
 
     def tree(k: int) -> dict:
-        """Files of a status under the status, whatever Spark named and split them."""
+        """Files of a status under the status, whatever Spark named them."""
         found = merkle.tree(f"{root}/{k}", [n for n, _ in files.list_files(f"{root}/{k}") if n.endswith(".txt")])["files"]
         by: dict[str, list[str]] = {}
         for n, d in found.items():

@@ -216,3 +216,18 @@ def test_sinks(spark, tmp_path):
     claim = {"metric": "m", "period": "p", "value": 1.0, "source": SOURCE}
     assert R.export_claims(C.reconcile([claim], {"p": 1.0}), str(tmp_path / "ok.json")) == 0
     assert R.export_claims(C.reconcile([claim], {}), str(tmp_path / "bad.json")) == 1 and json.loads((tmp_path / "bad.json").read_text())["blocked"] == 1
+
+
+def test_fingerprints_of_lines_in_many_files(spark, tmp_path, monkeypatch):
+    """A status that stays as it is isn't told as changed, wherever its lines are split."""
+    from tallywell.plans import store_queries as Q
+
+    monkeypatch.setattr(Q, "FILE_ROWS", 1000, raising=False)
+    rows = [(i, "FOP"[i % 3] if i % 50 else None, i * 0.7) for i in range(6000)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string, o_totalprice double").repartition(4).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted(map(tuple, Q.fingerprint_changes(spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == [("F", "changed"), ("P", "removed"), ("Q", "added")]

@@ -14,23 +14,29 @@ from tallywell.operators.running import cumulative
 
 #: Values up to which Shapiro-Wilk is taken; beyond, K squared of the moments.
 SHAPIRO = 5000
+#: Ranks of equal values that stand in one row at most.
+RUN = 10_000
 
 
-def normality(df: DataFrame, group: str, value: str) -> DataFrame:
+def normality(df: DataFrame, group: str, value: str, shapiro: int | None = SHAPIRO) -> DataFrame:
     """grp, n, test, statistic, p_value of each group's values that aren't null.
 
     Ranks come from running counts over ranges of values. Each of a small group's
     ranks meets its expected place, and W needs only sums over ranks and the
     outmost two values; larger groups need their moments alone. Fewer than three
     values, or values that are all equal, give nulls. Null groups don't count.
+    ``shapiro`` is the size up to which a group is small; None: any.
     """
+    small_one = lambda n: shapiro is None or n <= shapiro
     x = F.col(value).cast("double")
     own = df.where(x.isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("grp"), x.alias("x"))
     sums = own.groupBy("grp").agg(
         F.count("*").alias("n"), (F.var_samp("x") * (F.count("*") - 1)).alias("squares"), F.skewness("x").alias("skew"), F.kurtosis("x").alias("kurt"))
-    small = sums.where(F.col("n").between(3, SHAPIRO)).select("grp", "n")
+    small = sums.where((F.col("n") >= 3) & small_one(F.col("n"))).select("grp", "n")
     counted = own.join(small, "grp").groupBy("grp", "x", "n").agg(F.count("*").alias("k"))
-    places = cumulative(counted, ["grp"], "k").select("grp", "n", "x", F.explode(F.sequence(F.col("upto") - F.col("k") + 1, F.col("upto"))).alias("i"))
+    # ranks of a value in short runs, as it may be that of millions of rows
+    runs = cumulative(counted, ["grp"], "k").select("grp", "n", "x", "upto", F.explode(F.sequence(F.col("upto") - F.col("k") + 1, F.col("upto"), F.lit(RUN))).alias("first"))
+    places = runs.select("grp", "n", "x", F.explode(F.sequence("first", F.least("upto", F.col("first") + (RUN - 1)))).alias("i"))
 
     @F.pandas_udf("double")
     def expected(i: pd.Series, n: pd.Series) -> pd.Series:
@@ -47,9 +53,9 @@ def normality(df: DataFrame, group: str, value: str) -> DataFrame:
         for batch in batches:
             tests, stats, ps = [], [], []
             for r in batch.to_pylist():
-                test, found = ("shapiro" if r["n"] <= SHAPIRO else "k_squared"), (None, None)
+                test, found = ("shapiro" if small_one(r["n"]) else "k_squared"), (None, None)
                 try:
-                    if r["n"] > SHAPIRO:
+                    if not small_one(r["n"]):
                         found = K.k_squared(r["n"], r["skew"], r["kurt"])
                     elif r["n"] >= 3:
                         found = K.shapiro_of_sums(r["n"], r["mm"], r["mx"], (r["x1"], r["x2"]), (r["z1"], r["z2"]), r["squares"])

@@ -120,3 +120,17 @@ def test_normality_of_all_groups(spark):
         want = K.shapiro_wilk(list(v)) if len(v) <= 5000 else K.k_squared(len(v), (d**3).mean() / (d**2).mean() ** 1.5, (d**4).mean() / (d**2).mean() ** 2 - 3)
         assert (got[g]["statistic"], got[g]["p_value"]) == pytest.approx(want, rel=1e-6, abs=1e-12), g
     assert got["skew"]["p_value"] < 0.001 and got["n400"]["p_value"] > 0.01 and got["large"]["test"] == "k_squared"
+
+
+def test_normality_query_of_large_groups(spark, tmp_path, monkeypatch):
+    """The query takes W whatever a group's size, as its SQL does; ties are cut into runs."""
+    from tallywell.plans.audit_queries import normality_shapiro
+
+    monkeypatch.setattr(normality, "RUN", 7, raising=False)
+    rng = np.random.default_rng(6)
+    nations = {0: rng.normal(size=5200).round(3), 1: rng.exponential(size=5001), 2: rng.normal(size=60), 3: rng.integers(0, 30, 5100).astype(float)}
+    rows = [(k, float(x)) for k, v in nations.items() for x in v]
+    spark.createDataFrame(rows, "c_nationkey int, c_acctbal double").repartition(3).write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r["grp"]: r for r in normality_shapiro(spark, str(tmp_path)).collect()}
+    for k, v in nations.items():
+        assert got[k]["n"] == len(v) and (got[k]["statistic"], got[k]["p_value"]) == pytest.approx(K.shapiro_wilk(list(v)), abs=2e-6)

@@ -1,12 +1,14 @@
 """The Hodges-Lehmann shift of two groups of any size: the median of all differences of their values.
 
 Differences of two sorted sides form a sorted matrix that is never formed.
-Pivots are tried a few at a time: how many differences lie up to each, and
-which are nearest to it, come from one range-partitioned merge of both sides
-with running counts. Pivots are differences of evenly spaced ranks of both
-sides at first, then interpolations between the nearest differences known, so
-that a pass leaves a small share of what the one before left. The driver holds
-those ranks, which are bounded, and a row for each pivot.
+Both sides are sorted once and cut into blocks, a row each. Two blocks' ends
+tell whether all their differences lie up to a pivot or beyond it; those that
+lie on both sides of it stand along one staircase of the matrix, a few for each
+block, and only those meet in a join, where tasks count. The ends alone bound
+where the wanted difference lies; a few pivots in there are tried at a time,
+evenly spaced at first, then interpolations between the nearest differences
+known, so that a pass leaves a small share of what the one before left. The
+driver holds the blocks' ends, which are bounded, and a row for each pivot.
 """
 
 from __future__ import annotations
@@ -16,16 +18,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallywell.operators.running import cumulative
 from tallywell.session import checkpoint_ready
 
-#: Pairs of different values that are formed in the end; ranks of a side that first pivots come from; pivots of a pass.
-FORMED, RANKS, PIVOTS = 4_000_000, 1000, 15
+#: Pairs of different values that are formed in the end; about how many blocks a side has at most, but for ends of ranges; values of a block at least; pivots of a pass.
+FORMED, RANKS, BLOCK, PIVOTS = 4_000_000, 4000, 4096, 24
+#: Formed pairs of a batch.
+BATCH = 500_000
 _DEC = "decimal(38,0)"
-_LOCAL = "part int, cut int, w string, n long, wv string, nv string, below double, above double, trail double, lead double"
 _INF = float("inf")
 
 
@@ -43,8 +46,11 @@ def least_partner(p: np.ndarray, t: float) -> np.ndarray:
     """For each p the least double b with p - b <= t, as rounded; rounding never goes against the order."""
     with np.errstate(over="ignore", invalid="ignore"):
         b = p - t
+        b = np.where(p - b > t, np.nextafter(b, _INF), b)  # where rounding moves it by one, as it does half of them
+        below = np.nextafter(b, -_INF)
+        b = np.where(p - below <= t, below, b)
         odd = np.flatnonzero(~((p - b <= t) & (p - np.nextafter(b, -_INF) > t)))
-        if len(odd):  # where rounding moves it
+        if len(odd):  # where it moves it further
             low = np.full(len(odd), _ordinals(np.array([-np.finfo(float).max]))[0])
             high = np.full(len(odd), _ordinals(np.array([_INF]))[0])
             for _ in range(65):
@@ -55,168 +61,167 @@ def least_partner(p: np.ndarray, t: float) -> np.ndarray:
     return b
 
 
-def _dealt(one: DataFrame, two: DataFrame, cuts: list[float | None]) -> DataFrame:
-    """Rows of ``two`` (cut -1), and of ``one`` once for each cut at its least partner, in ranges of value, sorted; partners stand before equal values.
-
-    Up to a cut of None there are no differences.
-    """
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = batch.column(0).to_numpy()
-            for k, t in enumerate(cuts):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(p), _INF) if t is None else least_partner(p, t)), pa.array(np.full(len(p), k, np.int32)), batch.column(1), batch.column(0), pa.array(np.zeros(len(p), bool))],
-                    ["v", "cut", "w", "p", "own"])
-
-    asked = one.select("x", "w").mapInArrow(ask, "v double, cut int, w long, p double, own boolean")
-    owned = two.select(F.col("x").alias("v"), F.lit(-1).alias("cut"), "w", F.col("x").alias("p"), F.lit(True).alias("own"))
-    return asked.unionByName(owned).repartitionByRange("v").sortWithinPartitions("v", "own")
-
-
 def _dot(a: np.ndarray, b: np.ndarray) -> int:
     if len(a) and int(a.max()) * int(b.max()) * len(a) >= 1 << 63:
         a, b = a.astype(object), b.astype(object)
     return int(a @ b) if len(a) else 0
 
 
-def _tally(cuts: int):
-    """A task's rows -> for each cut (and -1, its values): weights, running weights before them, and the nearest differences in sight."""
+def _blocks(side: DataFrame, size: int) -> DataFrame:
+    """Rows of ``size`` values in order: id, the least, the greatest, their weight, their number, and values and weights as bytes."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, x, w = TaskContext.get().partitionId() << 32, np.zeros(0), np.zeros(0, np.int64)
+
+        def block(k: int, x: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+            row = {"id": k, "lo": float(x[0]), "hi": float(x[-1]), "w": int(w.sum()), "n": len(x), "xs": x.tobytes(), "ws": w.tobytes()}
+            return pa.RecordBatch.from_pylist([row], pa.schema([("id", pa.int64()), ("lo", pa.float64()), ("hi", pa.float64()), ("w", pa.int64()), ("n", pa.int64()), ("xs", pa.binary()), ("ws", pa.binary())]))
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = values = 0  # of values so far
-        first = last = None
-        out = [{"w": 0, "n": 0, "wv": 0, "nv": 0, "below": -_INF, "above": _INF, "trail": -_INF, "lead": _INF} for _ in range(cuts)]
-        for batch in batches:
-            v, cut, w, p = (batch.column(i).to_numpy() for i in range(4))
-            at = np.flatnonzero(cut < 0)
-            y, before, n = v[at], np.r_[0, np.cumsum(w[at])] + weight, len(at)
-            if n and first is None:
-                first = float(y[0])
-            for k in range(cuts):
-                own = np.flatnonzero(cut == k)
-                o = out[k]
-                if n and o["trail"] > -_INF:
-                    o["below"], o["trail"] = max(o["below"], o["trail"] - y[0]), -_INF
-                if not len(own):
-                    continue
-                place = np.searchsorted(at, own)  # how many values of the batch stand before
-                q = p[own]
-                o["w"] += int(w[own].sum())
-                o["n"] += len(own)
-                o["wv"] += _dot(w[own], before[place])
-                o["nv"] += int(place.sum()) + values * len(own)
-                inner = place < n
-                with np.errstate(over="ignore"):
-                    if inner.any():
-                        o["below"] = max(o["below"], float((q[inner] - y[place[inner]]).max()))
-                    if not inner.all():
-                        o["trail"] = max(o["trail"], float(q[~inner].max()))
-                    later = place > 0
-                    if later.any():
-                        o["above"] = min(o["above"], float((q[later] - y[place[later] - 1]).min()))
-                    if not later.all():
-                        low = float(q[~later].min())
-                        if last is None:
-                            o["lead"] = min(o["lead"], low)
-                        else:
-                            o["above"] = min(o["above"], low - last)
-            weight, values, last = int(before[-1]), values + n, float(y[-1]) if n else last
-        part = TaskContext.get().partitionId()
-        rows = [{"part": part, "cut": k, **o} for k, o in enumerate(out)]
-        rows.append({"part": part, "cut": -1, "w": weight, "n": values, "wv": 0, "nv": 0, "below": None, "above": None, "trail": last, "lead": first})
-        names = [c.split()[0] for c in _LOCAL.split(", ")]
-        types = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string(), *[pa.float64()] * 4]
-        yield pa.RecordBatch.from_arrays([pa.array([str(r[c]) if t == pa.string() else r[c] for r in rows], t) for c, t in zip(names, types, strict=True)], names)
-
-    return tally
-
-
-def _before(parts: DataFrame) -> DataFrame:
-    """part, and of all ranges before it: weight, values, the last value; of those behind it the first value. A row for each range."""
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)
-    return parts.select(
-        "part", F.coalesce(F.sum(F.col("w").cast(_DEC)).over(earlier), F.lit(0)).cast("decimal(19,0)").alias("w0"),
-        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"),
-        F.last("trail", ignorenulls=True).over(earlier).alias("y0"), F.first("lead", ignorenulls=True).over(later).alias("y1"))
-
-
-def count_upto(one: DataFrame, two: DataFrame, cuts: list[float], weight: int, pairs: int) -> dict[float, tuple[int, int, float, float]]:
-    """For each cut: weighted pairs up to it, plain pairs up to it, the greatest difference up to it, the least above it."""
-    found = _dealt(one, two, cuts).mapInArrow(_tally(len(cuts)), _LOCAL)
-    checkpoint_ready(one.sparkSession)
-    found = found.checkpoint()  # a row for each range and cut, read twice
-    own = found.where("cut >= 0").join(F.broadcast(_before(found.where("cut < 0"))), "part")
-    w, n = F.col("w").cast("decimal(19,0)"), F.col("n")
-    rows = own.groupBy("cut").agg(
-        F.sum(F.col("wv").cast(_DEC) + (w * F.col("w0")).cast(_DEC)).alias("less"),
-        F.sum(F.col("nv").cast(_DEC) + n.cast("decimal(19,0)") * F.col("n0").cast("decimal(19,0)")).alias("fewer"),
-        F.max(F.greatest("below", F.when(F.col("trail") > -_INF, F.col("trail") - F.col("y1")))).alias("below"),
-        F.min(F.least("above", F.when(F.col("lead") < _INF, F.col("lead") - F.col("y0")))).alias("above")).collect()
-    return {cuts[r["cut"]]: (weight - int(r["less"]), pairs - int(r["fewer"]), r["below"], r["above"]) for r in rows}
-
-
-def _place(one: DataFrame, two: DataFrame, low: float | None, high: float, k: int) -> float:
-    """The k-th difference, from 0 and weighted, of those above ``low`` (None: all) up to ``high``, which are formed."""
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), 0
         for batch in batches:
-            own = batch.column("cut").to_numpy() < 0
-            upto = seen + np.cumsum(own)
-            seen = int(upto[-1]) if len(upto) else seen
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("p"), batch.column("cut"), batch.column("w"), pa.array(upto - own), pa.array(np.full(len(own), part, np.int32))], ["p", "cut", "w", "rank", "part"])
+            x, w = np.r_[x, batch.column(0).to_numpy()], np.r_[w, batch.column(1).to_numpy()]
+            whole = len(x) // size * size
+            for at in range(0, whole, size):
+                yield block(first, x[at:at + size], w[at:at + size])
+                first += 1
+            x, w = x[whole:], w[whole:]
+        if len(x):
+            yield block(first, x, w)
 
-    rows = _dealt(one, two, [low, high]).mapInArrow(number, "p double, cut int, w long, rank long, part int").checkpoint()
-    totals = rows.where("cut < 0").groupBy("part").agg(F.count("*").alias("n"), F.count("*").cast("string").alias("w"), F.lit(None).cast("double").alias("trail"), F.lit(None).cast("double").alias("lead"))
-    every = rows.select("part").distinct().join(totals, "part", "left").fillna(0, "n").fillna("0", "w")
-    placed = rows.join(F.broadcast(_before(every).select("part", "n0")), "part").withColumn("rank", F.col("rank") + F.col("n0"))
-    ends = placed.where("cut >= 0").groupBy("p", "w").agg(F.min("rank").alias("a"), F.max("rank").alias("b")).where("a < b")
-    asked = ends.select("p", "w", F.explode(F.sequence("a", F.col("b") - 1)).alias("rank"))
-    values = placed.where("cut < 0").select("rank", F.col("p").alias("y"), F.col("w").alias("v"))
-    pairs = asked.join(values, "rank").select((F.col("p") - F.col("y")).alias("d"), (F.col("w").cast(_DEC) * F.col("v")).cast(_DEC).alias("m"))
-    each = pairs.groupBy(F.col("d").alias("x")).agg(F.sum("m").alias("m")).withColumn("one", F.lit(1))
-    return cumulative(each, ["one"], "m").where(F.col("upto") > k).agg(F.min("x")).first()[0]
+    sides = side.select(F.col("x").cast("double").alias("x"), F.col("w").cast("long").alias("w")).repartitionByRange("x").sortWithinPartitions("x")
+    return sides.mapInArrow(cut, "id long, lo double, hi double, w long, n long, xs binary, ws binary").checkpoint()
 
 
-def _ranks(side: DataFrame, total: int) -> np.ndarray:
-    """RANKS values of evenly spaced ranks, or fewer."""
-    c = cumulative(side.withColumn("one", F.lit(1)), ["one"], "w")
-    step = max(1, total // RANKS)
-    jump = F.floor(F.col("upto") / step) > F.floor((F.col("upto") - F.col("w")) / step)
-    return np.sort(np.array([r[0] for r in c.where(jump).select("x").collect()], float))
+def _arrays(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """Values and weights of the one block, and of the other, of each row."""
+    for row in zip(*(batch.column(c) for c in ("px", "pw", "qx", "qw")), strict=True):
+        yield tuple(np.frombuffer(x.as_buffer(), t) for x, t in zip(row, (np.float64, np.int64) * 2, strict=True))
 
 
 class Selection:
     """Order statistics of the differences p - q of finite weighted values (x, w); sides may be of any size."""
 
     def __init__(self, one: DataFrame, two: DataFrame):
-        checkpoint_ready(one.sparkSession)
-        self.one, self.two = one, two  # read once for each pass
-        a, b = (s.agg(F.sum("w"), F.count("*"), F.min("x"), F.max("x")).first() for s in (self.one, self.two))
-        self.weight, self.pairs = int(a[0] or 0) * int(b[0] or 0), a[1] * b[1]
+        self.spark = one.sparkSession
+        checkpoint_ready(self.spark)
+        self.one, self.two = (_blocks(s, max(BLOCK, -(-s.count() // RANKS))) for s in (one, two))
+        a, b = (sorted(tuple(r) for r in s.select("lo", "hi", "w", "n", "id").collect()) for s in (self.one, self.two))
+        self.weight, self.pairs = (sum(r[c] for r in a) * sum(r[c] for r in b) for c in (2, 3))
         self.passes = 0
+        self.brackets: dict[int, tuple[float, float]] = {}
         if not self.weight:
             return
+        self.lo, self.hi = (np.array([r[c] for r in a], float) for c in (0, 1))
+        self.low, self.high = (np.array([r[c] for r in b], float) for c in (0, 1))
+        self.w, self.n, self.i = (np.array([r[c] for r in a], np.int64) for c in (2, 3, 4))
+        # of the other side: what stands from each block on
+        self.w_from, self.n_from = (np.r_[np.cumsum(np.array([r[c] for r in b], np.int64)[::-1])[::-1], 0] for c in (2, 3))
+        self.j = np.array([r[4] for r in b], np.int64)
         # (pivot, weighted pairs up to it, plain pairs up to it, nearest difference up to it, nearest above it)
-        self.known = [(None, 0, 0, None, a[2] - b[3]), (_INF, self.weight, self.pairs, a[3] - b[2], None)]
-        p, q = (_ranks(s, int(t[0])) for s, t in ((self.one, a), (self.two, b)))
         with np.errstate(over="ignore"):
-            self.sample = np.sort(np.subtract.outer(p, q).ravel()) if self.pairs > FORMED else np.zeros(0)
+            ends = float(self.lo[0] - self.high[-1]), float(self.hi[-1] - self.low[0])
+        self.known = [(None, 0, 0, None, ends[0]), (_INF, self.weight, self.pairs, ends[1], None)]
+
+    def _stairs(self, t: float) -> tuple[np.ndarray, np.ndarray]:
+        """For each block of the one side: the first of the other that isn't wholly above ``t`` with it, and the first that is wholly up to it."""
+        return np.searchsorted(self.high, least_partner(self.lo, t)), np.searchsorted(self.low, least_partner(self.hi, t))
+
+    def _bracket(self, k: int) -> tuple[float, float]:
+        """Values between which the k-th difference lies, by the ends of blocks alone: not up to the first, but up to the second."""
+        if k not in self.brackets:
+            ends = [int(x) for x in _ordinals(np.array([self.known[0][4], self.known[1][3]]))]
+
+            def least(fits) -> float:
+                a, b = ends
+                while a < b:
+                    mid = (a + b) // 2
+                    a, b = (a, mid) if fits(self._stairs(float(_doubles(np.array([mid]))[0]))) else (mid + 1, b)
+                return a
+
+            high = least(lambda s: _dot(self.w, self.w_from[s[1]]) > k)
+            low = least(lambda s: _dot(self.w, self.w_from[s[0]]) > k) - 1
+            self.brackets[k] = tuple(float(x) for x in _doubles(np.array([low, high])))
+        return self.brackets[k]
+
+    def _met(self, spans: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+        """Blocks of both sides that ``spans`` (from, to for each block of the one side) name: px, pw, qx, qw."""
+        pairs = {(r, c) for a, b in spans for r in np.flatnonzero(a < b) for c in range(a[r], b[r])}
+        named = self.spark.createDataFrame([(int(self.i[r]), int(self.j[c])) for r, c in pairs], "i long, j long")
+        own = self.one.select(F.col("id").alias("i"), F.col("xs").alias("px"), F.col("ws").alias("pw")).join(F.broadcast(named), "i")
+        other = self.two.select(F.col("id").alias("j"), F.col("xs").alias("qx"), F.col("ws").alias("qw"))
+        return own.join(other, "j").select("px", "pw", "qx", "qw")
+
+    def count_upto(self, cuts: list[float]) -> list[tuple]:
+        """For each cut: itself, weighted pairs up to it, plain pairs up to it, the greatest difference up to it, the least above it."""
+        stairs = [self._stairs(t) for t in cuts]
+
+        def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = [[0, 0, -_INF, _INF] for _ in cuts]
+            for batch in batches:
+                for p, w, q, v in _arrays(batch):
+                    v_from, n = np.r_[np.cumsum(v[::-1])[::-1], 0], len(q)
+                    with np.errstate(over="ignore"):
+                        for o, t in zip(out, cuts, strict=True):
+                            if p[-1] - q[0] <= t or p[0] - q[-1] > t:
+                                continue  # known by the blocks' ends
+                            place = np.searchsorted(q, least_partner(p, t))
+                            o[0] += _dot(w, v_from[place])
+                            o[1] += int((n - place).sum())
+                            upto, above = place < n, place > 0
+                            if upto.any():
+                                o[2] = max(o[2], float((p[upto] - q[place[upto]]).max()))
+                            if above.any():
+                                o[3] = min(o[3], float((p[above] - q[place[above] - 1]).min()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(len(cuts)), pa.int32()), *[pa.array([str(o[c]) for o in out]) for c in (0, 1)], *[pa.array([o[c] for o in out], pa.float64()) for c in (2, 3)]],
+                ["cut", "w", "n", "below", "above"])
+
+        met = self._met(stairs).mapInArrow(tally, "cut int, w string, n string, below double, above double")
+        rows = met.groupBy("cut").agg(F.sum(F.col("w").cast(_DEC)).alias("w"), F.sum(F.col("n").cast(_DEC)).alias("n"), F.max("below").alias("below"), F.min("above").alias("above")).collect()
+        found = {r["cut"]: tuple(r)[1:] for r in rows}
+        out = []
+        for k, (t, (a, b)) in enumerate(zip(cuts, stairs, strict=True)):
+            w, n, below, above = found.get(k, (0, 0, -_INF, _INF))
+            upto, beyond = b < len(self.low), a > 0
+            with np.errstate(over="ignore"):
+                below = max([below, *(self.hi[upto] - self.low[b[upto]]).tolist()])
+                above = min([above, *(self.lo[beyond] - self.high[a[beyond] - 1]).tolist()])
+            out.append((t, int(w) + _dot(self.w, self.w_from[b]), int(n) + _dot(self.n, self.n_from[b]), below, above))
+        return out
+
+    def _place(self, low: float | None, high: float, k: int) -> float:
+        """The k-th difference, from 0 and weighted, of those above ``low`` (None: all) up to ``high``, which are formed."""
+        start = self._stairs(high)[0]
+        end = np.full(len(start), len(self.low)) if low is None else self._stairs(low)[1]
+
+        def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for p, w, q, v in _arrays(batch):
+                    a = np.searchsorted(q, least_partner(p, high))
+                    b = np.full(len(p), len(q)) if low is None else np.searchsorted(q, least_partner(p, low))
+                    upto = np.r_[0, np.cumsum(b - a)]
+                    for at in range(0, int(upto[-1]), BATCH):
+                        some = np.arange(at, min(at + BATCH, int(upto[-1])))
+                        r = np.searchsorted(upto, some, "right") - 1
+                        c = a[r] + some - upto[r]
+                        with np.errstate(over="ignore"):
+                            yield pa.RecordBatch.from_arrays([pa.array(p[r] - q[c]), pa.array(w[r]), pa.array(v[c])], ["x", "w", "v"])
+
+        pairs = self._met([(start, end)]).mapInArrow(form, "x double, w long, v long")
+        each = pairs.groupBy("x").agg(F.sum((F.col("w").cast("decimal(19,0)") * F.col("v").cast("decimal(19,0)")).cast(_DEC)).cast(_DEC).alias("m")).withColumn("one", F.lit(1))
+        return cumulative(each, ["one"], "m").where(F.col("upto") > k).agg(F.min("x")).first()[0]
 
     def _pivots(self, k: int, done: int, upto: int, first: float, last: float) -> list[float]:
         """Some values from the difference ``first`` on, below ``last``, up to which ``done`` and more and ``upto`` lie."""
-        n, share = len(self.sample), (k + 0.5) / self.weight
-        spread = n / RANKS
-        picks = [self.sample[min(n - 1, max(0, int(share * n + d * spread)))] for d in (-4, -1, -0.2, 0.2, 1, 4)] if n else []
+        low, high = self._bracket(k)
         inner = (k + 0.5 - done) / (upto - done)
         with np.errstate(over="ignore", invalid="ignore"):
-            picks += [first + (last - first) * min(1.0, max(0.0, inner + d)) for d in (-0.1, -0.01, -0.001, 0.001, 0.01, 0.1)]
+            picks = [low, high] + [low + (high - low) * j / 8 for j in range(1, 8)]
+            if self.passes:
+                picks += [first + (last - first) * min(1.0, max(0.0, inner + d)) for e in (0.1, 0.03, 0.01, 0.001, 1e-4) for d in (-e, e)]
+        first, last = max(first, low), min(last, high)
         ends = [int(x) for x in _ordinals(np.array([first, last]))]
         picks += [first] + [float(_doubles(np.array([ends[0] + (ends[1] - ends[0]) * j // 3]))[0]) for j in (1, 2)]
-        return sorted({float(t) for t in picks if first <= t < last})[:PIVOTS]
+        return sorted({float(t) for t in picks if first <= t <= last})[:PIVOTS]
 
     def at(self, k: int) -> float:
         """The k-th least difference, from 0."""
@@ -227,9 +232,8 @@ class Selection:
             if first == last:
                 return first + 0.0
             if high[2] - low[2] <= FORMED:
-                return _place(self.one, self.two, low[0], high[0], k - low[1]) + 0.0
-            found = count_upto(self.one, self.two, self._pivots(k, low[1], high[1], first, last), self.weight, self.pairs)
-            self.known += [(t, *c) for t, c in found.items()]
+                return self._place(low[0], high[0], k - low[1]) + 0.0
+            self.known += self.count_upto(self._pivots(k, low[1], high[1], first, last))
             self.passes += 1
 
 

@@ -134,6 +134,24 @@ def test_selected_places_of_weighted_values(spark, monkeypatch):
         assert selection.at(k) == d[order][np.searchsorted(upto, k, "right")]
 
 
+def test_a_pass_meets_few_blocks(spark, monkeypatch):
+    """What a pass sends grows with the blocks of the sides, not with its pivots or the pairs of blocks."""
+    monkeypatch.setattr(shift, "FORMED", 100)
+    monkeypatch.setattr(shift, "BLOCK", 4)
+    monkeypatch.setattr(shift, "RANKS", 60)
+    rng = np.random.default_rng(8)
+    x, y = np.unique(rng.normal(size=500).round(2) * 10), np.unique(rng.exponential(size=400).round(3))
+    one, two = (spark.createDataFrame([(float(p), 3) for p in z], "x double, w long").repartition(3) for z in (x, y))
+    selection, met = shift.Selection(one, two), []
+    own = selection._met
+    monkeypatch.setattr(selection, "_met", lambda spans: met.append(len({(r, c) for a, b in spans for r in range(len(a)) for c in range(a[r], b[r])})) or own(spans))
+    d = np.sort(np.subtract.outer(x, y).ravel())
+    k = 9 * len(d) // 2
+    assert selection.at(k) == d[k // 9]
+    blocks = len(selection.lo) + len(selection.low)
+    assert blocks > 60 and 0 < len(met) < 12 and max(met) <= 4 * blocks < len(selection.lo) * len(selection.low)
+
+
 def test_exact_ranks_of_few_against_many(monkeypatch):
     from itertools import combinations
 

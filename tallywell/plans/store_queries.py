@@ -103,7 +103,7 @@ def fingerprint_changes(spark, sf_dir):
     for k in range(2):
         status = F.when(F.lit(k == 1) & (F.col("o_orderstatus") == "P"), "Q").otherwise(F.col("o_orderstatus"))
         line = F.concat_ws(",", "o_orderkey", F.when(F.lit(k == 1) & (F.col("o_orderstatus") == "F"), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
-        # without nulls, as else Spark would sort again by the folders alone
+        # null and the empty string share a folder, as they do in the writer
         lines = orders.select(F.coalesce(status, F.lit("")).alias("name"), line.alias("value")).withColumn("slot", F.pmod(F.xxhash64("value"), F.lit(slots)))
         lines.repartition("name", "slot").sortWithinPartitions("name", "slot", "value").write.partitionBy("name", "slot").text(f"{root}/{k}")
 
